@@ -1,40 +1,38 @@
 """Scalar rules for single fields of an event."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from eventledger.functions import variants
 from eventledger.schema import UNKNOWN
 
 
-def _or_unknown(value: Column) -> Column:
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(UNKNOWN))
+def _or_unknown(value: str) -> str:
+    return f"coalesce(nullif({value}, ''), '{UNKNOWN}')"
 
 
-def format_source(app: Column, host: Column) -> Column:
+def format_source(app: str, host: str) -> str:
     """``app@host``; a null or empty app reads ``unknown``."""
-    return F.concat(_or_unknown(app), F.lit("@"), host)
+    return f"concat({_or_unknown(app)}, '@', {host})"
 
 
-def first_correlation_id(correlation_ids: Column) -> Column:
+def first_correlation_id(correlation_ids: str) -> str:
     """First element of the VARIANT list, NULL when it is empty or absent."""
-    return variants.text(F.get(variants.elements(correlation_ids), F.lit(0)))
+    return variants.text(f"get({variants.elements(correlation_ids)}, 0)")
 
 
-def default_routing_key(routing_key: Column) -> Column:
+def default_routing_key(routing_key: str = "routing_key") -> str:
     return _or_unknown(routing_key)
 
 
-def resolve_event_id(event_id: Column, legacy_id: Column | None = None) -> Column:
+def resolve_event_id(event_id: str, legacy_id: str | None = None) -> str:
     """The event's id, else its older alias; empty text counts as missing."""
-    candidates = [event_id] if legacy_id is None else [event_id, legacy_id]
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates])
+    if legacy_id is None:
+        return f"nullif({event_id}, '')"
+    return f"coalesce(nullif({event_id}, ''), nullif({legacy_id}, ''))"
 
 
-def storage_latency(received_at: Column, stored_at: Column) -> Column:
+def storage_latency(received_at: str = "received_at", stored_at: str = "stored_at") -> str:
     """Milliseconds between receipt and storing."""
-    return (F.unix_micros(stored_at) - F.unix_micros(received_at)) / F.lit(1000.0)
+    return f"(unix_micros({stored_at}) - unix_micros({received_at})) / 1000.0D"
 
 
-def event_day(timestamp: Column) -> Column:
-    return F.to_date(timestamp)
+def event_day(timestamp: str = "timestamp") -> str:
+    return f"to_date({timestamp})"

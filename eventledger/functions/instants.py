@@ -1,53 +1,53 @@
 """Turning wire timestamps into UTC instants."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from eventledger.functions import variants
 
 # --- fixed values: accepted text forms and the bounds of numeric timestamps ---
-DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
-NAIVE_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"
-ZONED_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})$"
+DATE_TEXT = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
+TIME_TEXT = "[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
+ZONE_TEXT = "(Z|[+-][0-9]{2}:?[0-9]{2})"
 LARGEST_EPOCH_SECONDS = 20_000_000_000
 LARGEST_EPOCH_MILLIS = 253_402_300_799_999  # the end of year 9999
 # ------------------------------------------------------------------------------
 
 
-def _canonical(text: Column) -> Column:
-    """ISO-8601 text with its zone written out; no zone means UTC, other text gives NULL."""
-    return (
-        F.when(text.rlike(ZONED_TEXT), text)
-        .when(text.rlike(NAIVE_TEXT), F.concat(text, F.lit("Z")))
-        .when(text.rlike(DATE_TEXT), F.concat(text, F.lit("T00:00:00Z")))
-    )
+def _written_out(text: str) -> str:
+    """ISO-8601 text with its zone; no zone means UTC, other text gives NULL."""
+    return f"""CASE
+      WHEN {text} RLIKE '^{DATE_TEXT}[T ]{TIME_TEXT}{ZONE_TEXT}$' THEN {text}
+      WHEN {text} RLIKE '^{DATE_TEXT}[T ]{TIME_TEXT}$' THEN concat({text}, 'Z')
+      WHEN {text} RLIKE '^{DATE_TEXT}$' THEN concat({text}, 'T00:00:00Z')
+    END"""
 
 
-def text_to_utc(text: Column) -> Column:
+def text_to_utc(text: str) -> str:
     """ISO-8601 text to an instant, whatever the session time zone; bad text gives NULL.
 
     Lower-case ``t`` and ``z``, ``_`` as separator and a decimal comma are accepted too,
     but only texts that fail the usual form pay for them.
     """
-    usual = _canonical(text).try_cast("timestamp")
-    return F.coalesce(usual, _canonical(F.translate(text, "tz_,", "TZ .")).try_cast("timestamp"))
+    unusual = f"translate({text}, 'tz_,', 'TZ .')"
+    return (
+        f"coalesce(try_cast({_written_out(text)} AS TIMESTAMP), "
+        f"try_cast({_written_out(unusual)} AS TIMESTAMP))"
+    )
 
 
-def epoch_to_utc(number: Column) -> Column:
+def epoch_to_utc(number: str) -> str:
     """Epoch seconds, or milliseconds beyond 2e10, to an instant; out of range gives NULL."""
-    micros = F.when(F.abs(number) <= LARGEST_EPOCH_SECONDS, number * 1_000_000).when(
-        F.abs(number) <= LARGEST_EPOCH_MILLIS, number * 1_000
-    )
-    return F.timestamp_micros(micros.try_cast("bigint"))
+    return f"""timestamp_micros(try_cast(CASE
+      WHEN abs({number}) <= {LARGEST_EPOCH_SECONDS} THEN {number} * 1000000
+      WHEN abs({number}) <= {LARGEST_EPOCH_MILLIS} THEN {number} * 1000
+    END AS BIGINT))"""
 
 
-def instant(text: Column, value: Column) -> Column:
+def instant(text: str, value: str) -> str:
     """The instant in a JSON string or number; any other type gives NULL.
 
     ``text`` is the VARIANT ``value`` read as a string, computed once by the caller.
     """
-    kind = variants.kind(value)
-    return F.when(kind == "STRING", text_to_utc(text)).when(
-        kind.rlike(variants.NUMERIC_KINDS),
-        epoch_to_utc(F.try_variant_get(value, "$", "decimal(30,6)")),
-    )
+    number = f"try_variant_get({value}, '$', 'decimal(30,6)')"
+    return f"""CASE
+      WHEN {variants.kind(value)} = 'STRING' THEN {text_to_utc(text)}
+      WHEN {variants.kind(value)} RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)' THEN {epoch_to_utc(number)}
+    END"""

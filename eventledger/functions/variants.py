@@ -1,43 +1,38 @@
-"""Type tests on VARIANT columns: JSON types matter, casts would hide them."""
+"""Type tests on VARIANT expressions: JSON types matter, casts would hide them."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-NUMERIC_KINDS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
-
-
-def kind(value: Column) -> Column:
+def kind(value: str) -> str:
     """SQL name of the JSON type: 'STRING', 'VOID' for null; NULL when absent."""
-    return F.schema_of_variant(value)
+    return f"schema_of_variant({value})"
 
 
-def is_string(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
+def text(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
 
-def is_optional_string(value: Column) -> Column:
-    return F.coalesce(kind(value).isin("STRING", "VOID"), F.lit(True))
+def elements(value: str) -> str:
+    """The list's elements, NULL for anything but a list."""
+    return f"try_variant_get({value}, '$', 'array<variant>')"
 
 
-def is_object(value: Column) -> Column:
-    """Tested by a cast to the empty struct, which does not walk the members."""
-    return F.try_variant_get(value, "$", "struct<>").isNotNull()
+def is_string(value: str) -> str:
+    return f"{kind(value)} <=> 'STRING'"
 
 
-def is_optional_object(value: Column) -> Column:
-    return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False)) | is_object(value)
+def is_optional_string(value: str) -> str:
+    return f"coalesce({kind(value)} IN ('STRING', 'VOID'), TRUE)"
 
 
-def text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def is_object(value: str) -> str:
+    """Tested by a cast to the empty struct, which does not walk the members."""
+    return f"try_variant_get({value}, '$', 'struct<>') IS NOT NULL"
 
 
-def elements(value: Column) -> Column:
-    """The list's elements, NULL for anything but a list."""
-    return F.try_variant_get(value, "$", "array<variant>")
+def is_optional_object(value: str) -> str:
+    return f"({value} IS NULL OR is_variant_null({value}) OR {is_object(value)})"
 
 
-def is_string_list(value: Column) -> Column:
+def is_string_list(value: str) -> str:
     """A list that holds only strings; an absent value counts as the empty list."""
-    only_text = F.forall(elements(value), lambda item: is_string(item))
-    return value.isNull() | F.coalesce(only_text, F.lit(False))
+    only_text = f"forall({elements(value)}, item -> {is_string('item')})"
+    return f"({value} IS NULL OR coalesce({only_text}, FALSE))"

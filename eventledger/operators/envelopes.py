@@ -9,8 +9,7 @@ value can satisfy one of the two, never both.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from eventledger.functions import fields, instants, variants
 from eventledger.schema import (
@@ -23,7 +22,7 @@ from eventledger.schema import (
     VALUE_ERROR,
 )
 
-_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_STRICT_JSON = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 
 _CURRENT_FIELDS = (
     "event_id",
@@ -40,114 +39,112 @@ _SOURCE_FIELDS = ("host", "type", "app", "meta")
 
 
 def _variant_struct(names: tuple[str, ...]) -> str:
-    return f"STRUCT<{', '.join(f'{name}: VARIANT' for name in names)}>"
-
-
-_FIELDS = _variant_struct(_CURRENT_FIELDS + _LEGACY_FIELDS)
-_SOURCE = _variant_struct(_SOURCE_FIELDS)
+    return f"struct<{', '.join(f'{name}: variant' for name in names)}>"
 
 
 def decode_body(raw: DataFrame) -> DataFrame:
     """Add ``is_json`` and ``fields``: the body's known members as VARIANTs, NULL unless
     the body is a JSON object."""
-    body = F.col("body")
-    parsed = raw.withColumns(
-        {
-            "_doc": F.try_parse_json(F.concat(F.lit('{"b":'), body, F.lit("}"))),
-            "_values": F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))),
-        }
+    parsed = raw.selectExpr(
+        "*",
+        """try_parse_json(concat('{"b":', body, '}')) AS _doc""",
+        "json_array_length(concat('[', body, ']')) AS _values",
     )
-    one_value = F.col("_doc").isNotNull() & F.is_valid_utf8(body) & (F.col("_values") == 1)
-    return (
-        parsed.withColumn("is_json", F.coalesce(one_value, F.lit(False)))
-        .withColumn("fields", F.when(F.col("is_json"), F.try_variant_get("_doc", "$.b", _FIELDS)))
-        .drop("_doc", "_values")
+    one_value = "_doc IS NOT NULL AND is_valid_utf8(body) AND _values <=> 1"
+    members = _variant_struct(_CURRENT_FIELDS + _LEGACY_FIELDS)
+    return parsed.selectExpr(
+        "* EXCEPT (_doc, _values)",
+        f"{one_value} AS is_json",
+        f"CASE WHEN {one_value} THEN try_variant_get(_doc, '$.b', '{members}') END AS fields",
     )
 
 
 def read_fields(decoded: DataFrame) -> DataFrame:
     """Add what validation and normalising both need, so it is computed once per row."""
-    field = F.col("fields")
-    texts = decoded.withColumns(
-        {
-            "source_fields": F.try_variant_get(field["source"], "$", _SOURCE),
-            "_current_text": variants.text(field["timestamp"]),
-            "_legacy_text": variants.text(field["ts"]),
-        }
+    return decoded.selectExpr(
+        "*",
+        f"try_variant_get(fields.source, '$', '{_variant_struct(_SOURCE_FIELDS)}') AS sender",
+        f"{variants.text('fields.timestamp')} AS _current_text",
+        f"{variants.text('fields.ts')} AS _legacy_text",
+    ).selectExpr(
+        "* EXCEPT (_current_text, _legacy_text)",
+        f"{instants.instant('_current_text', 'fields.timestamp')} AS current_instant",
+        f"{instants.instant('_legacy_text', 'fields.ts')} AS legacy_instant",
     )
-    return texts.withColumns(
-        {
-            "current_instant": instants.instant(F.col("_current_text"), field["timestamp"]),
-            "legacy_instant": instants.instant(F.col("_legacy_text"), field["ts"]),
-        }
-    ).drop("_current_text", "_legacy_text")
 
 
-def valid_v2() -> Column:
+def valid_v2() -> str:
     """Whether a row of ``read_fields`` is a well-typed current envelope."""
-    field, source = F.col("fields"), F.col("source_fields")
-    return (
-        variants.is_string(field["event_id"])
-        & variants.is_string(field["event_type"])
-        & F.col("current_instant").isNotNull()
-        & variants.is_optional_string(field["version"])
-        & variants.is_string(source["host"])
-        & variants.is_string(source["type"])
-        & variants.is_optional_string(source["app"])
-        & variants.is_optional_object(source["meta"])
-        & variants.is_string_list(field["correlation_ids"])
-        & variants.is_optional_object(field["agent_context"])
-        & variants.is_object(field["payload"])
+    return " AND ".join(
+        [
+            variants.is_string("fields.event_id"),
+            variants.is_string("fields.event_type"),
+            "current_instant IS NOT NULL",
+            variants.is_optional_string("fields.version"),
+            variants.is_string("sender.host"),
+            variants.is_string("sender.type"),
+            variants.is_optional_string("sender.app"),
+            variants.is_optional_object("sender.meta"),
+            variants.is_string_list("fields.correlation_ids"),
+            variants.is_optional_object("fields.agent_context"),
+            variants.is_object("fields.payload"),
+        ]
     )
 
 
-def valid_v1() -> Column:
+def valid_v1() -> str:
     """Whether a row of ``read_fields`` is a well-typed legacy envelope."""
-    field = F.col("fields")
-    return (
-        variants.is_string(field["id"])
-        & variants.is_string(field["event_type"])
-        & variants.is_string(field["source"])
-        & F.col("legacy_instant").isNotNull()
-        & variants.is_object(field["data"])
-        & variants.is_optional_string(field["target"])
-        & variants.is_optional_string(field["correlation_id"])
-        & variants.is_optional_string(field["session_id"])
+    return " AND ".join(
+        [
+            variants.is_string("fields.id"),
+            variants.is_string("fields.event_type"),
+            variants.is_string("fields.source"),
+            "legacy_instant IS NOT NULL",
+            variants.is_object("fields.data"),
+            variants.is_optional_string("fields.target"),
+            variants.is_optional_string("fields.correlation_id"),
+            variants.is_optional_string("fields.session_id"),
+        ]
     )
 
 
-def _object_text(name: str) -> Column:
-    return F.from_json("body", f"{name} STRING", _STRICT_JSON)[name]
-
-
-def _from_v2() -> Column:
-    field, source = F.col("fields"), F.col("source_fields")
-    no_text = F.lit(None).cast("string")
-    return F.struct(
-        variants.text(field["event_id"]).alias("event_id"),
-        variants.text(field["event_type"]).alias("event_type"),
-        F.col("current_instant").alias("timestamp"),
-        fields.format_source(variants.text(source["app"]), variants.text(source["host"])).alias(
-            "source"
-        ),
-        no_text.alias("target"),
-        fields.first_correlation_id(field["correlation_ids"]).alias("correlation_id"),
-        no_text.alias("session_id"),
-        _object_text("payload").alias("payload"),
+def _object_text(name: str) -> str:
+    return f"from_json(body, '{name} STRING', {_STRICT_JSON}).{name}"
+
+
+def _envelope(values: tuple[str, ...]) -> str:
+    members = (f"'{name}', {value}" for name, value in zip(NORMALIZED_COLUMNS, values))
+    return f"named_struct({', '.join(members)})"
+
+
+def _from_v2() -> str:
+    no_text = "CAST(NULL AS STRING)"
+    return _envelope(
+        (
+            variants.text("fields.event_id"),
+            variants.text("fields.event_type"),
+            "current_instant",
+            fields.format_source(variants.text("sender.app"), variants.text("sender.host")),
+            no_text,
+            fields.first_correlation_id("fields.correlation_ids"),
+            no_text,
+            _object_text("payload"),
+        )
     )
 
 
-def _from_v1() -> Column:
-    field = F.col("fields")
-    return F.struct(
-        variants.text(field["id"]).alias("event_id"),
-        variants.text(field["event_type"]).alias("event_type"),
-        F.col("legacy_instant").alias("timestamp"),
-        variants.text(field["source"]).alias("source"),
-        variants.text(field["target"]).alias("target"),
-        variants.text(field["correlation_id"]).alias("correlation_id"),
-        variants.text(field["session_id"]).alias("session_id"),
-        _object_text("data").alias("payload"),
+def _from_v1() -> str:
+    return _envelope(
+        (
+            variants.text("fields.id"),
+            variants.text("fields.event_type"),
+            "legacy_instant",
+            variants.text("fields.source"),
+            variants.text("fields.target"),
+            variants.text("fields.correlation_id"),
+            variants.text("fields.session_id"),
+            _object_text("data"),
+        )
     )
 
 
@@ -159,50 +156,36 @@ def normalize_envelope(raw: DataFrame, max_lengths: bool = False) -> DataFrame:
     one only when that fails. ``event_type`` of rows that fail before or in validation
     is ``unknown``.
     """
-    envelope = F.when(valid_v2(), _from_v2()).when(valid_v1(), _from_v1())
-    rows = read_fields(decode_body(raw)).withColumn("_envelope", envelope).withColumns(
-        {name: F.col("_envelope")[name] for name in NORMALIZED_COLUMNS}
-        | {
-            "routing_key": fields.default_routing_key(F.col("routing_key")),
-            "id": fields.resolve_event_id(F.col("_envelope")["event_id"]),
-        }
+    kept = [name for name in raw.columns if name != "routing_key"]
+    envelopes = read_fields(decode_body(raw)).selectExpr(
+        *kept,
+        f"{fields.default_routing_key()} AS routing_key",
+        "is_json",
+        f"CASE WHEN {valid_v2()} THEN {_from_v2()} WHEN {valid_v1()} THEN {_from_v1()} END AS _e",
     )
-    too_long = F.lit(False)
-    if max_lengths:
-        for name, length in COLUMN_LENGTHS.items():
-            too_long = too_long | F.coalesce(F.length(name) > length, F.lit(False))
-    failure = (
-        F.when(~F.col("is_json"), F.struct(F.lit(JSON_ERROR), F.lit("body is not JSON")))
-        .when(
-            F.col("_envelope").isNull(),
-            F.struct(F.lit(VALIDATION_ERROR), F.lit("body matches no envelope version")),
-        )
-        .when(F.col("id").isNull(), F.struct(F.lit(VALUE_ERROR), F.lit("event id is empty")))
-        .when(too_long, F.struct(F.lit(LENGTH_ERROR), F.lit("a field is too long")))
+    rows = envelopes.selectExpr(
+        "*", "_e.*", f"{fields.resolve_event_id('_e.event_id')} AS id"
     )
-    return (
-        rows.withColumn("_failure", failure)
-        .withColumns(
-            {
-                "error_type": F.col("_failure")["col1"],
-                "error": F.col("_failure")["col2"],
-                "event_type": F.coalesce("event_type", F.lit(UNKNOWN)),
-            }
-        )
-        .drop(
-            "_failure",
-            "_envelope",
-            "is_json",
-            "fields",
-            "source_fields",
-            "current_instant",
-            "legacy_instant",
-        )
+    failures = [
+        ("NOT is_json", JSON_ERROR, "body is not JSON"),
+        ("_e IS NULL", VALIDATION_ERROR, "body matches no envelope version"),
+        ("id IS NULL", VALUE_ERROR, "event id is empty"),
+    ]
+    if max_lengths:
+        too_long = " OR ".join(f"length({n}) > {size}" for n, size in COLUMN_LENGTHS.items())
+        failures.append((too_long, LENGTH_ERROR, "a field is too long"))
+    types = " ".join(f"WHEN {test} THEN '{kind}'" for test, kind, _ in failures)
+    texts = " ".join(f"WHEN {test} THEN '{message}'" for test, _, message in failures)
+    return rows.selectExpr(
+        "* EXCEPT (is_json, _e, event_type)",
+        f"coalesce(event_type, '{UNKNOWN}') AS event_type",
+        f"CASE {types} END AS error_type",
+        f"CASE {texts} END AS error",
     )
 
 
 def received(rows: DataFrame) -> DataFrame:
     """Rows that passed validation, whatever happened to them afterwards."""
     return rows.where(
-        F.col("error_type").isNull() | ~F.col("error_type").isin(JSON_ERROR, VALIDATION_ERROR)
+        f"error_type IS NULL OR error_type NOT IN ('{JSON_ERROR}', '{VALIDATION_ERROR}')"
     )

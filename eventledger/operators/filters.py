@@ -91,6 +91,6 @@ def get_event_by_id(events: DataFrame, event_id: str) -> DataFrame:
     return events.where(F.col("id") == event_id)
 
 
-def json_field(name: str) -> Column:
+def payload_field(name: str) -> Column:
     """A top-level payload field as text."""
     return F.get_json_object("payload", f"$.{name}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventledger.operators.envelopes import received
@@ -26,36 +26,31 @@ def events_failed_total(quarantine: DataFrame) -> DataFrame:
 
 
 def histogram(
-    rows: DataFrame, seconds: Column, bounds: Sequence[float], by: Sequence[str] = ()
+    rows: DataFrame, seconds: str, bounds: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Cumulative buckets of ``seconds`` in one pass.
+    """Cumulative buckets of the SQL expression ``seconds``, in one pass.
 
     One row per bound and one for ``+Inf``: ``le, bucket_count`` with the overall
     ``observed_sum`` and ``observed_count`` beside them. The sum runs over decimals, so
     it does not depend on the order in which partitions are merged.
     """
-    counted = [F.count_if(F.col("_s") <= F.lit(bound)).alias(f"_b{i}") for i, bound in enumerate(bounds)]
+    counts = ", ".join(f"count_if(_s <= {float(bound)}D)" for bound in bounds)
     folded = (
-        rows.select(*by, seconds.alias("_s"))
-        .where(F.col("_s").isNotNull())
+        rows.selectExpr(*by, f"{seconds} AS _s")
+        .where("_s IS NOT NULL")
         .groupBy(*by)
         .agg(
-            *counted,
-            F.sum(F.col("_s").cast("decimal(28,9)")).alias("_sum"),
-            F.count("*").alias("observed_count"),
+            F.expr(f"array({counts}, count(*)) AS _counts"),
+            F.expr("CAST(coalesce(sum(CAST(_s AS DECIMAL(28, 9))), 0) AS DOUBLE) AS observed_sum"),
+            F.expr("count(*) AS observed_count"),
         )
     )
-    labelled = [
-        F.struct(F.lit(str(float(bound))).alias("le"), F.col(f"_b{i}").alias("bucket_count"))
-        for i, bound in enumerate(bounds)
-    ]
-    labelled.append(
-        F.struct(F.lit("+Inf").alias("le"), F.col("observed_count").alias("bucket_count"))
-    )
-    return folded.select(
+    labels = ", ".join(f"'{label}'" for label in [*map(float, bounds), "+Inf"])
+    return folded.selectExpr(
         *by,
-        F.inline(F.array(*labelled)),
-        F.coalesce(F.col("_sum").cast("double"), F.lit(0.0)).alias("observed_sum"),
+        f"inline(transform(array({labels}), "
+        "(label, i) -> named_struct('le', label, 'bucket_count', _counts[i])))",
+        "observed_sum",
         "observed_count",
     )
 
@@ -63,10 +58,11 @@ def histogram(
 def storage_latency_histogram(
     events: DataFrame, bounds: Sequence[float] = STORAGE_LATENCY_BUCKETS
 ) -> DataFrame:
-    return histogram(events, F.col("storage_latency_ms") / 1000, bounds)
+    return histogram(events, "storage_latency_ms / 1000", bounds)
 
 
 def latest_storage_latency(events: DataFrame) -> DataFrame:
     """The last observed latency in milliseconds."""
-    latest = F.max_by("storage_latency_ms", F.struct("stored_at", "id"))
-    return events.agg(latest.alias("storage_latency_ms"))
+    return events.agg(
+        F.expr("max_by(storage_latency_ms, struct(stored_at, id)) AS storage_latency_ms")
+    )

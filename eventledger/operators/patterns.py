@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventledger.operators.filters import Moment, filter_correlation, filter_events
-from eventledger.operators.paging import oldest_first, query_page
-from eventledger.schema import EVENT_COLUMNS, MAX_LIMIT
+from eventledger.operators.paging import event_projection, oldest_first, query_page
+from eventledger.schema import MAX_LIMIT
 
 RECENT_EVENTS = 50
 
@@ -27,7 +27,7 @@ def conversation_context(events: DataFrame, session_id: str, event_type: str) ->
 
 def audit_trail(events: DataFrame, correlation_id: str) -> DataFrame:
     """Every event of one correlation id, oldest first; not paged."""
-    return oldest_first(filter_correlation(events, correlation_id)).select(*EVENT_COLUMNS)
+    return event_projection(oldest_first(filter_correlation(events, correlation_id)))
 
 
 def recent_events(events: DataFrame, limit: int = RECENT_EVENTS) -> DataFrame:
@@ -36,16 +36,16 @@ def recent_events(events: DataFrame, limit: int = RECENT_EVENTS) -> DataFrame:
 
 def recent_failures(quarantine: DataFrame, limit: int = RECENT_EVENTS) -> DataFrame:
     """The latest rejects."""
-    newest = quarantine.orderBy(F.col("received_at").desc(), F.col("arrival_seq").desc())
+    newest = quarantine.orderBy(F.desc("received_at"), F.desc("arrival_seq"))
     return newest.limit(limit)
 
 
 def persisted_feed(events: DataFrame) -> DataFrame:
     """One notice per stored event; ``events`` may be a stream."""
-    return events.select(
-        F.col("id").alias("original_event_id"),
-        F.col("event_type").alias("original_event_type"),
-        F.col("routing_key").alias("original_routing_key"),
+    return events.selectExpr(
+        "id AS original_event_id",
+        "event_type AS original_event_type",
+        "routing_key AS original_routing_key",
         "stored_at",
         "storage_latency_ms",
     )
@@ -53,7 +53,7 @@ def persisted_feed(events: DataFrame) -> DataFrame:
 
 def event_replay(events: DataFrame, **wanted: Moment | None) -> DataFrame:
     """Stored events again, oldest first."""
-    return oldest_first(filter_events(events, **wanted)).select(*EVENT_COLUMNS)
+    return event_projection(oldest_first(filter_events(events, **wanted)))
 
 
 def to_messages(events: DataFrame) -> DataFrame:
@@ -62,20 +62,14 @@ def to_messages(events: DataFrame) -> DataFrame:
     The envelope is the one of the two that keeps target and session. The payload text
     is put in as it is; only the other members pass through ``to_json``.
     """
-    members = F.to_json(
-        F.struct(
-            "id",
-            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"),
-            "event_type",
-            "source",
-            "target",
-            "correlation_id",
-            "session_id",
-        )
-    )
-    body = F.concat(
-        F.expr("left(members, length(members) - 1)"), F.lit(',"data":'), F.col("payload"), F.lit("}")
-    )
-    return events.withColumn("members", members).select(
-        body.alias("body"), "routing_key", F.col("stored_at").alias("received_at")
+    members = """to_json(named_struct(
+        'id', id,
+        'ts', date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        'event_type', event_type, 'source', source, 'target', target,
+        'correlation_id', correlation_id, 'session_id', session_id)) AS members"""
+    return events.selectExpr("*", members).selectExpr(
+        """concat(left(members, length(members) - 1), ',"data":', payload, '}') AS body""",
+        "routing_key",
+        "stored_at AS received_at",
+        "CAST(NULL AS BIGINT) AS arrival_seq",
     )

@@ -86,7 +86,7 @@ def _ingested(
             message_stream(spark, sf_dir, max_files),
             store,
             shared_dir(spark, "checkpoint"),
-            stored_at=F.col("processed_at"),
+            stored_at="processed_at",
         ).awaitTermination()
     return store
 
@@ -111,7 +111,7 @@ def _init_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = envelopes.normalize_envelope(messages(spark, sf_dir)).where("error_type IS NULL")
     store = new_store(spark, "append")
-    store.append_events(stamp(uniqueness.unique_by_id(rows), F.col("processed_at")))
+    store.append_events(stamp(uniqueness.unique_by_id(rows), "processed_at"))
     return _plain_times(paging.event_projection(store.events()))
 
 
@@ -187,7 +187,7 @@ def queries() -> dict[str, Query]:
     with_seq = lambda *names: lambda rows: rows.select("arrival_seq", *names)
     decoded = lambda raw: envelopes.read_fields(envelopes.decode_body(raw))
     checked = lambda test: lambda raw: decoded(raw).select(
-        "arrival_seq", F.coalesce(test(), F.lit(False)).alias("valid")
+        "arrival_seq", F.expr(f"coalesce({test()}, FALSE)").alias("valid")
     )
     window = {"start_time": START, "end_time": END}
     return {
@@ -216,7 +216,7 @@ def queries() -> dict[str, Query]:
         "first_correlation_id": _on_good(with_seq("correlation_id")),
         "default_routing_key": _on_messages(
             lambda raw: raw.select(
-                "arrival_seq", fields.default_routing_key(F.col("routing_key")).alias("routing_key")
+                "arrival_seq", F.expr(fields.default_routing_key()).alias("routing_key")
             )
         ),
         "to_utc": _on_good(with_seq("timestamp")),
@@ -229,7 +229,7 @@ def queries() -> dict[str, Query]:
             )
         ),
         "storage_latency": _on_messages(
-            lambda raw: stamp(raw, F.col("processed_at")).select(
+            lambda raw: stamp(raw, "processed_at").select(
                 "arrival_seq",
                 "storage_latency_ms",
                 F.round("storage_latency_ms", 2).alias("logged_ms"),
@@ -237,7 +237,7 @@ def queries() -> dict[str, Query]:
         ),
         "event_projection": _events(lambda events: events),
         "payload_roundtrip": _on_events(
-            lambda events: events.select("id", "payload", filters.json_field("k").alias("k"))
+            lambda events: events.select("id", "payload", filters.payload_field("k").alias("k"))
         ),
         # filters
         "filter_session": _events(lambda e: filters.filter_session(e, SESSION)),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventledger.functions.fields import default_routing_key, storage_latency
@@ -22,22 +22,22 @@ BROADCAST_IDS = 1_000_000
 _DUPLICATE = "event id is already stored"
 
 
-def stamp(rows: DataFrame, stored_at: Column | None = None) -> DataFrame:
+def stamp(rows: DataFrame, stored_at: str | None = None) -> DataFrame:
     """Add ``stored_at``, one value per batch, and the latency since receipt.
 
-    ``stored_at`` is a literal taken now unless a backfill knows better: it must not
-    change when a lost partition is computed again.
+    ``stored_at``, an SQL expression, is a literal taken now unless a backfill knows
+    better: it must not change when a lost partition is computed again.
     """
     if stored_at is None:
-        stored_at = F.lit(datetime.now(timezone.utc))
-    return rows.withColumn("stored_at", stored_at).withColumn(
-        "storage_latency_ms", storage_latency(F.col("received_at"), F.col("stored_at"))
+        stored_at = f"TIMESTAMP '{datetime.now(timezone.utc).isoformat()}'"
+    return rows.selectExpr("*", f"{stored_at} AS stored_at").selectExpr(
+        "*", f"{storage_latency()} AS storage_latency_ms"
     )
 
 
 def without_feed(raw: DataFrame, routing_keys: Sequence[str] = (FEED_ROUTING_KEY,)) -> DataFrame:
     """Drop the store's own announcements, which would otherwise announce themselves."""
-    return raw.where(~default_routing_key(F.col("routing_key")).isin(*routing_keys))
+    return raw.where(~F.expr(default_routing_key()).isin(*routing_keys))
 
 
 def _held_ids(store: EventStore, firsts: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def ingest_batch(
     store: EventStore,
     batch_id: int = 0,
     writer: str = "batch",
-    stored_at: Column | None = None,
+    stored_at: str | None = None,
     max_lengths: bool = False,
     skip_routing_keys: Sequence[str] = (FEED_ROUTING_KEY,),
 ) -> None:
@@ -72,23 +72,21 @@ def ingest_batch(
     so an id that fills a third of the batch does not end up in one task.
     """
     normalized = normalize_envelope(without_feed(raw, skip_routing_keys), max_lengths)
-    rows = (
-        stamp(normalized, stored_at)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    rows = stamp(normalized, stored_at).selectExpr("*", "monotonically_increasing_id() AS _row")
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    good = rows.where("error_type IS NULL").select("id", "arrival_seq", "_row")
+    firsts = first_writes(good, order=("arrival_seq", "_row")).select("id", "_row")
+    firsts.persist(StorageLevel.MEMORY_AND_DISK)
+    held = _held_ids(store.refresh(), firsts).select(
+        "id", ((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).alias("_by_us")
     )
-    firsts = first_writes(
-        rows.where(F.col("error_type").isNull()), order=("arrival_seq", "_row")
-    ).select("id", "_row").persist(StorageLevel.MEMORY_AND_DISK)
-    ours = (F.col("writer") == F.lit(writer)) & (F.col("batch_id") == F.lit(batch_id))
-    held = _held_ids(store.refresh(), firsts).select("id", ours.alias("_by_us"))
-    flags = firsts.join(held, "id", "left").select("_row", "_by_us", F.lit(True).alias("_first"))
-    flags = flags.persist(StorageLevel.MEMORY_AND_DISK)
+    flags = firsts.join(held, "id", "left").select("_row", "_by_us")
+    flags.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # The append comes last: writing to the events path drops cached results that
         # were read from it, and `flags` is one.
         store.write_quarantine(_rejects(rows, flags), writer, batch_id)
-        fresh = flags.where(F.col("_by_us").isNull()).select("_row")
+        fresh = flags.where("_by_us IS NULL").select("_row")
         store.append_events(rows.join(fresh, "_row", "left_semi"), writer, batch_id)
     finally:
         for cached in (flags, firsts, rows):
@@ -97,9 +95,9 @@ def ingest_batch(
 
 def _rejects(rows: DataFrame, flags: DataFrame) -> DataFrame:
     """Rows that failed before storing, and good rows that came second to their id."""
-    stored = flags.where(F.coalesce("_by_us", F.lit(True))).select("_row")
-    return (
-        rows.join(stored, "_row", "left_anti")
-        .withColumn("error", F.when(F.col("error_type").isNull(), _DUPLICATE).otherwise(F.col("error")))
-        .withColumn("error_type", F.coalesce("error_type", F.lit(INTEGRITY_ERROR)))
+    stored = flags.where("coalesce(_by_us, TRUE)").select("_row")
+    return rows.join(stored, "_row", "left_anti").selectExpr(
+        "* EXCEPT (error_type, error)",
+        f"coalesce(error_type, '{INTEGRITY_ERROR}') AS error_type",
+        f"coalesce(error, '{_DUPLICATE}') AS error",
     )

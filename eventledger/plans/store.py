@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from eventledger.functions.fields import event_day
 from eventledger.operators.filters import Moment, as_utc, filter_events
-from eventledger.schema import QUARANTINE_SCHEMA, STORED_SCHEMA
+from eventledger.schema import (
+    EVENT_COLUMNS,
+    QUARANTINE_COLUMNS,
+    QUARANTINE_SCHEMA,
+    STORED_SCHEMA,
+)
 from eventledger.session import prepare
 
 # Columns looked up by exact value. Bloom filters let a scan skip the row groups that
@@ -22,6 +27,13 @@ def _bloom_options() -> dict[str, str]:
     return options
 
 
+def _files_of(rows: DataFrame) -> list[str]:
+    """The files that hold ``rows``, a selection by partition. (``inputFiles`` would name
+    every file of the table.) Names only, of which the driver's listing has them all."""
+    names = rows.select(F.col("_metadata.file_path").alias("name")).distinct()
+    return [row["name"] for row in names.collect()]
+
+
 class EventStore:
     """Events partitioned by UTC day under ``<root>/events``, rejects under
     ``<root>/quarantine``.
@@ -82,23 +94,20 @@ class EventStore:
         split, small ones share a task. Rows are sorted within files so that row-group
         statistics narrow session and time filters.
         """
-        stamped = events.withColumns(
-            {
-                "writer": F.lit(writer),
-                "batch_id": F.lit(batch_id).cast("bigint"),
-                "event_date": event_day(F.col("timestamp")),
-            }
-        ).select(*STORED_SCHEMA.fieldNames())
+        stamped = (
+            events.selectExpr(*EVENT_COLUMNS, f"{event_day()} AS event_date")
+            .withColumn("writer", F.lit(writer))
+            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        )
         self._write_by_day(stamped, self.events_path)
         self.refresh()
 
     def write_quarantine(self, rejects: DataFrame, writer: str, batch_id: int) -> None:
         """Store a batch's rejects; writing the same batch again replaces them."""
         (
-            rejects.withColumns(
-                {"writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")}
-            )
-            .select(*QUARANTINE_SCHEMA.fieldNames())
+            rejects.select(*QUARANTINE_COLUMNS)
+            .withColumn("writer", F.lit(writer))
+            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("writer", "batch_id")
@@ -114,9 +123,6 @@ class EventStore:
         """
         day = as_utc(cutoff).date()
         live = self.refresh().events().where(F.col("event_date") < F.lit(day))
-        files = live.inputFiles()
-        if not files:
-            return 0
         row_key = ["event_date", "id", "writer", "batch_id"]
         self.spark.createDataFrame([], STORED_SCHEMA).write.mode("ignore").partitionBy(
             "event_date"
@@ -129,7 +135,7 @@ class EventStore:
         missing = live.select(*row_key).join(done, row_key, "left_anti").count()
         if missing:
             raise RuntimeError(f"{missing} events did not reach the archive; live rows kept")
-        self._delete(files)
+        self._delete(_files_of(live))
         self.refresh()
         return moved
 
@@ -140,7 +146,7 @@ class EventStore:
         """
         date = as_utc(day).date()
         rows = self.refresh().events().where(F.col("event_date") == F.lit(date))
-        files = rows.inputFiles()
+        files = _files_of(rows)
         staging = f"{self.root}/compaction/{date}"
         ordered = rows.drop("event_date").hint("rebalance").sortWithinPartitions(
             "session_id", "timestamp"
@@ -172,7 +178,7 @@ class EventStore:
             .parquet(path)
         )
 
-    def _path(self, name: str):
+    def _path(self, name):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
     def _file_system(self):
@@ -181,7 +187,7 @@ class EventStore:
     def _delete(self, files: list[str]) -> None:
         file_system = self._file_system()
         for name in files:
-            file_system.delete(self._path(name), False)
+            file_system.delete(self._path(self.spark._jvm.java.net.URI(name)), False)
 
     def _replace(self, files: list[str], staging: str, target: str) -> None:
         file_system = self._file_system()

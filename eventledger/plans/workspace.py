@@ -7,7 +7,6 @@ each of them would only repeat the same work.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventledger.plans.ingest import ingest_batch
@@ -38,7 +37,7 @@ def filled_store(spark: SparkSession, sf_dir: str) -> EventStore:
 
     def build() -> EventStore:
         store = new_store(spark, "store")
-        ingest_batch(messages(spark, sf_dir), store, stored_at=F.col("processed_at"))
+        ingest_batch(messages(spark, sf_dir), store, stored_at="processed_at")
         return store
 
     return _once(prepare(spark), sf_dir, "store", build)
@@ -53,7 +52,7 @@ def landing(spark: SparkSession, sf_dir: str) -> str:
 
     def build() -> str:
         path = shared_dir(spark, "landing")
-        messages(spark, sf_dir).write.json(path)
+        messages(spark, sf_dir).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
         return path
 
     return _once(prepare(spark), sf_dir, "landing", build)

@@ -87,3 +87,4 @@ QUARANTINE_SCHEMA = T.StructType(
         T.StructField("batch_id", T.LongType()),
     ]
 )
+QUARANTINE_COLUMNS = tuple(QUARANTINE_SCHEMA.fieldNames()[:-2])

@@ -7,8 +7,7 @@ current envelopes, odd ids legacy ones; a fixed share is malformed or sent twice
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from eventledger.session import estimated_bytes
 
@@ -16,69 +15,54 @@ DUPLICATE_SEQ_SHIFT = 1_000_000_000
 SPLIT_BYTES = 128 << 20
 
 
-def _quoted(value: Column) -> Column:
-    return F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
-
-
-def _iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-
-
-def _members(*members: Column) -> Column:
-    """A JSON object out of members, of which NULL ones are left out."""
-    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
-
-
-def _member(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f'"{name}":'), value)
-
-
-def _current_body(n: Column, event_id: Column, payload: Column) -> Column:
-    user = F.col("user_id")
-    app = (
-        F.when(n % 12 == 0, F.lit('""'))
-        .when(n % 6 == 0, F.lit(None).cast("string"))
-        .otherwise(_quoted(F.concat(F.lit("app"), user % 5)))
-    )
-    correlation = (
-        F.when(n % 28 == 0, F.lit("[]"))
-        .when(n % 14 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit('["c'), F.expr("event_id DIV 10"), F.lit('","x"]')))
-    )
-    source = _members(
-        _member("host", _quoted(F.concat(F.lit("host"), user % 3))),
-        _member("type", F.lit('"service"')),
-        _member("app", app),
-    )
-    return _members(
-        _member("event_id", event_id),
-        _member("event_type", _quoted(F.col("event_type"))),
-        _member(
-            "timestamp", _quoted(F.concat(_iso(F.col("ts") + F.expr("INTERVAL 2 HOURS")), F.lit("+02:00")))
-        ),
-        _member("version", F.lit('"1.0"')),
-        _member("source", source),
-        _member("correlation_ids", correlation),
-        _member("agent_context", F.lit('{"depth":1}')),
-        _member("payload", payload),
-    )
-
-
-def _legacy_body(n: Column, event_id: Column, payload: Column) -> Column:
-    user = F.col("user_id")
-    target = F.when(n % 4 == 1, _quoted(F.concat(F.lit("svc"), user % 4))).when(
-        n % 4 == 3, F.lit("null")
-    )
-    return _members(
-        _member("id", event_id),
-        _member("ts", _quoted(_iso(F.col("ts")))),
-        _member("event_type", _quoted(F.col("event_type"))),
-        _member("source", _quoted(F.concat(F.lit("svc"), user % 5))),
-        _member("data", payload),
-        _member("target", target),
-        _member("correlation_id", _quoted(F.concat(F.lit("c"), F.expr("event_id DIV 10")))),
-        _member("session_id", _quoted(F.concat(F.lit("s"), user))),
+_EVENT_ID = """CASE
+  WHEN event_id % 97 = 4 THEN '""'
+  WHEN event_id % 97 = 2 AND event_id % 4 < 2 THEN string(event_id)
+  WHEN event_id % 97 <> 2 THEN concat('"', event_id, '"')
+END"""
+
+_PAYLOAD = "CASE WHEN event_id % 97 = 3 THEN '[1,2]' ELSE props END"
+
+# concat gives NULL for a NULL value and concat_ws leaves NULL members out.
+_CURRENT = """concat('{', concat_ws(',',
+  concat('"event_id":', {event_id}),
+  concat('"event_type":"', event_type, '"'),
+  concat('"timestamp":"', date_format(ts + INTERVAL 2 HOURS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), '+02:00"'),
+  '"version":"1.0"',
+  concat('"source":{', concat_ws(',',
+    concat('"host":"host', user_id % 3, '"'),
+    '"type":"service"',
+    CASE
+      WHEN event_id % 12 = 0 THEN '"app":""'
+      WHEN event_id % 6 <> 0 THEN concat('"app":"app', user_id % 5, '"')
+    END), '}'),
+  CASE
+    WHEN event_id % 28 = 0 THEN '"correlation_ids":[]'
+    WHEN event_id % 14 <> 0 THEN concat('"correlation_ids":["c', event_id DIV 10, '","x"]')
+  END,
+  '"agent_context":{"depth":1}',
+  concat('"payload":', {payload})), '}')"""
+
+_LEGACY = """concat('{', concat_ws(',',
+  concat('"id":', {event_id}),
+  concat('"ts":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), '"'),
+  concat('"event_type":"', event_type, '"'),
+  concat('"source":"svc', user_id % 5, '"'),
+  concat('"data":', {payload}),
+  CASE
+    WHEN event_id % 4 = 1 THEN concat('"target":"svc', user_id % 4, '"')
+    WHEN event_id % 4 = 3 THEN '"target":null'
+  END,
+  concat('"correlation_id":"c', event_id DIV 10, '"'),
+  concat('"session_id":"s', user_id, '"')), '}')"""
+
+
+def _body(payload: str) -> str:
+    current, legacy = (
+        text.replace("{event_id}", _EVENT_ID).replace("{payload}", payload)
+        for text in (_CURRENT, _LEGACY)
     )
+    return f"CASE WHEN event_id % 2 = 0 THEN {current} ELSE {legacy} END"
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,35 +78,23 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages_from_events(events: DataFrame) -> DataFrame:
     """``RAW_SCHEMA`` plus ``processed_at``; one narrow pass, no shuffle."""
-    n = F.col("event_id")
-    kind = n % 97
-    event_id = (
-        F.when(kind == 4, F.lit('""'))
-        .when((kind == 2) & (n % 4 < 2), n.cast("string"))
-        .when(kind == 2, F.lit(None).cast("string"))
-        .otherwise(_quoted(n))
-    )
-    payload = F.when(kind == 3, F.lit("[1,2]")).otherwise(F.col("props"))
-    good = F.when(n % 2 == 0, _current_body(n, event_id, payload)).otherwise(
-        _legacy_body(n, event_id, payload)
-    )
-    body = (
-        F.when((kind == 1) & (n % 2 == 0), F.lit("{oops"))
-        .when(kind == 1, F.concat(good, F.lit(" zz")))
-        .when((kind == 3) & (n % 4 == 0), F.lit("[1]"))
-        .otherwise(good)
-    )
-    second = F.when(n % 2 == 0, _current_body(n, event_id, F.lit('{"dup":true}'))).otherwise(
-        _legacy_body(n, event_id, F.lit('{"dup":true}'))
-    )
-    first_copy = F.struct(body.alias("body"), n.alias("arrival_seq"))
-    second_copy = F.struct(second.alias("body"), (n + DUPLICATE_SEQ_SHIFT).alias("arrival_seq"))
-    received_at = F.col("ts").cast("timestamp")
-    return events.select(
-        F.inline(F.when(kind == 5, F.array(first_copy, second_copy)).otherwise(F.array(first_copy))),
-        F.when(n % 50 == 0, F.lit("")).otherwise(F.col("event_type")).alias("routing_key"),
-        received_at.alias("received_at"),
-        F.timestamp_add(
-            "MICROSECOND", F.round(F.col("value") * 1000).cast("int"), received_at
-        ).alias("processed_at"),
+    first = f"""CASE
+      WHEN event_id % 97 = 1 AND event_id % 2 = 0 THEN '{{oops'
+      WHEN event_id % 97 = 1 THEN concat({_body(_PAYLOAD)}, ' zz')
+      WHEN event_id % 97 = 3 AND event_id % 4 = 0 THEN '[1]'
+      ELSE {_body(_PAYLOAD)}
+    END"""
+    again = _body("""'{"dup":true}'""")
+    copies = f"""CASE WHEN event_id % 97 = 5
+      THEN array(
+        named_struct('body', {first}, 'arrival_seq', event_id),
+        named_struct('body', {again}, 'arrival_seq', event_id + {DUPLICATE_SEQ_SHIFT}))
+      ELSE array(named_struct('body', {first}, 'arrival_seq', event_id))
+    END"""
+    received_at = "CAST(ts AS TIMESTAMP)"
+    return events.selectExpr(
+        f"inline({copies})",
+        "CASE WHEN event_id % 50 = 0 THEN '' ELSE event_type END AS routing_key",
+        f"{received_at} AS received_at",
+        f"timestampadd(MICROSECOND, CAST(round(value * 1000) AS INT), {received_at}) AS processed_at",
     ).select("body", "routing_key", "received_at", "arrival_seq", "processed_at")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from eventledger.operators.envelopes import normalize_envelope
@@ -21,7 +21,7 @@ def ingest_stream(
     store: EventStore,
     checkpoint: str,
     interval: str | None = None,
-    stored_at: Column | None = None,
+    stored_at: str | None = None,
     max_lengths: bool = False,
 ) -> StreamingQuery:
     """Start storing ``raw``, a streaming DataFrame.
