@@ -4,7 +4,7 @@ from eventledger.functions import variants
 
 # --- fixed values: accepted text forms and the bounds of numeric timestamps ---
 DATE_TEXT = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
-TIME_TEXT = "[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
+TIME_TEXT = "[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,9})?"
 ZONE_TEXT = "(Z|[+-][0-9]{2}:?[0-9]{2})"
 LARGEST_EPOCH_SECONDS = 20_000_000_000
 LARGEST_EPOCH_MILLIS = 253_402_300_799_999  # the end of year 9999
@@ -23,10 +23,13 @@ def _written_out(text: str) -> str:
 def text_to_utc(text: str) -> str:
     """ISO-8601 text to an instant, whatever the session time zone; bad text gives NULL.
 
-    Lower-case ``t`` and ``z``, ``_`` as separator and a decimal comma are accepted too,
-    but only texts that fail the usual form pay for them.
+    Lower-case ``t`` and ``z``, ``_`` as separator, a decimal comma and times without
+    seconds are accepted too, but only texts that fail the usual form pay for them.
     """
-    unusual = f"translate({text}, 'tz_,', 'TZ .')"
+    unusual = (
+        f"regexp_replace(translate({text}, 'tz_,', 'TZ .'), "
+        f"'^({DATE_TEXT}.[0-9]{{2}}:[0-9]{{2}}){ZONE_TEXT}?$', '$1:00$2')"
+    )
     return (
         f"coalesce(try_cast({_written_out(text)} AS TIMESTAMP), "
         f"try_cast({_written_out(unusual)} AS TIMESTAMP))"
