@@ -161,10 +161,14 @@ def normalize_envelope(raw: DataFrame, max_lengths: bool = False) -> DataFrame:
     # A filter on the outcome would be pushed down as one expression that parses the body
     # again for every field it mentions. Filters stop at a generator, so this one keeps
     # the work at two parses per row.
-    envelopes = read_fields(decode_body(raw)).selectExpr(
-        *kept,
-        f"{fields.default_routing_key()} AS routing_key",
-        f"inline(array(named_struct('is_json', is_json, '_e', {envelope})))",
+    envelopes = (
+        read_fields(decode_body(raw))
+        .selectExpr(
+            *kept,
+            f"{fields.default_routing_key()} AS routing_key",
+            f"named_struct('is_json', is_json, '_e', {envelope}) AS _outcome",
+        )
+        .selectExpr(*kept, "routing_key", "inline(array(_outcome))")
     )
     rows = envelopes.selectExpr(
         "*", "_e.*", f"{fields.resolve_event_id('_e.event_id')} AS id"
