@@ -23,13 +23,14 @@ def is_optional_string(value: str) -> str:
     return f"coalesce({kind(value)} IN ('STRING', 'VOID'), TRUE)"
 
 
-def is_object(value: str) -> str:
+def is_object(value: str, path: str = "$") -> str:
     """Tested by a cast to the empty struct, which does not walk the members."""
-    return f"try_variant_get({value}, '$', 'struct<>') IS NOT NULL"
+    return f"try_variant_get({value}, '{path}', 'struct<>') IS NOT NULL"
 
 
-def is_optional_object(value: str) -> str:
-    return f"({value} IS NULL OR is_variant_null({value}) OR {is_object(value)})"
+def is_optional_object(value: str, path: str = "$") -> str:
+    member = f"try_variant_get({value}, '{path}', 'variant')"
+    return f"({member} IS NULL OR is_variant_null({member}) OR {is_object(value, path)})"
 
 
 def is_string_list(value: str) -> str:
