@@ -135,6 +135,7 @@ def skip_ahead(
     Counts per day, hour, minute, second, instant and id prefix, each within the stretch
     found before, until offset + limit rows fit a top-k. Exact; nothing is sorted whole.
     """
+    keep = max(keep, limit)
     events, offset = narrow_to_days(events, offset, limit)
     steps = [
         ("hour", timedelta(hours=1)),

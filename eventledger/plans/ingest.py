@@ -15,9 +15,10 @@ from eventledger.operators.uniqueness import first_writes
 from eventledger.plans.store import EventStore
 from eventledger.schema import FEED_ROUTING_KEY, INTEGRITY_ERROR
 
-# Ids of a batch are broadcast to the key check up to this many (about 100 MB);
-# beyond it the check is a shuffled join.
-BROADCAST_IDS = 1_000_000
+# Ids of a batch are broadcast to the key check up to this size; beyond it the check is
+# a shuffled join.
+BROADCAST_BYTES = 64 << 20
+_ROW_OVERHEAD = 32
 
 _DUPLICATE = "event id is already stored"
 
@@ -47,7 +48,8 @@ def _held_ids(store: EventStore, firsts: DataFrame) -> DataFrame:
     is small, so the store is scanned but not shuffled.
     """
     batch_ids = firsts.select("id")
-    if firsts.count() <= BROADCAST_IDS:
+    size = firsts.selectExpr(f"sum(octet_length(id) + {_ROW_OVERHEAD})").first()[0] or 0
+    if size <= BROADCAST_BYTES:
         batch_ids = F.broadcast(batch_ids)
     return store.events().select("id", "writer", "batch_id").join(batch_ids, "id", "left_semi")
 

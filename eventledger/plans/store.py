@@ -139,25 +139,6 @@ class EventStore:
         self.refresh()
         return moved
 
-    def compact(self, day: Moment) -> None:
-        """Rewrite one past day into few large sorted files, then drop the small ones.
-
-        No ingest may write to that day meanwhile.
-        """
-        date = as_utc(day).date()
-        rows = self.refresh().events().where(F.col("event_date") == F.lit(date))
-        files = _files_of(rows)
-        staging = f"{self.root}/compaction/{date}"
-        ordered = rows.drop("event_date").hint("rebalance").sortWithinPartitions(
-            "session_id", "timestamp"
-        )
-        ordered.write.options(**_bloom_options()).mode("overwrite").parquet(staging)
-        staged = self.spark.read.parquet(staging)
-        if staged.count() != rows.count():
-            raise RuntimeError(f"compaction of {date} is incomplete; live files kept")
-        self._replace(files, staging, f"{self.events_path}/event_date={date}")
-        self.refresh()
-
     def tail(self, max_files_per_trigger: int | None = None, **wanted: Moment | None) -> DataFrame:
         """A stream of the stored events: what is there first, then what arrives."""
         reader = self.spark.readStream.schema(STORED_SCHEMA)
@@ -188,11 +169,3 @@ class EventStore:
         file_system = self._file_system()
         for name in files:
             file_system.delete(self._path(self.spark._jvm.java.net.URI(name)), False)
-
-    def _replace(self, files: list[str], staging: str, target: str) -> None:
-        file_system = self._file_system()
-        for status in file_system.listStatus(self._path(staging)):
-            name = status.getPath().getName()
-            if name.startswith("part-"):
-                file_system.rename(status.getPath(), self._path(f"{target}/{name}"))
-        self._delete(files)

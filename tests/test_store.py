@@ -2,6 +2,7 @@ import json
 from datetime import timedelta
 from pathlib import Path
 
+import duckdb
 import pytest
 from conftest import event, events, raw, rows_of, utc
 
@@ -11,7 +12,7 @@ from eventledger.plans.store import EventStore
 from eventledger.schema import FEED_ROUTING_KEY
 from eventledger.session import shared_dir
 from eventledger.sources.messages import raw_message_source
-from eventledger.streaming.ingest import append_stream, ingest_stream
+from eventledger.streaming.ingest import append_stream, dedup_stream_bounded, ingest_stream
 
 DAY = utc(2024, 5, 1)
 
@@ -103,7 +104,7 @@ def test_equal_arrival_positions_still_store_one(spark, store):
 
 
 def test_a_large_batch_checks_keys_without_a_broadcast(spark, store, monkeypatch):
-    monkeypatch.setattr("eventledger.plans.ingest.BROADCAST_IDS", 0)
+    monkeypatch.setattr("eventledger.plans.ingest.BROADCAST_BYTES", -1)
     ingest_batch(raw(spark, body("a")), store, batch_id=0)
     ingest_batch(raw(spark, body("a"), body("b")), store, batch_id=1)
     assert set(stored(store)) == {"a", "b"} and failures(store) == [("IntegrityError", 0)]
@@ -230,14 +231,48 @@ def test_archived_ids_may_return(spark, store):
     assert store.events().count() == 1 and failures(store) == []
 
 
-def test_compact_keeps_rows_in_fewer_files(spark, store):
-    for n in range(3):
-        store.append_events(events(spark, event(id=str(n), timestamp=DAY)))
-    store.append_events(events(spark, event(id="other", timestamp=DAY + timedelta(1))))
-    before = rows_of(store.events())
-    store.compact("2024-05-01")
-    assert rows_of(store.events()) == before
-    assert len(list(Path(store.events_path).glob("event_date=2024-05-01/*.parquet"))) == 1
+def many_events(spark):
+    return spark.range(0, 60_000, 1, 8).selectExpr(
+        "sha2(string(id), 256) AS id",
+        "'t' AS event_type",
+        "'s' AS source",
+        "CAST(NULL AS STRING) AS target",
+        "'t' AS routing_key",
+        "TIMESTAMP '2024-05-01T00:00:00Z' AS timestamp",
+        "TIMESTAMP '2024-05-01T00:00:00Z' AS stored_at",
+        "'{}' AS payload",
+        "md5(string(id)) AS session_id",
+        "md5(string(id)) AS correlation_id",
+        "1.0D AS storage_latency_ms",
+    )
+
+
+def test_lookup_columns_have_bloom_filters(spark, store):
+    store.append_events(many_events(spark))
+    filtered = duckdb.sql(
+        "SELECT DISTINCT path_in_schema FROM parquet_metadata("
+        f"'{store.events_path}/*/*.parquet') WHERE bloom_filter_offset IS NOT NULL"
+    ).fetchall()
+    assert {name for (name,) in filtered} == {"id", "session_id", "correlation_id"}
+
+
+def test_one_day_is_split_over_files(spark, store):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        store.append_events(many_events(spark))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(Path(store.events_path).glob("event_date=2024-05-01/*.parquet"))) > 1
+
+
+def test_bounded_dedup_of_a_hot_id(spark, tmp_path):
+    landing = str(tmp_path / "in")
+    write_landing(spark, landing, raw(spark, *[body("hot")] * 40, *[body(str(n)) for n in range(20)]))
+    rows = dedup_stream_bounded(raw_message_source(spark, landing), "1 hour", salts=4)
+    out = str(tmp_path / "out")
+    append_stream(rows.select("id"), out, str(tmp_path / "checkpoint")).awaitTermination()
+    found = sorted(row.id for row in spark.read.parquet(out).collect())
+    assert found == sorted(["hot", *map(str, range(20))])
 
 
 def test_work_folder_comes_from_the_session(spark):
