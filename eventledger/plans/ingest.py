@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -72,14 +73,21 @@ def ingest_batch(
     First write wins per id, by ``arrival_seq`` within the batch and by batch otherwise.
     Joins run on the row number or on ids that are unique by then, never on the raw ids,
     so an id that fills a third of the batch does not end up in one task.
+
+    The decoded batch is written to the store's staging folder first. That decodes every
+    body once and fixes the row numbers: a partition that is lost later on is read
+    again, not numbered anew. Each step after it reads only the columns it needs.
     """
     normalized = normalize_envelope(without_feed(raw, skip_routing_keys), max_lengths)
-    rows = stamp(normalized, stored_at).selectExpr("*", "monotonically_increasing_id() AS _row")
-    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    numbered = stamp(normalized, stored_at).selectExpr(
+        "*", "monotonically_increasing_id() AS _row"
+    )
+    stage = hashlib.md5(f"{writer}/{batch_id}".encode()).hexdigest()
+    rows = store.refresh().stage(numbered, stage)
     good = rows.where("error_type IS NULL").select("id", "arrival_seq", "_row")
     firsts = first_writes(good, order=("arrival_seq", "_row")).select("id", "_row")
     firsts.persist(StorageLevel.MEMORY_AND_DISK)
-    held = _held_ids(store.refresh(), firsts).select(
+    held = _held_ids(store, firsts).select(
         "id", ((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).alias("_by_us")
     )
     flags = firsts.join(held, "id", "left").select("_row", "_by_us")
@@ -91,8 +99,9 @@ def ingest_batch(
         fresh = flags.where("_by_us IS NULL").select("_row")
         store.append_events(rows.join(fresh, "_row", "left_semi"), writer, batch_id)
     finally:
-        for cached in (flags, firsts, rows):
-            cached.unpersist()
+        flags.unpersist()
+        firsts.unpersist()
+        store.drop_stage(stage)
 
 
 def _rejects(rows: DataFrame, flags: DataFrame) -> DataFrame:

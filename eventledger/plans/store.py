@@ -48,6 +48,7 @@ class EventStore:
         self.events_path = f"{self.root}/events"
         self.quarantine_path = f"{self.root}/quarantine"
         self.archive_path = f"{self.root}/archive"
+        self.staging_path = f"{self.root}/staging"
         self._snapshot: DataFrame | None = None
 
     def init(self, table: str | None = None) -> EventStore:
@@ -114,6 +115,16 @@ class EventStore:
             .parquet(self.quarantine_path)
         )
 
+    def stage(self, rows: DataFrame, name: str) -> DataFrame:
+        """Write ``rows`` under the store and read them back: their lineage ends here."""
+        path = f"{self.staging_path}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def drop_stage(self, name: str) -> None:
+        path = self._path(f"{self.staging_path}/{name}")
+        self._file_system().delete(path, True)
+
     def archive_before(self, cutoff: Moment) -> int:
         """Move events of days before ``cutoff`` to the archive; returns how many moved.
 

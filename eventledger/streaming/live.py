@@ -33,7 +33,7 @@ def publish_counters(
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return (
         counters.writeStream.outputMode("complete")

@@ -89,6 +89,11 @@ def test_a_half_written_batch_is_completed(spark, store):
     assert failures(store) == []
 
 
+def test_no_stage_is_left_behind(spark, store):
+    ingest_batch(raw(spark, body("a")), store)
+    assert not list(Path(store.root, "staging").glob("*"))
+
+
 def test_another_writer_is_no_repeat(spark, store):
     batch = raw(spark, body("a"), "{oops")
     ingest_batch(batch, store, writer="one")
