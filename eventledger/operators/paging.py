@@ -154,6 +154,11 @@ def skip_ahead(
     return events, offset
 
 
+def is_large(events: DataFrame) -> bool:
+    size = estimated_bytes(events)
+    return size is None or size > PRUNE_BYTES
+
+
 def page(
     events: DataFrame,
     limit: int = DEFAULT_LIMIT,
@@ -171,10 +176,7 @@ def page(
     if offset + limit > keep:
         events, offset = skip_ahead(events, offset, limit, keep)
     else:
-        if prune is None:
-            size = estimated_bytes(events)
-            prune = size is None or size > PRUNE_BYTES
-        if prune:
+        if is_large(events) if prune is None else prune:
             events, offset = narrow_to_days(events, offset, limit)
     return event_projection(offset_events(events, offset, limit))
 
@@ -184,7 +186,9 @@ def query_page(
 ) -> DataFrame:
     """Filter, order newest first and cut out one page."""
     validate_page_args(limit, offset)
-    return page(filter_events(events, **wanted), limit, offset)
+    # The size is that of the files, with or without filters; asking the unfiltered table
+    # needs no further planning.
+    return page(filter_events(events, **wanted), limit, offset, prune=is_large(events))
 
 
 def page_after(
@@ -200,7 +204,7 @@ def page_after(
     older = filter_end_time(filter_events(events, **wanted), timestamp).where(
         (F.col("timestamp") < at) | (F.col("id") > F.lit(event_id))
     )
-    return page(older, limit)
+    return page(older, limit, prune=is_large(events))
 
 
 def total_count(events: DataFrame, **wanted: Moment | None) -> DataFrame:

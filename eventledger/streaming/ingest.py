@@ -31,7 +31,7 @@ def ingest_stream(
     and its number, so a restart neither loses nor repeats an event. There is no
     watermark: an event of any age is stored.
     """
-    writer = hashlib.md5(checkpoint.encode()).hexdigest()
+    writer = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch_store = EventStore(batch.sparkSession, store.root)

@@ -108,6 +108,22 @@ def test_equal_arrival_positions_still_store_one(spark, store):
     assert store.events().count() == 1 and failures(store) == [("IntegrityError", 7)]
 
 
+def test_an_id_with_a_third_of_all_messages(spark, store):
+    rows = spark.range(0, 3_000, 1, 8).selectExpr(
+        """concat('{"id":"', IF(id % 3 = 0, 'hot', string(id)), '","ts":"2024-05-01",',
+            '"event_type":"t","source":"s","data":{"n":', id, '}}') AS body""",
+        "'k' AS routing_key",
+        "TIMESTAMP '2024-05-01T00:00:00Z' AS received_at",
+        "3000 - id AS arrival_seq",
+    )
+    for batch_id in (0, 1):
+        ingest_batch(rows, store, batch_id)
+        assert store.events().count() == 2_001
+        assert stored(store)["hot"].payload == '{"n":2997}'
+    assert store.quarantine().where("batch_id = 0").count() == 999
+    assert store.quarantine().where("batch_id = 1").count() == 3_000
+
+
 def test_a_large_batch_checks_keys_without_a_broadcast(spark, store, monkeypatch):
     monkeypatch.setattr("eventledger.plans.ingest.BROADCAST_BYTES", -1)
     ingest_batch(raw(spark, body("a")), store, batch_id=0)
