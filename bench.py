@@ -23,6 +23,7 @@ from eventledger.session import prepare
 from eventledger.sources.messages import raw_message_source
 
 RUNS = 7
+INGEST_RUNS = 3
 
 
 def timed(run) -> float:
@@ -49,9 +50,10 @@ def main() -> None:
     sent = raw.count()
 
     ingests = []
-    for _ in range(3):
+    for _ in range(1 + INGEST_RUNS):  # the first is warm-up
         store = new_store(spark, "bench")
         ingests.append(timed(lambda: ingest_batch(raw, store, stored_at="processed_at")))
+    ingest = statistics.median(ingests[1:])
     stored = store.events()
     quarantine = store.quarantine()
     window = {"start_time": catalog.START, "end_time": catalog.END}
@@ -86,12 +88,12 @@ def main() -> None:
         "unique_by_id": lambda: drain(uniqueness.unique_by_id(good())),
         "duplicate_rejects": lambda: drain(uniqueness.duplicate_rejects(good())),
     }
-    medians, p95 = {"ingest_batch": min(ingests)}, {}
+    medians, p95 = {"ingest_batch": ingest}, {}
     for name, run in runs.items():
         run()
         times = sorted(timed(run) for _ in range(RUNS))
         medians[name] = statistics.median(times)
-        p95[name] = times[-1]
+        p95[name] = times[-1]  # nearest rank: of seven runs, the slowest
     spark.stop()
 
     print(
@@ -103,7 +105,7 @@ def main() -> None:
                 "queries": {name: round(value, 4) for name, value in medians.items()},
                 "p95": {name: round(value, 4) for name, value in p95.items()},
                 "messages": sent,
-                "ingest_events_per_sec": round(sent / min(ingests)),
+                "ingest_events_per_sec": round(sent / ingest),
                 "decode_events_per_sec": round(sent / medians["normalize_envelope"]),
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "cpus": int(cpus),
