@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventledger.llm import substrings
+from eventledger.llm import simhash, substrings
 from eventledger.llm.common import SPACE, read_table
 from eventledger.session import prepare
 
@@ -42,8 +42,20 @@ FROM d LEFT JOIN gone USING (doc_id)
 """
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
+    return found.select(
+        simhash.known_id("_key").alias("doc_id"),
+        simhash.hex_digits("fp").alias("fingerprint"),
+        simhash.known_id("component").alias("component_id"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op5_substring_dedup": op5_substring_dedup}
+    return {
+        "op5_substring_dedup": op5_substring_dedup,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
