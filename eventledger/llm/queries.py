@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventledger.llm import simhash, substrings
+from eventledger.llm import pages, rules, simhash, substrings, topk
 from eventledger.llm.common import SPACE, read_table
 from eventledger.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read_table(prepare(spark), sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.remove_repeats(read_table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
     joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
@@ -42,6 +46,13 @@ FROM d LEFT JOIN gone USING (doc_id)
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.measure(read_table(prepare(spark), sf_dir, "documents"), columns=["doc_id"])
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
     return found.select(
@@ -51,12 +62,38 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(prepare(spark), sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("vec_id"), topk.whole_numbers(F.col("embedding")).alias("v")
+    )
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+OP10_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id)::INTEGER AS rank,
+       c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+QUALIFY rank <= 20
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_html_extraction": op3_html_extraction,
         "op5_substring_dedup": op5_substring_dedup,
+        "op7_quality_rules": op7_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_exact_top_k": op10_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL}
+    return {"op5_substring_dedup": OP5_SQL,
+        "op10_exact_top_k": OP10_SQL,
+    }
