@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventledger.llm import pages, rules, simhash, substrings, topk
+from eventledger.llm import pages, pieces, rules, simhash, substrings, topk
 from eventledger.llm.common import SPACE, read_table
 from eventledger.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Vocabulary file of a public tokenizer.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    model = pieces.Model.load(path)
+    rows = read_table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(rows, model), model)
+    spaced = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE_MARK, " ")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == spaced).alias("round_trip")
+    )
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read_table(prepare(spark), sf_dir, "pages"))
 
@@ -85,6 +100,7 @@ QUALIFY rank <= 20
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_html_extraction": op3_html_extraction,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
