@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventledger.llm import pages, pieces, rules, simhash, substrings, topk
+from eventledger.llm import mixing, pages, pieces, rules, simhash, substrings, topk
 from eventledger.llm.common import SPACE, read_table
 from eventledger.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Shares of all tokens that a training mixture shall have.
+SHARES = {"good": 0.94, "low": 0.04, "toxic": 0.02}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(read_table(prepare(spark), sf_dir, "labels"))
+    rows, domains = mixing.mix(read_table(spark, sf_dir, "documents"), labels, shares=SHARES)
+    return rows.select(
+        simhash.known_id("_key").alias("doc_id"),
+        "n_tokens",
+        *(F.col(f"p_{d}").alias(f"p_{name}") for d, name in enumerate(domains)),
+        "rate",
+    )
+
+
 #: Vocabulary file of a public tokenizer.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -100,6 +115,7 @@ QUALIFY rank <= 20
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_html_extraction": op3_html_extraction,
         "op5_substring_dedup": op5_substring_dedup,
