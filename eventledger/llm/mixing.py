@@ -1,20 +1,20 @@
 """Mixing a corpus to target weights, with documents that belong to domains by degrees.
 
-Labels name domains for some documents. A naive Bayes classifier over hashed words, counted
-in Spark, gives every document a posterior over the domains. Rates, the numbers of times
+Labels name domains for some documents. A naive Bayes classifier over the hashed words
+that a text holds, counted in Spark, gives every document a posterior over the domains. Rates, the numbers of times
 that documents should be read, then solve a least squares problem: expected tokens of each
 domain, the sum of rate * tokens * posterior, shall equal the targets, with no rate below
 zero. It is solved by projected gradient steps from a rate of one. Residuals are whitened
-by the domains' Gram matrix, so that the step length is one and a few steps do; each step
-is one aggregation over narrow rows, and only as many numbers as there are domains reach
-the driver. Rates are a fold over these few steps and need no table of their own.
+by the Gram matrix of the domains over documents with a rate above zero, so that the step
+length is one and a few steps do; each step is one aggregation over narrow rows, of which a
+few numbers for each pair of domains reach the driver. Rates are a fold over these few steps and need no table of their own.
 
 All of it is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,10 +22,17 @@ from pyspark.sql import functions as F
 
 from eventledger.llm.common import SPACE, long_id, text_tag, written
 
-BUCKETS = 4096
+SLOTS = 16384
 FIT_ROWS = 20_000  # labelled documents that the classifier is fitted on, at most
-FULL_WORDS = 400  # evidence of longer texts counts as that of so many words
+FULL_WORDS = 400  # evidence of longer texts counts as that of so many different words
+#: A word's log odds count from so many standard errors and so great an effect on, if this
+#: share of a domain's documents hold it: less is what a few documents and their copies, or a
+#: domain's share of a language, bring about by chance.
+SURE = 4.0
+EFFECT = 1.0
+SUPPORT = 0.05
 STEPS = 30
+DAMP = 0.01  # keeps rates moderate where few documents tell domains apart
 CLOSE = 1e-6  # residual, as a share of all tokens, at which steps end
 
 
@@ -33,51 +40,82 @@ def _words(text: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _codes(text: str) -> Column:
+    """The different words of a text as hashes: repetition is no evidence."""
+    return F.array_distinct(F.transform(_words(text), lambda w: F.xxhash64(w)))
+
+
+@dataclass
+class Classifier:
+    """Domains, their log priors, and a hash table of telling words: a code and weights a slot."""
+
+    domains: list[str]
+    prior: np.ndarray
+    codes: np.ndarray
+    weights: np.ndarray  # domains by slots
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = FIT_ROWS):
-    """(domains, log priors, log word weights by domain) from ``labels(id, domain)``.
+    """A classifier from ``labels(id, domain)``.
 
     Ids that several domains claim go to the first by name; of more than ``rows`` labelled
-    ids, those with the smallest hashes are used.
+    ids, those with the smallest hashes are used. Equal texts of a domain count once.
     """
     once = labels.where(f"`{id_col}` IS NOT NULL AND domain IS NOT NULL").groupBy(id_col).agg(F.min("domain").alias("domain"))
     chosen = once.orderBy(F.xxhash64(id_col), id_col).limit(rows).select(F.col(id_col).cast("long").alias("_key"), "domain")
-    known = documents.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_key")
-    counts = (
-        known.select("domain", F.explode(_words("_text")).alias("word"))
-        .groupBy("domain", _bucket(F.col("word")).alias("bucket"))
-        .count()
+    known = (
+        documents.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).alias("_text"))
+        .join(F.broadcast(chosen), "_key")
+        .dropDuplicates(["domain", "_text"])
     )
-    sizes = {r["domain"]: r["count"] for r in chosen.groupBy("domain").count().collect()}
+    sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     domains = sorted(sizes)
-    seen = np.full((len(domains), BUCKETS), 0.0)
-    for r in counts.collect():
-        seen[domains.index(r["domain"]), r["bucket"]] = r["count"]
-    overall = (seen.sum(axis=0) + 1) / (seen.sum() + BUCKETS)
-    smooth = seen + 200 * overall  # towards the words of all domains
-    weights = np.log(smooth / smooth.sum(axis=1, keepdims=True)) - np.log(overall)
-    prior = np.log(np.array([sizes[d] for d in domains], float) / max(1, sum(sizes.values())))
-    return domains, prior, weights
+    if not domains:
+        return Classifier([""], np.zeros(1), np.zeros(SLOTS, np.int64), np.zeros((1, SLOTS)))
+    own = np.array([[sizes[d]] for d in domains], float)
+    others = own.sum() - own
+    held = [F.count_if(F.col("domain") == d).alias(f"n_{i}") for i, d in enumerate(domains)]
+    words = known.select("domain", F.explode(_codes("_text")).alias("code")).groupBy("code").agg(*held)
+    # Words with this support are few: a document's different words over SUPPORT, on average.
+    often = F.greatest(F.lit(0.0), *(F.col(f"n_{i}") / float(own[i, 0]) for i in range(len(domains))))
+    found = words.where(often >= SUPPORT).orderBy("code").collect()
+    codes = np.array([r["code"] for r in found], np.int64)
+    seen = np.array([[r[f"n_{i}"] for r in found] for i in range(len(domains))], float).reshape(len(domains), -1)
+    rest = seen.sum(axis=0) - seen
+    odds = np.log((seen + 0.5) / (own + 1)) - np.log((rest + 0.5) / (others + 1))
+    error = np.sqrt(1 / (seen + 0.5) + 1 / (rest + 0.5))
+    odds[np.abs(odds) < np.maximum(SURE * error, EFFECT)] = 0.0
+    slots, weights = np.zeros(SLOTS, np.int64), np.zeros((len(domains), SLOTS))
+    for i in np.argsort(np.abs(odds).max(axis=0, initial=0), kind="stable"):  # the strongest word keeps a slot
+        slot = int(codes[i]) % SLOTS
+        slots[slot], weights[:, slot] = codes[i], odds[:, i]
+    return Classifier(domains, np.log(own.ravel() / own.sum()), slots, weights)
+
+
+def _slot(code: Column) -> Column:
+    return F.pmod(code, F.lit(SLOTS)).cast("int")
 
 
 def posteriors(documents: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_key, _tag, n_tokens, p_<number> for each domain) of every row."""
-    domains, prior, weights = model
+    domains, prior, weights = model.domains, model.prior, model.weights
     rows = documents.select(
         long_id(id_col).alias("_key"), text_tag(text_col).alias("_tag"),
-        F.transform(_words(text_col), _bucket).alias("buckets"),
+        F.size(_words(text_col)).cast("long").alias("n_tokens"), _codes(text_col).alias("codes"),
     )
 
     def evidence(d: int) -> Column:
+        if not d:
+            return F.lit(0.0)
         table = F.lit(weights[d] - weights[0])
-        return F.aggregate("buckets", F.lit(0.0), lambda total, b: total + F.get(table, b)) if d else F.lit(0.0)
-
-    n = F.size("buckets").cast("long")
-    rows = rows.select("_key", "_tag", n.alias("n_tokens"), *(evidence(d).alias(f"e_{d}") for d in range(len(domains))))
-    part = F.least(F.lit(1.0), F.lit(float(FULL_WORDS)) / F.greatest("n_tokens", F.lit(1)))
+        return F.aggregate("telling", F.lit(0.0), lambda total, c: total + F.get(table, _slot(c)))
+
+    known = F.lit(model.codes)
+    telling = F.filter("codes", lambda c: F.get(known, _slot(c)) == c)
+    rows = rows.select("_key", "_tag", "n_tokens", F.size("codes").alias("size"), telling.alias("telling"))
+    n = F.col("size")
+    rows = rows.select("_key", "_tag", "n_tokens", n.alias("n"), *(evidence(d).alias(f"e_{d}") for d in range(len(domains))))
+    part = F.least(F.lit(1.0), F.lit(float(FULL_WORDS)) / F.greatest("n", F.lit(1)))
     rows = rows.select("_key", "_tag", "n_tokens", *((F.col(f"e_{d}") * part + float(prior[d])).alias(f"s_{d}") for d in range(len(domains))))
     top = F.greatest(*(F.col(f"s_{d}") for d in range(len(domains)))) if len(domains) > 1 else F.col("s_0")
     rows = rows.select("_key", "_tag", "n_tokens", *(F.exp(F.col(f"s_{d}") - top).alias(f"x_{d}") for d in range(len(domains))))
@@ -107,29 +145,43 @@ def totals(rows: DataFrame, size: int, rate: Column | None = None) -> np.ndarray
 def fit_rates(rows: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Steps that lead to the rates, and the expected tokens they give.
 
-    Targets that cannot be met leave a residual: the nearest attainable totals are given.
+    Targets that cannot be met leave a residual: totals near them are given.
     """
     size = len(targets)
     pairs = [(a, b) for a in range(size) for b in range(a, size)]
-    sums = rows.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a, b in pairs)).first()
-    gram = np.zeros((size, size))
-    for (a, b), x in zip(pairs, sums):
-        gram[a, b] = gram[b, a] = x or 0.0
-    whole = gram.sum()
-    if whole <= 0:
-        return [], np.zeros(size)
-    whiten = np.linalg.pinv(gram / whole, rcond=1e-9)
+
+    def state(rate: Column):
+        """Totals at this rate, and the Gram matrix of the documents that can still fall."""
+        now = rows.select("n_tokens", *(f"p_{d}" for d in range(size)), rate.alias("rate"))
+        free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(F.lit(0))
+        sums = now.agg(
+            *(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")) for d in range(size)),
+            *(F.sum(free * F.col(f"p_{a}") * F.col(f"p_{b}")) for a, b in pairs),
+        ).first()
+        gram = np.zeros((size, size))
+        for (a, b), x in zip(pairs, sums[size:]):
+            gram[a, b] = gram[b, a] = x or 0.0
+        return np.array([x or 0.0 for x in sums[:size]], float), gram
+
+    reached, full = state(F.lit(1.0))
+    whole = full.sum()
     steps: list[np.ndarray] = []
-    reached = totals(rows, size)
-    before = math.inf
+    if whole <= 0:
+        return steps, reached
+    gram, plain = full, True
     for _ in range(STEPS):
         residual = (reached - targets) / whole
-        left = float(residual @ whiten @ residual)
-        if np.abs(residual).max() <= CLOSE or left > before * (1 - 1e-6):
+        if float(np.abs(residual).max()) <= CLOSE:
             break
-        before = left
-        steps.append(whiten @ residual)
-        reached = totals(rows, size, _rate(steps, size))
+        move = np.linalg.solve(gram / whole + DAMP * np.eye(size), residual)
+        tried, tried_gram = state(_rate([*steps, move], size))
+        after = float(np.abs(tried - targets).max()) / whole
+        if after > 0.9 * float(np.abs(residual).max()):
+            if plain:  # the full matrix cannot overshoot: the nearest totals are reached
+                break
+            gram, plain = full, True
+            continue
+        steps, reached, gram, plain = [*steps, move], tried, tried_gram, False
     return steps, reached
 
 
@@ -144,24 +196,22 @@ def mix(
 ) -> tuple[DataFrame, list[str]]:
     """Rows (_key, _tag, n_tokens, p_0, …, rate), one per document, and the domains' names.
 
-    Targets are ``shares`` of all tokens, or ``scale`` times what each domain holds now;
-    domains not named keep what they hold. Texts that are null or empty have no tokens, the
+    Targets are ``shares`` of all tokens, domains not named keeping what they hold; or the
+    totals that come of reading documents mostly of a domain in ``scale`` so many times.
+    Texts that are null or empty have no tokens, the
     labels' frequencies as posterior, and a rate like any other. A null id counts as the
     largest number. Rows that repeat each get the same rate. Without labels every document
     belongs to one nameless domain.
     """
     model = fit(documents, labels, id_col, text_col, fit_rows)
-    if not model[0]:
-        model = ([""], np.zeros(1), np.zeros((1, BUCKETS)))
-    domains = model[0]
+    domains = model.domains
     rows = written(posteriors(documents, model, id_col, text_col), "mixing")
-    held = totals(rows, len(domains))
-    wanted = held.copy()
-    for d, name in enumerate(domains):
-        if shares and name in shares:
-            wanted[d] = shares[name] * held.sum()
-        elif scale and name in scale:
-            wanted[d] = scale[name] * held[d]
+    wanted = totals(rows, len(domains))
+    if shares:
+        wanted = np.array([shares[name] * wanted.sum() if name in shares else x for name, x in zip(domains, wanted)])
+    elif scale:
+        mostly = [F.when(F.col(f"p_{d}") > 0.5, float(scale[name])) for d, name in enumerate(domains) if name in scale]
+        wanted = totals(rows, len(domains), F.coalesce(*mostly, F.lit(1.0)))
     steps, _ = fit_rates(rows, wanted)
     return rows.select("*", _rate(steps, len(domains)).alias("rate")), domains
 
