@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventledger.llm import mixing, pages, pieces, rules, simhash, substrings, topk
+from eventledger.llm import cotraining, langid, licenses, mixing, pages, pieces, rules, simhash, substrings, topk
 from eventledger.llm.common import SPACE, read_table
 from eventledger.session import prepare
 
@@ -48,6 +48,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read_table(prepare(spark), sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(read_table(prepare(spark), sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.remove_repeats(read_table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
     joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
@@ -76,6 +80,10 @@ FROM d LEFT JOIN gone USING (doc_id)
 """
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(prepare(spark), sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.measure(read_table(prepare(spark), sf_dir, "documents"), columns=["doc_id"])
     return rows.select(
@@ -83,6 +91,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages; the text model learns from documents that name a language."""
+    model = langid.fit(read_table(prepare(spark), sf_dir, "documents"))
+    return langid.identify(read_table(spark, sf_dir, "pages"), model)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
     return found.select(
@@ -118,8 +132,11 @@ def queries() -> dict[str, Query]:
         "op1_mixing": op1_mixing,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_html_extraction": op3_html_extraction,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_license_scan": op6_license_scan,
         "op7_quality_rules": op7_quality_rules,
+        "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_exact_top_k": op10_exact_top_k,
     }
