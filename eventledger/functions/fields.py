@@ -34,5 +34,10 @@ def storage_latency(received_at: str = "received_at", stored_at: str = "stored_a
     return f"(unix_micros({stored_at}) - unix_micros({received_at})) / 1000.0D"
 
 
+_DAY = 86_400_000_000
+
+
 def event_day(timestamp: str = "timestamp") -> str:
-    return f"to_date({timestamp})"
+    """The UTC day of an instant, whatever the session's time zone."""
+    micros = f"unix_micros({timestamp})"
+    return f"date_from_unix_date(CAST(({micros} - pmod({micros}, {_DAY})) DIV {_DAY} AS INT))"

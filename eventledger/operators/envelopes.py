@@ -1,8 +1,8 @@
 """Decode, validate and normalise message bodies with built-in expressions only.
 
-A body is parsed once into a VARIANT, in which JSON types can be tested, and once more
-for the text of its payload, which must not pass through VARIANT: that would turn
-``1.0`` into ``1``. Both JSON readers stop after the first value, so a body is read
+A body is read three times: into a VARIANT, in which JSON types can be tested; to count
+its values; and, if it is good, for the text of its payload, which must not pass through
+VARIANT: that would turn ``1.0`` into ``1``. Both JSON readers stop after the first value, so a body is read
 wrapped in ``{"b":…}`` and counted wrapped in ``[…]``: text that is not exactly one
 value can satisfy one of the two, never both.
 """
@@ -15,8 +15,10 @@ from eventledger.functions import fields, instants, variants
 from eventledger.schema import (
     COLUMN_LENGTHS,
     JSON_ERROR,
+    LARGEST_JSON_TEXT,
     LENGTH_ERROR,
     NORMALIZED_COLUMNS,
+    SIZE_ERROR,
     UNKNOWN,
     VALIDATION_ERROR,
     VALUE_ERROR,
@@ -156,7 +158,7 @@ def normalize_envelope(raw: DataFrame, max_lengths: bool = False) -> DataFrame:
     envelope = f"CASE WHEN {valid_v2()} THEN {_from_v2()} WHEN {valid_v1()} THEN {_from_v1()} END"
     # A filter on the outcome would be pushed down as one expression that parses the body
     # again for every field it mentions. Filters stop at a generator, so this one keeps
-    # the work at two parses per row.
+    # the work at three passes per row.
     envelopes = (
         read_fields(decode_body(raw))
         .selectExpr(
@@ -170,6 +172,8 @@ def normalize_envelope(raw: DataFrame, max_lengths: bool = False) -> DataFrame:
         "*", "_e.*", f"{fields.resolve_event_id('_e.event_id')} AS id"
     )
     failures = [
+        # The parser refuses single strings beyond a size: such a body may well be JSON.
+        (f"NOT is_json AND octet_length(body) > {LARGEST_JSON_TEXT}", SIZE_ERROR, "body is too large to parse"),
         ("NOT is_json", JSON_ERROR, "body is not JSON"),
         ("_e IS NULL", VALIDATION_ERROR, "body matches no envelope version"),
         ("id IS NULL", VALUE_ERROR, "event id is empty"),
@@ -190,5 +194,5 @@ def normalize_envelope(raw: DataFrame, max_lengths: bool = False) -> DataFrame:
 def received(rows: DataFrame) -> DataFrame:
     """Rows that passed validation, whatever happened to them afterwards."""
     return rows.where(
-        f"error_type IS NULL OR error_type NOT IN ('{JSON_ERROR}', '{VALIDATION_ERROR}')"
+        f"error_type IS NULL OR error_type NOT IN ('{JSON_ERROR}', '{SIZE_ERROR}', '{VALIDATION_ERROR}')"
     )

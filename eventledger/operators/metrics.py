@@ -17,6 +17,12 @@ def events_received_total(rows: DataFrame) -> DataFrame:
     return received(rows).groupBy("event_type", "source").agg(F.count("*").alias("total"))
 
 
+def received_of_store(events: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """The same counts from what the ingest has kept, without decoding anything again."""
+    kept = events.select("event_type", "source", F.lit(None).cast("string").alias("error_type"))
+    return events_received_total(kept.union(quarantine.select("event_type", "source", "error_type")))
+
+
 def events_stored_total(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("total"))
 

@@ -6,11 +6,15 @@ even when many events share one timestamp.
 
 from __future__ import annotations
 
-from datetime import timedelta
+import re
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventledger.functions.fields import event_day
 from eventledger.operators.filters import Moment, as_utc, filter_end_time, filter_events
 from eventledger.schema import DEFAULT_LIMIT, EVENT_COLUMNS, MAX_LIMIT
 from eventledger.session import estimated_bytes
@@ -20,8 +24,8 @@ TOP_K_ROWS = 20_000
 # Above this size a page first finds the days it can lie in, from a narrow count.
 PRUNE_BYTES = 1 << 30
 
-_ID_STEP = 4  # characters of id by which a run of equal timestamps is split
-_ID_LENGTH = 36
+_ID_STEP = 2  # characters of id by which a run of equal timestamps is split
+_ID_LENGTH = 512
 
 
 def validate_page_args(limit: int = DEFAULT_LIMIT, offset: int = 0) -> None:
@@ -54,7 +58,17 @@ def offset_events(events: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def _day(events: DataFrame) -> Column:
-    return F.col("event_date") if "event_date" in events.columns else F.to_date("timestamp")
+    return F.col("event_date") if "event_date" in events.columns else F.expr(event_day())
+
+
+def _stored_days(events: DataFrame) -> list[date]:
+    """The days that the table's partitions name, newest first, from the driver's listing."""
+    if "event_date" not in events.columns:
+        return []
+    found = {re.search(r"/event_date=(\d{4}-\d{2}-\d{2})/", name) for name in events.inputFiles()}
+    if None in found:
+        return []
+    return sorted({date.fromisoformat(m[1]) for m in found}, reverse=True)
 
 
 def _buckets_of_page(
@@ -87,6 +101,25 @@ def _span(
     return None if row[0] is None else (row[0], row[1], row[2])
 
 
+def newest_days(
+    events: DataFrame, rows: int, days: list[date], newest: date | None = None, oldest: date | None = None
+) -> DataFrame:
+    """``events`` of so many of the newest days that ``rows`` of them are there, or all.
+
+    The days are counted in windows that double in size, from the newest on: a page near the
+    top opens a few days, however many the store has.
+    """
+    days = [d for d in days if (newest is None or d <= newest) and (oldest is None or d >= oldest)]
+    found, at, width = 0, 0, 1
+    while at < len(days) and found < rows:
+        window = days[at : at + width]
+        found += events.where(F.col("event_date").between(F.lit(window[-1]), F.lit(window[0]))).count()
+        at, width = at + width, width * 2
+    if at >= len(days):
+        return events
+    return events.where(F.col("event_date") >= F.lit(days[at - 1]))
+
+
 def narrow_to_days(events: DataFrame, offset: int, limit: int) -> tuple[DataFrame, int]:
     """Keep only the days the page lies in; returns the events and the offset within them.
 
@@ -99,12 +132,19 @@ def narrow_to_days(events: DataFrame, offset: int, limit: int) -> tuple[DataFram
     return events.where(day.between(F.lit(span[0]), F.lit(span[1]))), offset - span[2]
 
 
+def _at(micros: int) -> Column:
+    """An instant as a constant, without a detour over local times."""
+    return F.expr(f"timestamp_micros({micros}L)")
+
+
 def _narrow_to_times(
-    events: DataFrame, unit: str, width: timedelta, offset: int, limit: int
+    events: DataFrame, width: int, offset: int, limit: int
 ) -> tuple[DataFrame, int]:
-    oldest, newest, before = _span(events, F.date_trunc(unit, "timestamp"), offset, limit)
+    """By stretches of ``width`` microseconds; instants stay numbers on the driver."""
+    micros = "unix_micros(timestamp)"
+    oldest, newest, before = _span(events, F.expr(f"{micros} - pmod({micros}, {width}L)"), offset, limit)
     timestamp = F.col("timestamp")
-    kept = events.where((timestamp >= F.lit(oldest)) & (timestamp < F.lit(newest + width)))
+    kept = events.where((timestamp >= _at(oldest)) & (timestamp < _at(newest + width)))
     return kept, offset - before
 
 
@@ -113,7 +153,7 @@ def _narrow_to_ids(
 ) -> tuple[DataFrame, int]:
     """Split runs of equal timestamps by the first characters of the id."""
     keys = [
-        ("t", F.col("timestamp"), True),
+        ("t", F.expr("unix_micros(timestamp)"), True),
         ("p", F.substring("id", 1, prefix), False),
     ]
     hits = sorted(
@@ -122,8 +162,9 @@ def _narrow_to_ids(
     )
     first, last = hits[0], hits[-1]
     t, p = F.col("timestamp"), F.substring("id", 1, prefix)
-    from_first = (t < F.lit(first["t"])) | ((t == F.lit(first["t"])) & (p >= F.lit(first["p"])))
-    to_last = (t > F.lit(last["t"])) | ((t == F.lit(last["t"])) & (p <= F.lit(last["p"])))
+    top, end = _at(first["t"]), _at(last["t"])
+    from_first = (t < top) | ((t == top) & (p >= F.lit(first["p"])))
+    to_last = (t > end) | ((t == end) & (p <= F.lit(last["p"])))
     return events.where(from_first & to_last), offset - first["before"]
 
 
@@ -132,21 +173,17 @@ def skip_ahead(
 ) -> tuple[DataFrame, int]:
     """Cut a deep page down to the stretch of time it lies in.
 
-    Counts per day, hour, minute, second, instant and id prefix, each within the stretch
-    found before, until offset + limit rows fit a top-k. Exact; nothing is sorted whole.
+    Counts per day, hour, minute, second, millisecond, instant and id prefix, each within
+    the stretch found before, until offset + limit rows fit a top-k. Exact; nothing is sorted
+    whole. A step has at most a thousand buckets for each bucket of the step before, and
+    that one holds a row of the page, so the ordered sum over buckets stays small.
     """
     keep = max(keep, limit)
     events, offset = narrow_to_days(events, offset, limit)
-    steps = [
-        ("hour", timedelta(hours=1)),
-        ("minute", timedelta(minutes=1)),
-        ("second", timedelta(seconds=1)),
-        ("microsecond", timedelta(microseconds=1)),
-    ]
-    for unit, width in steps:
+    for width in (3_600_000_000, 60_000_000, 1_000_000, 1_000, 1):
         if offset + limit <= keep:
             return events, offset
-        events, offset = _narrow_to_times(events, unit, width, offset, limit)
+        events, offset = _narrow_to_times(events, width, offset, limit)
     prefix = _ID_STEP
     while offset + limit > keep and prefix <= _ID_LENGTH:
         events, offset = _narrow_to_ids(events, prefix, offset, limit)
@@ -165,8 +202,11 @@ def page(
     offset: int = 0,
     prune: bool | None = None,
     keep: int = TOP_K_ROWS,
+    newest: date | None = None,
+    oldest: date | None = None,
 ) -> DataFrame:
-    """One page of ``events``, newest first.
+    """One page of ``events``, newest first. No event lies outside of the days
+    ``oldest`` … ``newest``, where these are given.
 
     ``prune`` looks up the page's days first, so that a page over a large store reads
     those days only; by default it is used when the store is large. Pages that end below
@@ -177,7 +217,11 @@ def page(
         events, offset = skip_ahead(events, offset, limit, keep)
     else:
         if is_large(events) if prune is None else prune:
-            events, offset = narrow_to_days(events, offset, limit)
+            days = _stored_days(events)
+            if days:
+                events = newest_days(events, offset + limit, days, newest, oldest)
+            else:
+                events, offset = narrow_to_days(events, offset, limit)
     return event_projection(offset_events(events, offset, limit))
 
 
@@ -188,7 +232,35 @@ def query_page(
     validate_page_args(limit, offset)
     # The size is that of the files, with or without filters; asking the unfiltered table
     # needs no further planning.
-    return page(filter_events(events, **wanted), limit, offset, prune=is_large(events))
+    bounds = {"newest": _bound(wanted.get("end_time")), "oldest": _bound(wanted.get("start_time"))}
+    return page(filter_events(events, **wanted), limit, offset, prune=is_large(events), **bounds)
+
+
+def _bound(moment: Moment | None) -> date | None:
+    return as_utc(moment).date() if moment else None
+
+
+@dataclass(frozen=True)
+class Page:
+    rows: list
+    total: int
+    limit: int
+    offset: int
+
+    @property
+    def has_more(self) -> bool:
+        return self.offset + self.limit < self.total
+
+
+def fetch_page(
+    events: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **wanted: Moment | None
+) -> Page:
+    """A page's rows and the total of all matches, as one call; the two jobs run side by side."""
+    validate_page_args(limit, offset)
+    with ThreadPoolExecutor(2) as pool:
+        total = pool.submit(lambda: total_count(events, **wanted).first()["total"])
+        rows = pool.submit(lambda: query_page(events, limit, offset, **wanted).collect())
+        return Page(rows.result(), total.result(), limit, offset)
 
 
 def page_after(
@@ -198,13 +270,17 @@ def page_after(
     limit: int = DEFAULT_LIMIT,
     **wanted: Moment | None,
 ) -> DataFrame:
-    """The page that follows the event ``(timestamp, event_id)``: costs the same at any depth."""
+    """The page that follows the event ``(timestamp, event_id)``.
+
+    On a large store it opens that event's day and as many before it as fill the page.
+    """
     validate_page_args(limit)
     at = F.lit(as_utc(timestamp))
     older = filter_end_time(filter_events(events, **wanted), timestamp).where(
         (F.col("timestamp") < at) | (F.col("id") > F.lit(event_id))
     )
-    return page(older, limit, prune=is_large(events))
+    days = {"newest": _bound(timestamp), "oldest": _bound(wanted.get("start_time"))}
+    return page(older, limit, prune=is_large(events), **days)
 
 
 def total_count(events: DataFrame, **wanted: Moment | None) -> DataFrame:

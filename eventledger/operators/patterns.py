@@ -6,23 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventledger.operators.filters import Moment, filter_correlation, filter_events
-from eventledger.operators.paging import event_projection, oldest_first, query_page
-from eventledger.schema import MAX_LIMIT
+from eventledger.operators.paging import event_projection, newest_first, oldest_first, query_page
 
 RECENT_EVENTS = 50
 
 
-def session_history(events: DataFrame, session_id: str) -> DataFrame:
-    """All events of one session, newest first, up to the largest page.
+def _history(events: DataFrame, limit: int | None, offset: int, **wanted: Moment | None) -> DataFrame:
+    if limit is not None:
+        return query_page(events, limit=limit, offset=offset, **wanted)
+    if offset:
+        raise ValueError("an offset needs a limit")
+    return event_projection(newest_first(filter_events(events, **wanted)))
+
+
+def session_history(
+    events: DataFrame, session_id: str, limit: int | None = None, offset: int = 0
+) -> DataFrame:
+    """All events of one session, newest first, or one page of them.
 
     Only legacy envelopes carry a session id.
     """
-    return query_page(events, limit=MAX_LIMIT, session_id=session_id)
+    return _history(events, limit, offset, session_id=session_id)
 
 
-def conversation_context(events: DataFrame, session_id: str, event_type: str) -> DataFrame:
-    """The events of one type in one session."""
-    return query_page(events, limit=MAX_LIMIT, session_id=session_id, event_type=event_type)
+def conversation_context(
+    events: DataFrame, session_id: str, event_type: str, limit: int | None = None, offset: int = 0
+) -> DataFrame:
+    """The events of one type in one session, or one page of them."""
+    return _history(events, limit, offset, session_id=session_id, event_type=event_type)
 
 
 def audit_trail(events: DataFrame, correlation_id: str) -> DataFrame:

@@ -6,22 +6,27 @@ in one task: both paths reduce each id to one candidate before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def unique_by_id(
     rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("arrival_seq",)
 ) -> DataFrame:
-    """The first row of each id.
+    """The first row of each id; NULLs come first, rows of equal order by a hash of all they hold.
 
     ``row_number() = 1`` makes Spark put a window group limit before the exchange: a task
     sends one row per id, however often the id occurs.
     """
-    window = Window.partitionBy(key).orderBy(*order)
+    window = Window.partitionBy(key).orderBy(*order, _tie(rows))
     return rows.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
+def _tie(rows: DataFrame) -> Column:
+    """The same order among rows of equal position wherever they are compared."""
+    return F.xxhash64(*rows.columns)
+
+
 def first_writes(
     rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("arrival_seq",)
 ) -> DataFrame:
@@ -33,9 +38,19 @@ def first_writes(
 def duplicate_rejects(
     rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("arrival_seq",)
 ) -> DataFrame:
-    """The rows ``unique_by_id`` leaves out. ``order`` must tell the rows of an id apart.
+    """The rows ``unique_by_id`` leaves out; the two are complements of ``rows``.
 
-    The anti join uses the order columns as well as the id, so the copies of a hot id
-    spread over all partitions.
+    Each id's first position is found with partial minima. A row is a winner when it stands
+    there; the join uses the position as well as the id, so the copies of a hot id spread
+    over all partitions. Among rows that are equal in all columns the first is the winner.
     """
-    return rows.join(first_writes(rows, key, order), [key, *order], "left_anti")
+    position = [*order, "_tie"]
+    tied = rows.withColumn("_tie", _tie(rows))
+    firsts = first_writes(tied, key, tuple(position))
+    firsts = firsts.select(F.col(key).alias("_key"), *[F.col(n).alias(f"_first{i}") for i, n in enumerate(position)])
+    same = Window.partitionBy(key, *position).orderBy(key)
+    numbered = tied.withColumn("_n", F.row_number().over(same))
+    wins = (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_n") == 1)
+    for i, name in enumerate(position):
+        wins &= F.col(name).eqNullSafe(F.col(f"_first{i}"))
+    return numbered.join(firsts, wins, "left_anti").drop("_tie", "_n")

@@ -143,7 +143,7 @@ def _ingest_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dedup_stream_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = streaming.dedup_stream_bounded(message_stream(prepare(spark), sf_dir), "10 minutes")
+    rows = streaming.dedup_stream_bounded(message_stream(prepare(spark), sf_dir, 3), "10 minutes")
     return _drained(rows.select("id"))
 
 

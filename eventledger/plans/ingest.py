@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -59,16 +60,20 @@ def ingest_batch(
     raw: DataFrame,
     store: EventStore,
     batch_id: int = 0,
-    writer: str = "batch",
+    writer: str | None = None,
     stored_at: str | None = None,
     max_lengths: bool = False,
     skip_routing_keys: Sequence[str] = (FEED_ROUTING_KEY,),
 ) -> None:
     """Store the good messages of ``raw`` and quarantine the others.
 
-    ``(writer, batch_id)`` names the batch. Running it again, as a restarted stream does,
-    changes nothing: events the batch has stored are left alone, not taken for
-    duplicates, and its quarantine partition is replaced.
+    ``(writer, batch_id)`` names the batch; without a writer the call is a batch of its own.
+    Running a named batch again, as a restarted stream does, changes nothing: events the
+    batch has stored are left alone, not taken for duplicates, and rejects that are
+    written stay. A name that comes back with other messages is an error.
+
+    One ingest at a time may run on a store: the key check sees what has been appended, and
+    two that check side by side could both append an id.
 
     First write wins per id, by ``arrival_seq`` within the batch and by batch otherwise.
     Joins run on the row number or on ids that are unique by then, never on the raw ids,
@@ -79,13 +84,27 @@ def ingest_batch(
     again, not numbered anew. Each step after it reads only the columns it needs.
     """
     normalized = normalize_envelope(without_feed(raw, skip_routing_keys), max_lengths)
-    numbered = stamp(normalized, stored_at).selectExpr(
-        "*", "monotonically_increasing_id() AS _row"
+    given = [f"{stored_at} AS _stored_at"] if stored_at else []
+    numbered = normalized.selectExpr(
+        "*",
+        "monotonically_increasing_id() AS _row",
+        "xxhash64(body, routing_key, received_at, arrival_seq) AS _code",
+        *given,
     )
-    stage = hashlib.md5(f"{writer}/{batch_id}".encode()).hexdigest()
+    writer = writer or f"batch-{uuid.uuid4().hex}"
+    stage = hashlib.md5(f"{writer}/{batch_id}/{uuid.uuid4().hex}".encode()).hexdigest()
     rows = store.refresh().stage(numbered, stage)
-    good = rows.where("error_type IS NULL").select("id", "arrival_seq", "_row")
-    firsts = first_writes(good, order=("arrival_seq", "_row")).select("id", "_row")
+    count, code = rows.selectExpr("count(*)", "sum(CAST(_code AS DECIMAL(20, 0)))").first()
+    digest, known = f"{count}_{code or 0}", store.batch_state(writer, batch_id)
+    if known.get("digest", digest) != digest:
+        store.drop_stage(stage)
+        raise ValueError(f"batch {batch_id} of {writer} came with other messages before")
+    store.record_batch(writer, batch_id, digest=digest)
+    # Records of several partitions of a topic are ordered by time, not by offset alone.
+    position = [n for n in ("received_at", "topic", "partition") if "partition" in rows.columns and n in rows.columns]
+    order = (*position, "arrival_seq", "_row")
+    good = rows.where("error_type IS NULL").select("id", *order)
+    firsts = first_writes(good, order=order).select("id", "_row")
     firsts.persist(StorageLevel.MEMORY_AND_DISK)
     held = _held_ids(store, firsts).select(
         "id", ((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).alias("_by_us")
@@ -95,9 +114,13 @@ def ingest_batch(
     try:
         # The append comes last: writing to the events path drops cached results that
         # were read from it, and `flags` is one.
-        store.write_quarantine(_rejects(rows, flags), writer, batch_id)
+        if "rejects" not in known:
+            store.write_quarantine(_rejects(rows, flags), writer, batch_id)
+            store.record_batch(writer, batch_id, rejects="written")
         fresh = flags.where("_by_us IS NULL").select("_row")
-        store.append_events(rows.join(fresh, "_row", "left_semi"), writer, batch_id)
+        accepted = rows.join(fresh, "_row", "left_semi")
+        # The stamp comes last, so that the latency covers the work up to the append.
+        store.append_events(stamp(accepted, "_stored_at" if stored_at else None), writer, batch_id)
     finally:
         flags.unpersist()
         firsts.unpersist()

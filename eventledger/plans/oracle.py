@@ -198,8 +198,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT 'failed', event_type, error_type, count(*)
             FROM rejects GROUP BY event_type, error_type""",
-        "session_history": _events(of_session, f"{newest} LIMIT 1000"),
-        "conversation_context": _events(f"{of_session} AND {of_type}", f"{newest} LIMIT 1000"),
+        "session_history": _events(of_session, newest),
+        "conversation_context": _events(f"{of_session} AND {of_type}", newest),
         "audit_trail": _events(
             f"correlation_id = '{c.CORRELATION}'", 'ORDER BY "timestamp", id'
         ),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,7 @@ from eventledger.schema import (
 )
 from eventledger.session import prepare
 
+COMPACT_BYTES = 128 << 20  # size that a merged file should have
 # Columns looked up by exact value. Bloom filters let a scan skip the row groups that
 # cannot hold the value, which is what an index did for a row store.
 _LOOKUP_COLUMNS = ("id", "session_id", "correlation_id")
@@ -49,6 +55,7 @@ class EventStore:
         self.quarantine_path = f"{self.root}/quarantine"
         self.archive_path = f"{self.root}/archive"
         self.staging_path = f"{self.root}/staging"
+        self.batches_path = f"{self.root}/batches"
         self._snapshot: DataFrame | None = None
 
     def init(self, table: str | None = None) -> EventStore:
@@ -126,30 +133,81 @@ class EventStore:
         self._file_system().delete(path, True)
 
     def archive_before(self, cutoff: Moment) -> int:
-        """Move events of days before ``cutoff`` to the archive; returns how many moved.
+        """Move events of days before ``cutoff`` to the archive, day by day; returns how many moved.
 
         A run that is cut short can be repeated: rows already in the archive are not
         copied again, and live files go only once all their rows are there. Files that an
         ingest adds meanwhile are not touched.
         """
-        day = as_utc(cutoff).date()
-        live = self.refresh().events().where(F.col("event_date") < F.lit(day))
-        row_key = ["event_date", "id", "writer", "batch_id"]
         self.spark.createDataFrame([], STORED_SCHEMA).write.mode("ignore").partitionBy(
             "event_date"
         ).parquet(self.archive_path)
-        done = self.archive().where(F.col("event_date") < F.lit(day)).select(*row_key)
-        self._write_by_day(live.join(done, row_key, "left_anti"), self.archive_path)
+        old = self.refresh().events().where(F.col("event_date") < F.lit(as_utc(cutoff).date()))
+        days = sorted(row["event_date"] for row in old.select("event_date").distinct().collect())
+        moved = sum(self._archive_day(old.where(F.col("event_date") == F.lit(day)), day) for day in days)
+        self.refresh()
+        return moved
 
-        done = self.archive().where(F.col("event_date") < F.lit(day)).select(*row_key)
-        moved = live.count()
-        missing = live.select(*row_key).join(done, row_key, "left_anti").count()
+    def _archive_day(self, live: DataFrame, day: date) -> int:
+        """Copy what the archive lacks of a day, compare, delete the day's files."""
+
+        def lacking() -> DataFrame:
+            # Whole rows are compared: an id may have come back with another payload.
+            done = self.archive().where(F.col("event_date") == F.lit(day)).alias("done")
+            names = STORED_SCHEMA.fieldNames()
+            same = F.col("live.id") == F.col("done.id")
+            for name in names:
+                same &= F.col(f"live.{name}").eqNullSafe(F.col(f"done.{name}"))
+            return live.alias("live").join(done, same, "left_anti")
+
+        self._write_by_day(lacking(), self.archive_path)
+        missing = lacking().count()
         if missing:
             raise RuntimeError(f"{missing} events did not reach the archive; live rows kept")
+        moved = live.count()
         self._delete(_files_of(live))
-        self.refresh()
         return moved
 
+    def compact(self, before: Moment) -> int:
+        """Merge the many small files of days before ``before``; returns how many went.
+
+        The merged files are written first and take the place of the old ones by name:
+        a row is in both for the moment between, so run it while no reader counts.
+        """
+        old = self.refresh().events().where(F.col("event_date") < F.lit(as_utc(before).date()))
+        gone = 0
+        for day in sorted(row["event_date"] for row in old.select("event_date").distinct().collect()):
+            live = old.where(F.col("event_date") == F.lit(day))
+            files = _files_of(live)
+            size = sum(self._file_system().getFileStatus(self._path(self.spark._jvm.java.net.URI(f))).getLen() for f in files)
+            if len(files) <= 1 + size // COMPACT_BYTES:
+                continue
+            stage = f"compact-{uuid.uuid4().hex}"
+            merged = self.stage(live, stage)
+            if merged.count() != live.count():
+                raise RuntimeError("rows changed while a day was merged")
+            self._write_by_day(merged, self.events_path)
+            self._delete(files)
+            self.drop_stage(stage)
+            gone += len(files)
+        self.refresh()
+        return gone
+
+    def batch_state(self, writer: str, batch_id: int) -> dict[str, str]:
+        """What is recorded of a batch: ``digest`` of its input, ``rejects`` once written."""
+        folder = self._path(self._batch_path(writer, batch_id))
+        if not self._file_system().exists(folder):
+            return {}
+        names = [str(f.getPath().getName()) for f in self._file_system().listStatus(folder)]
+        return dict(name.split("=", 1) for name in names if "=" in name)
+
+    def record_batch(self, writer: str, batch_id: int, **state: str) -> None:
+        for name, value in state.items():
+            self._file_system().mkdirs(self._path(f"{self._batch_path(writer, batch_id)}/{name}={value}"))
+
+    def _batch_path(self, writer: str, batch_id: int) -> str:
+        return f"{self.batches_path}/{hashlib.md5(writer.encode()).hexdigest()}/{batch_id}"
+
     def tail(self, max_files_per_trigger: int | None = None, **wanted: Moment | None) -> DataFrame:
         """A stream of the stored events: what is there first, then what arrives."""
         reader = self.spark.readStream.schema(STORED_SCHEMA)
@@ -178,5 +236,6 @@ class EventStore:
 
     def _delete(self, files: list[str]) -> None:
         file_system = self._file_system()
-        for name in files:
-            file_system.delete(self._path(self.spark._jvm.java.net.URI(name)), False)
+        delete = lambda name: file_system.delete(self._path(self.spark._jvm.java.net.URI(name)), False)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(delete, files))

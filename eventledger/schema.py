@@ -11,6 +11,8 @@ VALIDATION_ERROR = "validation_error"
 VALUE_ERROR = "ValueError"
 INTEGRITY_ERROR = "IntegrityError"
 LENGTH_ERROR = "DataError"
+SIZE_ERROR = "BodySizeError"
+LARGEST_JSON_TEXT = 20_000_000  # characters of one string that the JSON parser reads
 STORAGE_LATENCY_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 1.0)
 REQUEST_DURATION_BUCKETS = (0.01, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0)
 COLUMN_LENGTHS = {
@@ -79,6 +81,7 @@ QUARANTINE_SCHEMA = T.StructType(
         T.StructField("body", T.StringType()),
         T.StructField("routing_key", T.StringType()),
         T.StructField("event_type", T.StringType()),
+        T.StructField("source", T.StringType()),
         T.StructField("error_type", T.StringType()),
         T.StructField("error", T.StringType()),
         T.StructField("received_at", T.TimestampType()),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh folder, not yet made, that every executor can reach.
 
     It lies under ``spark.checkpoint.dir`` when the cluster names one. Only a local
     master, where driver and executors share one machine, may fall back to a
@@ -34,11 +35,29 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return f"{base.rstrip('/')}/eventledger/{label}-{uuid.uuid4().hex}"
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+        path = f"{base.rstrip('/')}/eventledger/{label}-{uuid.uuid4().hex}"
+    elif spark.conf.get("spark.master", "").startswith("local"):
+        path = f"{tempfile.gettempdir()}/eventledger-{label}-{uuid.uuid4().hex}"
+    else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix=f"eventledger-{label}-")
+    if not _made:
+        atexit.register(_remove_made, spark)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def _remove_made(spark: SparkSession) -> None:
+    """Work folders last as long as the application; results read from them do too."""
+    try:
+        conf = spark._jsc.hadoopConfiguration()
+        for name in _made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the session is gone already
+        return
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

@@ -35,8 +35,13 @@ def raw_message_source(
             F.col("_metadata.file_modification_time").alias("received_at"),
             F.lit(None).cast("bigint").alias("arrival_seq"),
         )
-    schema = T.StructType(RAW_SCHEMA.fields + (extra.fields if extra else []))
-    return reader.format(fmt).schema(schema).load(path)
+    fields = RAW_SCHEMA.fields + (extra.fields if extra else [])
+    if fmt != "json":
+        return reader.format(fmt).schema(T.StructType(fields)).load(path)
+    # A line that is no message keeps its text, as the body that will be rejected.
+    broken = T.StructField("_broken", T.StringType())
+    lines = reader.format("json").option("columnNameOfCorruptRecord", "_broken").schema(T.StructType([*fields, broken])).load(path)
+    return lines.withColumn("body", F.coalesce("body", "_broken")).drop("_broken")
 
 
 def kafka_message_source(
@@ -46,7 +51,11 @@ def kafka_message_source(
     max_offsets_per_trigger: int | None = None,
     **options: str,
 ) -> DataFrame:
-    """Every record of every matching topic. Needs the Kafka connector on the classpath."""
+    """Every record of every matching topic. Needs the Kafka connector on the classpath.
+
+    Offsets repeat over topics and partitions, so both stay beside them: the ingest then
+    orders by receipt, topic, partition and offset.
+    """
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -61,4 +70,6 @@ def kafka_message_source(
         F.col("key").cast("string").alias("routing_key"),
         F.col("timestamp").alias("received_at"),
         F.col("offset").alias("arrival_seq"),
+        F.col("topic"),
+        F.col("partition"),
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
+import threading
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventledger.operators.envelopes import normalize_envelope
@@ -27,30 +28,36 @@ def ingest_stream(
     """Start storing ``raw``, a streaming DataFrame.
 
     Without ``interval`` the stream takes what is there and stops. The checkpoint keeps
-    the offsets; a batch that is delivered twice is recognised by the checkpoint's name
-    and its number, so a restart neither loses nor repeats an event. There is no
-    watermark: an event of any age is stored.
+    the offsets and the query's id; a batch that is delivered twice is recognised by that id
+    and its number, so a restart neither loses nor repeats an event, and a checkpoint that
+    is made anew is a new writer. There is no watermark: an event of any age is stored.
     """
-    writer = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
+    started, writer = threading.Event(), []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
         batch_store = EventStore(batch.sparkSession, store.root)
-        ingest_batch(batch, batch_store, batch_id, writer, stored_at, max_lengths)
+        ingest_batch(batch, batch_store, batch_id, writer[0], stored_at, max_lengths)
         store.refresh()
 
-    return (
+    query = (
         raw.writeStream.foreachBatch(sink)
         .option("checkpointLocation", checkpoint)
         .trigger(**_trigger(interval))
         .start()
     )
+    writer.append(query.id)
+    started.set()
+    return query
 
 
 def dedup_stream_bounded(raw: DataFrame, delay: str, salts: int = 16) -> DataFrame:
     """Good rows, one per id, with bounded state.
 
     Cheaper than the store's key check for fast streams, but not the same: an id that
-    comes back later than ``delay`` passes again, and which copy wins is not fixed.
+    arrives again later than ``delay`` passes again, and which copy wins is not fixed. The
+    watermark runs on the clock of arrival, not on event times: no row can be late, however
+    old its event is.
 
     The copies of an id are first reduced in ``salts`` groups, by position: an id that
     makes up much of the stream is spread over that many tasks, and at most ``salts`` of
@@ -60,10 +67,11 @@ def dedup_stream_bounded(raw: DataFrame, delay: str, salts: int = 16) -> DataFra
         normalize_envelope(raw)
         .where("error_type IS NULL")
         .selectExpr("*", f"pmod(xxhash64(arrival_seq, received_at, body), {salts}) AS _salt")
-        .withWatermark("timestamp", delay)
+        .withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", delay)
     )
     spread = good.dropDuplicatesWithinWatermark(["id", "_salt"]).drop("_salt")
-    return spread.dropDuplicatesWithinWatermark(["id"])
+    return spread.dropDuplicatesWithinWatermark(["id"]).drop("_arrived")
 
 
 def append_stream(

@@ -34,6 +34,10 @@ def publish_counters(
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        # A reader may still be at the version before; older ones go.
+        jvm, conf = batch.sparkSession._jvm, batch.sparkSession._jsc.hadoopConfiguration()
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - 2}")
+        old.getFileSystem(conf).delete(old, True)
 
     return (
         counters.writeStream.outputMode("complete")

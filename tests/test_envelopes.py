@@ -72,7 +72,7 @@ CASES = {
     "target is a number": (v1(target=1), VALID),
     "no data": (without(V1, "data"), VALID),
     "no timestamp": (without(V2, "timestamp"), VALID),
-    "a year is no timestamp": (v1(ts="2026"), VALID),
+    "a number as text is an epoch": (v1(ts="1714557600"), None),
     "bad month": (v1(ts="2024-13-01T00:00:00"), VALID),
     "boolean timestamp": (v1(ts=True), VALID),
     "endless timestamp": (v1(ts=10**40), VALID),
@@ -177,7 +177,17 @@ TIMES = {
     "2024-05-01 12:00": utc(2024, 5, 1, 12),
     "2024-05-01t12:00:00z": utc(2024, 5, 1, 12),
     "2024-05-01": utc(2024, 5, 1),
-    "2026": None,
+    "2026": utc(1970, 1, 1, 0, 33, 46),
+    "1714557600": utc(2024, 5, 1, 10),
+    "1714557600.5": utc(2024, 5, 1, 10, 0, 0, 500_000),
+    "-5": utc(1969, 12, 31, 23, 59, 55),
+    "\u22125": utc(1969, 12, 31, 23, 59, 55),
+    "20240501": utc(1970, 8, 23, 6, 21, 41),
+    "2024-05-01T12:00:00+20:00": utc(2024, 4, 30, 16),
+    "2024-05-01T12:00:00-18:30": utc(2024, 5, 2, 6, 30),
+    "2024-05-01T12:00:00\u221202:00": utc(2024, 5, 1, 14),
+    "2024-05-01T12:00:00.1234567890123Z": utc(2024, 5, 1, 12, 0, 0, 123456),
+    "2024-05-01T12:00:00+24:00": None,
     "12:00": None,
     "2024-05-01T25:00:00": None,
     "tomorrow": None,
@@ -206,3 +216,9 @@ def test_epoch_to_utc(spark):
     ).toDF("n", "x")
     got = df.orderBy("n").select(F.expr(f"unix_micros({instants.epoch_to_utc('x')})")).collect()
     assert [row[0] for row in got] == [1714557600000000, 1714557600123000, 500000, None]
+
+
+def test_bodies_beyond_the_parser_have_their_own_error(spark):
+    large = v1(data={"x": "y" * 21_000_000})
+    rows = normalize_envelope(raw(spark, large, "{oops")).orderBy("arrival_seq").select("error_type", "event_type")
+    assert [tuple(r) for r in rows.collect()] == [("BodySizeError", "unknown"), ("JSONDecodeError", "unknown")]

@@ -1,3 +1,4 @@
+import time
 from datetime import timedelta
 
 import pytest
@@ -110,8 +111,8 @@ def test_histogram_labels_and_sum(spark):
     assert (rows["+Inf"].observed_sum, rows["+Inf"].observed_count) == (5.0315, 4)
     grouped = metrics.histogram(df, "storage_latency_ms / 1000", (1.0,), by=("event_type",))
     assert {(r.event_type, r.le, r.bucket_count) for r in grouped.collect()} == {
-        ("test.event.created", "1.0", 3),
-        ("test.event.created", "+Inf", 4),
+        ("order.placed", "1.0", 3),
+        ("order.placed", "+Inf", 4),
     }
 
 
@@ -173,3 +174,55 @@ def test_roundtrip_of_an_event(spark, store):
     want = tuple(v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v for v in row)
     assert tuple(got) == want
     assert rows_of(store.events()) == [want]
+
+
+def test_histories_are_whole(spark):
+    df = events(spark, *(event(id=f"{n:04}", session_id="s", event_type="t") for n in range(1_200)))
+    assert patterns.session_history(df, "s").count() == 1_200
+    assert patterns.conversation_context(df, "s", "t").count() == 1_200
+    assert ids(patterns.session_history(df, "s", limit=5, offset=10)) == [f"{n:04}" for n in range(10, 15)]
+
+
+def test_rejects_and_first_writes_are_complements(spark):
+    rows = [("a", None, 1), ("a", None, 2), ("a", 5, 3), ("b", 7, 4), ("b", 7, 5), ("c", 1, 6), ("c", 1, 6), ("d", 2, 7)]
+    df = spark.createDataFrame(rows, "id string, arrival_seq long, x int")
+    kept, gone = unique_by_id(df).collect(), duplicate_rejects(df).collect()
+    assert sorted(map(tuple, kept + gone), key=str) == sorted(rows, key=str)
+    assert sorted(r.id for r in kept) == ["a", "b", "c", "d"]
+
+
+def test_deep_pages_in_another_zone(spark, monkeypatch):
+    """Around the end of summer time, with a driver that does not run in UTC."""
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        start = utc(2024, 11, 3, 4)
+        df = events(spark, *(event(id=f"{n:03}", timestamp=start + timedelta(minutes=7 * n)) for n in range(60)))
+        order = [f"{n:03}" for n in reversed(range(60))]
+        for offset in range(0, 60, 7):
+            assert ids(paging.page(df, 5, offset, keep=9)) == order[offset : offset + 5]
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_a_page_near_the_top_opens_few_days(spark, store):
+    store.append_events(events(spark, *(event(id=f"{n:03}", timestamp=NOW + timedelta(days=n)) for n in range(40))))
+    table = store.events()
+    days = paging._stored_days(table)
+    assert len(days) == 40 and days[0] > days[-1]
+    opened = lambda df: df.select("event_date").distinct().count()
+    assert opened(paging.newest_days(table, 3, days)) <= 7
+    assert opened(paging.newest_days(table, 3, days, newest=days[20])) <= 28
+    for offset in (0, 10, 38, 50):
+        want = ids(paging.page(table, 4, offset, prune=False))
+        assert ids(paging.page(table, 4, offset, prune=True)) == want
+    after = paging.page_after(table, NOW + timedelta(days=20), "020", 3)
+    assert ids(after) == ["019", "018", "017"]
+
+
+def test_page_and_total_in_one_call(spark):
+    df = events(spark, *(event(id=str(n), event_type="ab"[n % 2]) for n in range(30)))
+    found = paging.fetch_page(df, 4, 8, event_type="a")
+    assert (len(found.rows), found.total, found.has_more) == (4, 15, True)
+    assert not paging.fetch_page(df, 10, 5, event_type="a").has_more

@@ -6,12 +6,16 @@ import duckdb
 import pytest
 from conftest import event, events, raw, rows_of, utc
 
+from eventledger.operators import metrics
+from eventledger.operators.envelopes import normalize_envelope
+from eventledger.operators.filters import filter_start_time
 from eventledger.operators.patterns import persisted_feed, to_messages
 from eventledger.plans.ingest import ingest_batch
 from eventledger.plans.store import EventStore
 from eventledger.schema import FEED_ROUTING_KEY
 from eventledger.session import shared_dir
 from eventledger.sources.messages import raw_message_source
+from eventledger.streaming import live
 from eventledger.streaming.ingest import append_stream, dedup_stream_bounded, ingest_stream
 
 DAY = utc(2024, 5, 1)
@@ -83,7 +87,7 @@ def test_a_repeated_batch_changes_nothing(spark, store):
 
 
 def test_a_half_written_batch_is_completed(spark, store):
-    ingest_batch(raw(spark, body("a")), store, batch_id=3, writer="w")
+    store.append_events(events(spark, event(id="a")), writer="w", batch_id=3)
     ingest_batch(raw(spark, body("a"), body("b")), store, batch_id=3, writer="w")
     assert set(stored(store)) == {"a", "b"} and store.events().count() == 2
     assert failures(store) == []
@@ -117,7 +121,7 @@ def test_an_id_with_a_third_of_all_messages(spark, store):
         "3000 - id AS arrival_seq",
     )
     for batch_id in (0, 1):
-        ingest_batch(rows, store, batch_id)
+        ingest_batch(rows, store, batch_id, writer="w")
         assert store.events().count() == 2_001
         assert stored(store)["hot"].payload == '{"n":2997}'
     assert store.quarantine().where("batch_id = 0").count() == 999
@@ -199,7 +203,7 @@ def test_tail_sees_history_then_news(spark, store, tmp_path):
 def test_feed_of_stored_events(spark, store):
     store.append_events(events(spark, event(id="1")))
     row = persisted_feed(store.events()).first()
-    assert row.original_event_id == "1" and row.storage_latency_ms == 5.0
+    assert row.original_event_id == "1" and row.storage_latency_ms == 7.5
 
 
 def test_replayed_messages_restore_the_events(spark, store, tmp_path):
@@ -300,3 +304,117 @@ def test_work_folder_comes_from_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         assert shared_dir(spark, "x").startswith(f"{base}/eventledger/x-")
+
+
+def test_calls_without_a_name_are_batches_of_their_own(spark, store):
+    """A second call must neither wipe the first one's rejects nor take its ids for its own."""
+    ingest_batch(raw(spark, "{oops", body("a")), store)
+    ingest_batch(raw(spark, "[1]", body("a", data={"k": 1}), start=10), store)
+    assert failures(store) == [("IntegrityError", 11), ("JSONDecodeError", 0), ("validation_error", 10)]
+    assert stored(store)["a"].payload == "{}" and store.events().count() == 1
+
+
+def test_a_name_with_other_messages_is_refused(spark, store):
+    ingest_batch(raw(spark, body("a"), "{oops"), store, batch_id=1, writer="w")
+    with pytest.raises(ValueError):
+        ingest_batch(raw(spark, body("b")), store, batch_id=1, writer="w")
+    assert set(stored(store)) == {"a"} and failures(store) == [("JSONDecodeError", 1)]
+
+
+def test_a_recreated_checkpoint_overwrites_nothing(spark, store, tmp_path):
+    checkpoint = tmp_path / "checkpoint"
+    for n, text in enumerate(("{oops", "[1]")):
+        landing = str(tmp_path / f"in{n}")
+        write_landing(spark, landing, raw(spark, text, start=n))
+        run(spark, store, landing, str(checkpoint))
+        checkpoint.rename(tmp_path / f"old{n}")
+    assert failures(store) == [("JSONDecodeError", 0), ("validation_error", 1)]
+
+
+def test_an_id_that_returns_is_archived_with_its_own_payload(spark, store):
+    ingest_batch(raw(spark, body("a")), store)
+    assert store.archive_before("2024-06-01") == 1
+    ingest_batch(raw(spark, body("a", data={"k": 2})), store)
+    assert store.archive_before("2024-06-01") == 1
+    assert sorted(r.payload for r in store.archive().collect()) == ['{"k":2}', "{}"]
+    assert store.events().count() == 0
+    # the same name and id, as older stores may hold them
+    for payload in ('{"x":1}', '{"x":2}'):
+        store.append_events(events(spark, event(id="b", payload=payload)), writer="w", batch_id=0)
+        assert store.archive_before("2024-06-01") == 1
+    assert store.archive().where("id = 'b'").count() == 2
+
+
+def test_days_are_utc_whatever_the_session_zone(spark, store):
+    moment = utc(2024, 5, 1, 1)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        store.append_events(events(spark, event(id="a", timestamp=moment), event(id="b", timestamp=utc(1969, 12, 31, 23))))
+        assert {str(r.event_date) for r in store.events().collect()} == {"2024-05-01", "1969-12-31"}
+        assert filter_start_time(store.events(), "2024-05-01T00:30").count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_bounded_dedup_keeps_old_events(spark, tmp_path):
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    days = ("2024-05-10", "2024-05-01", "2024-05-02")
+    for n, day in enumerate(days):
+        write_landing(spark, landing, raw(spark, body(str(n), ts=day), body("again", ts=day), start=10 * n))
+    messages = raw_message_source(spark, landing, max_files_per_trigger=1)
+    rows = dedup_stream_bounded(messages, "10 minutes")
+    append_stream(rows.select("id"), out, str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["0", "1", "2", "again"]
+
+
+def test_broken_lines_keep_their_text(spark, store, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    good = json.dumps({"body": body("a"), "routing_key": "k", "arrival_seq": 1})
+    (landing / "one.json").write_text(good + '\n{"body": "cut\n')
+    run(spark, store, str(landing), str(tmp_path / "checkpoint"))
+    assert set(stored(store)) == {"a"}
+    assert [(r.body, r.error_type) for r in store.quarantine().collect()] == [('{"body": "cut', "JSONDecodeError")]
+
+
+def test_received_counts_from_the_tables(spark, store):
+    batch = raw(spark, body("a"), body("a"), body(""), "{oops", "[1]", body("b", source="other"))
+    ingest_batch(batch, store)
+    want = sorted(map(tuple, metrics.events_received_total(normalize_envelope(batch)).collect()))
+    got = metrics.received_of_store(store.events(), store.quarantine())
+    assert sorted(map(tuple, got.collect())) == want == [("t", "other", 1), ("t", "s", 3)]
+
+
+def test_a_repeated_batch_is_counted_once(spark, store, tmp_path):
+    path, checkpoint = str(tmp_path / "rows"), str(tmp_path / "checkpoint")
+    for _ in range(3):
+        ingest_batch(raw(spark, "{oops", body("a"), body("a")), store, batch_id=0, writer="w")
+        live.publish_counters(live.live_failed(store), path, checkpoint).awaitTermination()
+        got = {r.error_type: r.total for r in live.read_counters(store, path).collect()}
+        assert got == {"JSONDecodeError": 1, "IntegrityError": 1}
+
+
+def test_old_versions_of_counters_go(spark, store, tmp_path):
+    path, checkpoint = str(tmp_path / "rows"), str(tmp_path / "checkpoint")
+    for n in range(4):
+        store.append_events(events(spark, event(id=str(n))))
+        live.publish_counters(live.live_stored(store), path, checkpoint).awaitTermination()
+    assert len(list(Path(path).glob("version=*"))) == 2
+    assert live.read_counters(store, path).first().total == 4
+
+
+def test_small_files_of_a_day_are_merged(spark, store):
+    for n in range(5):
+        store.append_events(events(spark, event(id=str(n))), writer=str(n))
+    before = rows_of(store.events())
+    assert store.compact("2024-06-01") == 5
+    assert rows_of(store.events()) == before
+    assert len(list(Path(store.events_path).glob("event_date=2024-05-01/*.parquet"))) == 1
+    assert store.compact("2024-06-01") == 0
+
+
+def test_partitions_of_a_topic_are_ordered_by_time(spark, store):
+    rows = [(body("a", data={"n": n}), "k", utc(2024, 5, 1, h), 5, "t", p) for n, (h, p) in enumerate([(3, 0), (1, 1), (2, 0)])]
+    kafka = spark.createDataFrame(rows, "body string, routing_key string, received_at timestamp, arrival_seq long, topic string, partition int")
+    ingest_batch(kafka, store)
+    assert stored(store)["a"].payload == '{"n":1}'
