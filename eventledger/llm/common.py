@@ -30,11 +30,12 @@ def text_tag(name: str = "text") -> Column:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
-    """Shuffle partitions: the session's setting, or more when the input is large."""
+    """Shuffle partitions: the session's setting, or more when the input is known to be large."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = estimated_bytes(df) or 0
-    return max(least, min(math.ceil(size / bytes_each), 1 << 20))
+    known = size < 1 << 60  # Spark's guess for what it knows nothing about is beyond
+    return max(least, math.ceil(size / bytes_each)) if known else least
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
