@@ -26,7 +26,10 @@ SPACE_MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2
 BASE = 0x9E3779B97F4A7C15
+SPREAD = 0xD6E8FEB86659FD93  # odd: spreads hashes over their leading bits
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 HELD_WORDS = 300_000  # words whose ids a task remembers
+SLICE = 3_000_000  # bytes of text that are encoded at a time
 
 
 def _fields(data: bytes):
@@ -97,6 +100,12 @@ class Model:
         joined = {c for p, t in zip(self.pieces, self.types) if t == _NORMAL and len(p) > 1 for c in p}
         return "".join(c for c in "\n\t\r" if c not in joined)
 
+    def tails(self) -> str:
+        """Punctuation that no piece holds after a letter: merging stops there."""
+        after = re.compile(f"[{LETTERS}]([^{LETTERS}])")
+        held = {c for p, t in zip(self.pieces, self.types) if t == _NORMAL for c in after.findall(p)}
+        return "".join(c for c in ".,;:!?$%&#*|" if c not in held)
+
     def by_words(self) -> bool:
         """Whether no piece goes on into the next word."""
         return not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p, t in zip(self.pieces, self.types) if t == _NORMAL)
@@ -116,7 +125,7 @@ def merged(symbols: list[str], rank: dict[str, int]) -> list[tuple]:
 
 
 class Encoder:
-    """Encodes distinct words of a batch together; lives in a task."""
+    """Encodes distinct words of a batch together; made on the driver, as large as the vocabulary."""
 
     def __init__(self, model: Model):
         import numpy as np
@@ -151,11 +160,20 @@ class Encoder:
             self.size[i] = len(model.pieces[i])
         ids = np.array(usable)
         # The length is part of the key; equal keys would mean that two pieces collide.
-        keys = self.hash[ids]
+        keys = self.hash[ids] * np.uint64(SPREAD)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have the same hash")
+        # Keys are spread evenly, so their leading bits tell almost where a key stands.
+        self.begin = np.searchsorted(self.keys, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        leading = (self.keys >> np.uint64(46)).astype(np.int64)
+        self.crowd = int(np.bincount(leading).max())
+        self.keys = np.r_[self.keys, np.zeros(self.crowd, np.uint64)]
+        self.ids = np.r_[self.ids, np.full(self.crowd, -1)]
+        self.seen = np.zeros(1 << 21, bool)  # whether any key begins with these bits
+        self.seen[(self.keys[: -self.crowd] >> np.uint64(43)).astype(np.int64)] = True
+        self.pairs = self.fits = None  # pairs that were judged, by a hash of them; a task's own
         self.longest = int(self.size[ids].max())
         self.power = np.array([pow(BASE, n, 1 << 64) for n in range(self.longest + 1)], np.uint64)
         worst = min(model.scores[i] for i in chosen)
@@ -168,16 +186,42 @@ class Encoder:
             value = (value * BASE + ord(c) + 1) & (1 << 64) - 1
         return value
 
-    def probe(self, keys):
-        """Piece ids by hash, -1 where there is none."""
+    def probe(self, hashes):
+        """Places of the hashes that are pieces' hashes, and those pieces."""
         import numpy as np
 
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        keys = hashes * np.uint64(SPREAD)
+        places = np.flatnonzero(self.seen[(keys >> np.uint64(43)).astype(np.int64)])
+        keys = keys[places]
+        at = self.begin[(keys >> np.uint64(46)).astype(np.int64)]
+        found = np.full(len(keys), -1)
+        for step in range(self.crowd):
+            there = self.keys[at + step] == keys
+            found[there] = self.ids[at[there] + step]
+        real = found >= 0
+        return places[real], found[real]
 
     def compatible(self, left, right):
-        """Whether merging what both pieces hold gives just these two."""
+        """Whether merging what both pieces hold gives just these two; remembers what it judged."""
+        import numpy as np
+
+        if self.pairs is None:
+            self.pairs, self.fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        pair = left << 32 | right
+        slot = ((pair.view(np.uint64) * np.uint64(BASE)) >> np.uint64(44)).astype(np.int64)
+        new = np.flatnonzero(self.pairs[slot] != pair)
+        good = self.fits[slot]
+        if len(new):
+            fresh, back = np.unique(pair[new], return_inverse=True)
+            judged = self._judge(fresh >> 32, fresh & 0xFFFFFFFF)
+            good[new] = judged[back]
+            at = slot[new]
+            self.pairs[at], self.fits[at] = -1, False
+            self.pairs[at] = pair[new]
+            self.fits[at] = good[new]
+        return good
+
+    def _judge(self, left, right):
         import numpy as np
 
         good = np.ones(len(left), bool)
@@ -185,9 +229,10 @@ class Encoder:
         limit = np.full(len(left), np.iinfo(np.int64).max)
         left, right = left.copy(), right.copy()
         while len(live):
-            whole = self.probe(self.hash[left] * self.power[np.minimum(self.size[right], self.longest)] + self.hash[right])
-            across = (whole >= 0) & (left != self.none) & (right != self.none) & (self.size[left] + self.size[right] <= self.longest)
-            early = across & (2 * self.rank[whole] < limit)
+            at, whole = self.probe(self.hash[left] * self.power[self.size[right]] + self.hash[right])
+            across = (left[at] != self.none) & (right[at] != self.none) & (self.size[left[at]] + self.size[right[at]] == self.size[whole])
+            early = np.zeros(len(left), bool)
+            early[at] = across & (2 * self.rank[whole] < limit[at])
             good[live[early]] = False
             undo_left = self.rank[left] > self.rank[right]
             limit = np.where(undo_left, 2 * self.rank[left], 2 * self.rank[right] + 1)
@@ -205,7 +250,7 @@ class Encoder:
         for i, word in enumerate(words):
             by_length.setdefault(len(word), []).append(i)
         for length, rows in by_length.items():
-            step = max(1, 4_000_000 // (length + 1))
+            step = max(1, 1_000_000 // (length + 1))
             for i in range(0, len(rows), step):
                 group = rows[i : i + step]
                 for row, ids in zip(group, self._advance([words[r] for r in group], length)):
@@ -227,21 +272,20 @@ class Encoder:
         for end in range(1, length + 1):
             for size in range(1, min(self.longest, end) + 1):
                 start = end - size
-                piece = self.probe(prefix[end] - prefix[start] * self.power[size])
+                at, found = self.probe(prefix[end] - prefix[start] * self.power[size])
+                fit = (self.size[found] == size) & np.isfinite(value[start, at])
+                at, found = at[fit], found[fit]
                 if size == 1:
-                    piece = np.where(piece < 0, self.none, piece)
-                else:
-                    piece = np.where((piece >= 0) & (self.size[piece] == size), piece, -1)
-                at = np.flatnonzero((piece >= 0) & np.isfinite(value[start]))
+                    piece = np.full(len(words), self.none)
+                    piece[at] = found
+                    at = np.flatnonzero(np.isfinite(value[start]))
+                    found = piece[at]
                 if not len(at):
                     continue
-                found = piece[at]
                 if bpe:
                     gain = np.zeros(len(at))
                     if start:
-                        pairs, back = np.unique(last[start, at] << 32 | found, return_inverse=True)
-                        fits = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
-                        gain[~fits] = -np.inf
+                        gain[~self.compatible(last[start, at], found)] = -np.inf
                 else:
                     gain = value[start, at] + self.score[found]
                 better = gain > value[end, at]
@@ -254,11 +298,13 @@ class Encoder:
             steps.append(np.where(ends > 0, last[ends, rows], -1))
             ends = ends - taken[ends, rows]
         chain = np.array(steps[::-1], np.int32).T
-        for word, ids in zip(words, chain):
-            ids = ids[ids >= 0]
-            if (ids == self.none).any():
-                ids = self._spelled(word, ids)
-            yield ids.astype("<i4").tobytes()
+        real = chain >= 0
+        data = chain[real].astype("<i4").tobytes()
+        ends = np.cumsum(real.sum(axis=1)) * 4
+        found = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        for row in np.flatnonzero((chain == self.none).any(axis=1)):
+            found[row] = self._spelled(words[row], chain[row][real[row]]).astype("<i4").tobytes()
+        return found
 
     def _spelled(self, word: str, ids):
         """Characters without a piece as bytes, or as the unknown piece."""
@@ -277,16 +323,20 @@ class Encoder:
         return np.array(out, np.int32)
 
 
-def _encode(batches, model: Model):
+def _encode(batches, encoder: Encoder, check: bool = False):
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    encoder = Encoder(model)
+    model = encoder.model
     apart = re.escape(model.separators())
-    lone = f"|[{apart}]" if apart else ""
-    split = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}{apart}]+|{SPACE_MARK}+{lone}").findall if model.by_words() else lambda s: [s]
+    tails = re.escape(model.tails())
+    ways = [f"{SPACE_MARK}*[^{SPACE_MARK}{apart}{tails}]*[{LETTERS}](?=[{tails}])"] if tails else []
+    ways += [f"{SPACE_MARK}*[^{SPACE_MARK}{apart}]+", f"{SPACE_MARK}+"] + ([f"[{apart}]"] if apart else [])
+    split = re.compile("|".join(ways)).findall if model.by_words() else lambda s: [s]
     prefix = SPACE_MARK if model.dummy_prefix else ""
     cache: dict[str, bytes] = {}
+    read = _reader(model) if check else None
 
     def encoded(texts: list[str | None]):
         parts = [split(prefix + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
@@ -300,21 +350,28 @@ def _encode(batches, model: Model):
 
     for batch in batches:
         at = batch.schema.names.index("_text")
-        texts = batch.column(at).to_pylist()
-        out, lo, held = [], 0, 0
-        for hi, text in enumerate(texts, 1):
-            held += len(text or "")
-            if held > 4_000_000 or hi == len(texts):
-                out += encoded(texts[lo:hi])
-                lo, held = hi, 0
-        sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
-        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
         names = [n for n in batch.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, "_ids"])
-
-
-def _decode(batches, model: Model):
-    import pyarrow as pa
+        size = np.asarray(pc.binary_length(batch.column(at)).fill_null(0))
+        cuts = np.searchsorted(np.cumsum(size), np.arange(1, 1 + size.sum() // SLICE) * SLICE) + 1
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+            if lo >= hi:
+                continue
+            part = batch.slice(lo, hi - lo)
+            out = encoded(part.column(at).to_pylist())
+            sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+            columns, made = [*(part.column(n) for n in names), ids], [*names, "_ids"]
+            if check:
+                back = read(ids)
+                same = [got == (t or "").replace(SPACE_MARK, " ") for got, t in zip(back, part.column(at).to_pylist())]
+                columns, made = [*columns, pa.array(same, pa.bool_())], [*made, "_same"]
+            yield pa.RecordBatch.from_arrays(columns, made)
+
+
+def _reader(model: Model):
+    """A function from a column of id lists to texts."""
+    import numpy as np
+    import pyarrow.compute as pc
 
     mark = SPACE_MARK.encode()
     spelled = []
@@ -325,38 +382,56 @@ def _decode(batches, model: Model):
             spelled.append(" ⁇ ".encode())
         else:
             spelled.append(b"" if kind == _CONTROL else piece.encode().replace(mark, b" "))
-    for batch in batches:
-        at = batch.schema.names.index("_ids")
-        texts = []
-        for ids in batch.column(at).to_pylist():
-            if ids is None:
-                texts.append(None)
-                continue
-            data = b"".join([spelled[i] for i in ids])
+
+    def read(ids) -> list[str | None]:
+        values = ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))
+        texts, begin = [], 0
+        for end, known in zip(ends.tolist(), ids.is_valid().to_pylist()):
+            data = b"".join(map(spelled.__getitem__, values[begin:end].tolist()))
+            begin = end
             if model.dummy_prefix and data[:1] == b" ":
                 data = data[1:]
-            texts.append(data.decode("utf-8", "replace"))
+            texts.append(data.decode("utf-8", "replace") if known else None)
+        return texts
+
+    return read
+
+
+def _decode(batches, model: Model):
+    import pyarrow as pa
+
+    read = _reader(model)
+    for batch in batches:
         names = [n for n in batch.schema.names if n != "_ids"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "_text"])
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            texts = pa.array(read(part.column("_ids")), pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), texts], [*names, "_text"])
 
 
-def _mapped(rows: DataFrame, column: str, inside: str, step, made: str, result: str) -> DataFrame:
-    """``rows`` with ``result`` made from ``column`` by a function over Arrow batches."""
-    others = {n: f"_c{i}" for i, n in enumerate(rows.columns) if n != result}
+def _mapped(rows: DataFrame, column: str, inside: str, step, made: dict[str, str]) -> DataFrame:
+    """``rows`` with columns made from one of them by a function over Arrow batches."""
+    results = {kind.split()[0]: name for name, kind in made.items()}
+    others = {n: f"_c{i}" for i, n in enumerate(rows.columns) if n not in made}
     plain = rows.select(*(F.col(f"`{n}`").alias(a) for n, a in others.items()), F.col(f"`{column}`").alias(inside))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != inside)
-    done = plain.mapInArrow(step, f"{kinds}, {made}" if kinds else made)
-    return done.select(*(F.col(a).alias(n) for n, a in others.items()), F.col(made.split()[0]).alias(result))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != inside]
+    done = plain.mapInArrow(step, ", ".join([*kinds, *made.values()]))
+    return done.select(*(F.col(a).alias(n) for n, a in others.items()), *(F.col(i).alias(n) for i, n in results.items()))
 
 
-def encode(rows: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(rows: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """All rows and columns, and the ids of each text; null and empty texts have none.
 
-    A column named ``ids_col`` is replaced. A space mark in a text is the same as a space.
+    With ``check_col`` the ids are decoded again in place, and the column says whether that
+    gives the text (the empty one for null). Columns named like results are replaced. A
+    space mark in a text is the same as a space.
     """
-    return _mapped(rows, text_col, "_text", lambda b: _encode(b, model), "_ids array<int>", ids_col)
+    encoder = Encoder(model)
+    made = {ids_col: "_ids array<int>"} | ({check_col: "_same boolean"} if check_col else {})
+    return _mapped(rows, text_col, "_text", lambda b: _encode(b, encoder, bool(check_col)), made)
 
 
 def decode(rows: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """All rows and columns, and the text of each list of ids; null ids give null."""
-    return _mapped(rows, ids_col, "_ids", lambda b: _decode(b, model), "_text string", text_col)
+    return _mapped(rows, ids_col, "_ids", lambda b: _decode(b, model), {text_col: "_text string"})

@@ -37,11 +37,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> D
     """Ids of every text, and whether decoding them gives the text back."""
     model = pieces.Model.load(path)
     rows = read_table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(rows, model), model)
-    spaced = F.translate(F.coalesce("text", F.lit("")), pieces.SPACE_MARK, " ")
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == spaced).alias("round_trip")
-    )
+    coded = pieces.encode(rows, model, check_col="round_trip")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,12 @@ SF = "/root/testdata/sf0.01"
 def test_all_notices_are_found(spark):
     got = queries.op6_license_scan(spark, SF)
     texts = {r.doc_id: r.text for r in read_table(spark, SF, "documents").collect()}
+    plain = lambda text: text.replace(",", "")
     notices = {n: t for n, t in licenses.TEMPLATES.items() if len(t) < 90}
-    want = {(i, n) for i, t in texts.items() for n, notice in notices.items() if notice in t}
+    want = {(i, n) for i, t in texts.items() for n, notice in notices.items() if plain(notice) in plain(t)}
     assert want and {(r.doc_id, r.license) for r in got.collect()} == want
     for r in got.collect():
-        assert texts[r.doc_id][r.first_char : r.last_char].rstrip(".") == licenses.TEMPLATES[r.license]
+        assert plain(texts[r.doc_id][r.first_char : r.last_char]).rstrip(".") == plain(licenses.TEMPLATES[r.license])
         assert r.coverage == 1.0
 
 
