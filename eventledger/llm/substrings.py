@@ -8,11 +8,13 @@ deeper is asked of the tree. Suffixes meet by a prefix of varying length:
   suffixes mostly share one, so that a run of them travels as one record. The phrase, its
   offset in the window and a hash of all the window's words are the labels on the path
   from the root to depth ``WINDOW``.
-* A phrase's records go to one of many groups. A group above ``GROUP_WINDOWS`` suffixes is
-  cut again by the longer prefix (all of the window), so it is always of bounded size.
+* A phrase's records go to one of many groups. Suffixes of a phrase that would overfill a
+  group meet by the longer prefix instead, all of the window. Such phrases show in a fixed
+  share of the documents; the choice changes where suffixes meet, never what is found.
 * Sorting a group's suffixes lays the leaves of its subtree side by side. An internal node
   of depth ``WINDOW`` or more is a run of equal paths; every leaf below it but the first in
-  (id, start) order is a repeat. Overlapping repeats merge into maximal spans.
+  (id, start) order is a repeat. Overlapping repeats merge into maximal spans. A task reads
+  its group in pieces of ``GROUP_WINDOWS`` suffixes and keeps the first leaf of each node.
 
 Before anything is shuffled each buffer of documents is treated the same way by itself:
 a passage that a third of all documents share leaves a buffer once.
@@ -29,6 +31,8 @@ WINDOW = 20
 PHRASE = 8
 BUFFER_WORDS = 1_500_000
 GROUP_WINDOWS = 4_000_000
+SAMPLE = 0.001  # share of the documents in which phrases are counted
+HEAVY = 400  # suffixes there from which a phrase is taken apart: a tenth of GROUP_WINDOWS in all
 
 _RECORD = "kind int, grp int, payload binary"
 _SPAN = "_key long, _tag int, first int, last int"
@@ -88,6 +92,20 @@ def _repeats(keys, doc, start):
     return out
 
 
+def _first_leaves(columns, gone):
+    """What is left of the columns; equal rows of one place stay once for each text."""
+    import numpy as np
+
+    left = [c[~gone] for c in columns]
+    whole, _, _, doc, tag, start = left
+    order = np.lexsort((start, tag, doc, whole))
+    same = np.ones(len(order), bool)
+    for c in left:
+        same[1:] &= c[order][1:] == c[order][:-1]
+    same[:1] = False
+    return [c[order[~same]] for c in left]
+
+
 def _spans(doc, tag, start, window: int):
     """Merges windows into maximal spans: arrays (doc, tag, first, last)."""
     import numpy as np
@@ -110,12 +128,53 @@ def _pack_spans(spans) -> bytes:
     )
 
 
-def _suffix_records(batches, groups: int, window: int, phrase: int):
+def _least_phrases(phrases, at, span: int):
+    """The smallest hash among the ``span`` phrases from each place on."""
+    import numpy as np
+
+    least = phrases
+    width = 1
+    while width * 2 <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < span:
+        rest = span - width
+        least = np.minimum(least[:-rest], least[rest:])
+    return least[at]
+
+
+def _phrase_counts(batches, window: int, phrase: int):
+    """Documents to (phrase, number of suffixes that belong to it)."""
+    import numpy as np
+    import pyarrow as pa
+
+    codes = WordCodes()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = text.split()
+            n = len(words) - window + 1
+            if n < 1:
+                continue
+            phrases, _ = _window_hashes(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), phrase, window)
+            least, counts = np.unique(_least_phrases(phrases, np.arange(n), window - phrase + 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(counts)], ["phrase", "n"])
+
+
+def _heavy_phrases(texts: DataFrame, window: int, phrase: int) -> list[int]:
+    """Phrases with ``HEAVY`` suffixes or more in the sample: at most one for so many suffixes."""
+    counted = texts.select("_text").sample(SAMPLE, seed=11).mapInArrow(
+        lambda batches: _phrase_counts(batches, window, phrase), "phrase long, n long"
+    )
+    return [r["phrase"] for r in counted.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY).select("phrase").collect()]
+
+
+def _suffix_records(batches, groups: int, window: int, phrase: int, heavy: list[int], buffer: int):
     """Documents to records of suffix runs (kind 0) and spans found within a buffer (kind 1)."""
     import numpy as np
     import pyarrow as pa
 
     codes = WordCodes()
+    apart = np.sort(np.array(heavy, np.int64).view(np.uint64))
     docs: list = []
     held = 0
 
@@ -131,15 +190,7 @@ def _suffix_records(batches, groups: int, window: int, phrase: int):
         at = np.flatnonzero(ends[of_word] - np.arange(len(words)) >= window)
         phrases, windows = _window_hashes(words, phrase, window)
         span = window - phrase + 1
-        least = phrases
-        width = 1
-        while width * 2 <= span:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if width < span:
-            rest = span - width
-            least = np.minimum(least[:-rest], least[rest:])
-        least = least[at]
+        least = _least_phrases(phrases, at, span)
         offset = np.zeros(len(at), np.int64)
         for step in range(span - 1, -1, -1):
             offset[phrases[at + step] == least] = step
@@ -156,9 +207,15 @@ def _suffix_records(batches, groups: int, window: int, phrase: int):
             return
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]) | (at[1:] + offset[1:] != at[:-1] + offset[:-1])
+        meet = least
+        if len(apart):
+            alone = apart[np.minimum(np.searchsorted(apart, least), len(apart) - 1)] == least
+            new |= alone
+            new[1:] |= alone[:-1]
+            meet = np.where(alone, whole, least)
         run = np.flatnonzero(new)
         count = np.diff(np.r_[run, len(at)])
-        group = (least[run] % np.uint64(groups)).astype(np.int64)
+        group = (meet[run] % np.uint64(groups)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.unique(group))
         whole_bytes = whole.view(np.uint8).reshape(-1, 8)[:, :6]
@@ -196,14 +253,14 @@ def _suffix_records(batches, groups: int, window: int, phrase: int):
                 continue
             docs.append((key, tag, np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))))
             held += len(words)
-            if held >= BUFFER_WORDS:
+            if held >= buffer:
                 yield from emit()
                 held = 0
     if docs:
         yield from emit()
 
 
-def _subtrees(batches, window: int):
+def _subtrees(batches, window: int, piece: int):
     """Groups of suffix records, sorted by group, to the spans below deep nodes."""
     import numpy as np
     import pyarrow as pa
@@ -223,25 +280,26 @@ def _subtrees(batches, window: int):
             at += n * np.dtype(kind).itemsize
         return (*out, np.frombuffer(payload, np.uint8, offset=at).reshape(-1, 6))
 
-    def nodes(payloads):
+    def leaves(payloads):
         least, doc, tag, start, offset, n, tail = (np.concatenate(x) for x in zip(*map(unpack, payloads)))
         n = n.astype(np.int64)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         least, doc, tag = (np.repeat(x, n) for x in (least, doc, tag))
-        start = np.repeat(start, n) + inner
-        offset = np.repeat(offset, n) - inner
+        start = np.repeat(start, n) + inner.astype(np.int32)
+        offset = (np.repeat(offset, n) - inner).astype(np.uint8)
         whole = np.zeros((len(tail), 8), np.uint8)
         whole[:, :6] = tail
-        whole = whole.view(np.uint64).ravel()
-        cuts = 1 + len(whole) // GROUP_WINDOWS
-        part = whole % np.uint64(cuts) if cuts > 1 else np.zeros(len(whole), np.uint64)
-        for cut in range(cuts):
-            own = np.flatnonzero(part == cut)
-            gone = own[_repeats((whole[own], least[own], offset[own]), doc[own], start[own])]
-            if len(gone):
-                yield batch_of(_spans(doc[gone], tag[gone], start[gone], window))
-
-    group, payloads = None, []
+        return whole.view(np.uint64).ravel(), least, offset, doc, tag, start
+
+    def firsts(held, payloads):
+        """Spans of later leaves, and the first leaves of ``held`` and ``payloads`` together."""
+        found = [np.concatenate(x) for x in zip(*held, leaves(payloads))]
+        whole, least, offset, doc, tag, start = found
+        gone = _repeats((whole, least, offset), doc, start)
+        spans = _spans(doc[gone], tag[gone], start[gone], window)
+        return spans, _first_leaves(found, gone)
+
+    group, held, payloads, waiting, full = None, [], [], 0, piece
     for batch in batches:
         for kind, grp, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if kind == 1:
@@ -253,13 +311,17 @@ def _subtrees(batches, window: int):
                     )
                 )
                 continue
-            if grp != group and payloads:
-                yield from nodes(payloads)
-                payloads = []
-            group = grp
+            if waiting and (grp != group or waiting >= full):
+                spans, first = firsts(held, payloads)
+                yield batch_of(spans)
+                held, payloads, waiting = [first], [], 0
+                full = max(piece, len(first[0]))
+            if grp != group:
+                group, held, full = grp, [], piece
             payloads.append(payload)
-    if payloads:
-        yield from nodes(payloads)
+            waiting += len(payload) // 6
+    if waiting:
+        yield batch_of(firsts(held, payloads)[0])
 
 
 def repeated_spans(
@@ -277,9 +339,10 @@ def repeated_spans(
     texts = documents.select(long_id(id_col).alias("_key"), text_tag(text_col).alias("_tag"), F.col(text_col).cast("binary").alias("_text")).where(
         "_text IS NOT NULL"
     )
-    records = texts.mapInArrow(lambda batches: _suffix_records(batches, groups, window, phrase), _RECORD)
+    heavy = _heavy_phrases(texts, window, phrase)
+    records = texts.mapInArrow(lambda batches: _suffix_records(batches, groups, window, phrase, heavy, BUFFER_WORDS), _RECORD)
     grouped = records.repartition(parts, "grp").sortWithinPartitions("grp")
-    return grouped.mapInArrow(lambda batches: _subtrees(batches, window), _SPAN)
+    return grouped.mapInArrow(lambda batches: _subtrees(batches, window, GROUP_WINDOWS), _SPAN)
 
 
 def _cut(batches):
@@ -336,7 +399,7 @@ def remove_repeats(
     spans = (
         repeated_spans(documents, id_col, text_col, window, phrase)
         .groupBy("_key", "_tag")
-        .agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+        .agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     )
     rows = documents.select(
         *(F.col(f"`{name}`").alias(alias) for name, alias in plain.items()),

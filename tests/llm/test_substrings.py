@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from eventledger.llm import queries, substrings
@@ -44,10 +46,12 @@ def test_query_equals_sql(spark):
     assert any(r[2] for r in got) and hashlib.sha256(b"").hexdigest() not in {r[3] for r in got if r[1] > r[2]}
 
 
-@pytest.mark.parametrize("buffer", [60, 1_500_000])
-def test_equals_definition_on_overlapping_repeats(spark, monkeypatch, buffer):
+@pytest.mark.parametrize(("buffer", "heavy"), [(60, 400), (60, 3), (1_500_000, 3), (1_500_000, 400)])
+def test_equals_definition_on_overlapping_repeats(spark, monkeypatch, buffer, heavy):
     monkeypatch.setattr(substrings, "BUFFER_WORDS", buffer)
     monkeypatch.setattr(substrings, "GROUP_WINDOWS", 50)
+    monkeypatch.setattr(substrings, "SAMPLE", 1.0)
+    monkeypatch.setattr(substrings, "HEAVY", heavy)
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 30)}" for _ in range(300)]
     rows = []
@@ -78,3 +82,31 @@ def test_very_long_text(spark):
     rows = [(1, "a b c d e f g " * 60_000), (2, " ".join(map(str, range(300_000))))]
     got = found(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [(g[1], g[2]) for g in got] == [(420_000, 420_000 - 7), (300_000, 0)]
+
+
+def test_a_phrase_that_most_suffixes_share_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SAMPLE", 1.0)
+    monkeypatch.setattr(substrings, "HEAVY", 5_000)
+    codes = substrings.WordCodes()
+
+    def phrase_hash(words):
+        return int(substrings._window_hashes(np.array([codes[w.encode()] for w in words], np.uint64), 6, 6)[0][0])
+
+    tagline = min(([*"read our terms before you".split(), f"go{n}"] for n in range(200)), key=phrase_hash)
+    rows = [(i, " ".join([*(f"{i}a{n}" for n in range(15)), *tagline, *(f"{i}b{n}" for n in range(15))])) for i in range(1000)]
+    rows += [(5000 + i, t) for i, t in rows[:50]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.selectExpr("doc_id _key", "hash(text) _tag", "cast(text as binary) _text")
+    heavy = substrings._heavy_phrases(texts, 20, 6)
+    assert [h % (1 << 64) for h in heavy] == [phrase_hash(tagline)]
+
+    def sizes(phrases):
+        total = Counter()
+        for batch in substrings._suffix_records(texts.toArrow().to_batches(), 16, 20, 6, phrases, 10**9):
+            for kind, group, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                total[group] += len(payload) * (kind == 0)
+        return total
+
+    assert max(sizes([]).values()) > 0.5 * sum(sizes([]).values())
+    assert max(sizes(heavy).values()) < 0.15 * sum(sizes(heavy).values())
+    assert found(substrings.remove_repeats(df, phrase=6)) == plain(rows)
