@@ -4,10 +4,10 @@ Labels name domains for some documents. A naive Bayes classifier over the hashed
 that a text holds, counted in Spark, gives every document a posterior over the domains. Rates, the numbers of times
 that documents should be read, then solve a least squares problem: expected tokens of each
 domain, the sum of rate * tokens * posterior, shall equal the targets, with no rate below
-zero. It is solved by projected gradient steps from a rate of one. Residuals are whitened
-by the Gram matrix of the domains over documents with a rate above zero, so that the step
-length is one and a few steps do; each step is one aggregation over narrow rows, of which a
-few numbers for each pair of domains reach the driver. Rates are a fold over these few steps and need no table of their own.
+zero and the rates as near to one as that allows. Such rates are max(0, 1 - posterior . y), a projected
+step from a rate of one; its few numbers y are found by Newton steps, each an aggregation over
+narrow rows, of which a few numbers for each pair of domains reach the driver. Rates need no
+table of their own.
 
 All of it is DataFrame and SQL functions.
 """
@@ -31,9 +31,11 @@ FULL_WORDS = 400  # evidence of longer texts counts as that of so many different
 SURE = 4.0
 EFFECT = 1.0
 SUPPORT = 0.05
-STEPS = 30
-DAMP = 0.01  # keeps rates moderate where few documents tell domains apart
-CLOSE = 1e-6  # residual, as a share of all tokens, at which steps end
+STEPS = 30  # for each damping; a handful is usual
+DAMP = 0.01  # weight of rates that differ from one, at first; a hundredth of it in each round
+LEAST_DAMP = 1e-12  # the last: domains down to about this share of tokens meet their targets
+LEAST_PART = 1e-6  # of a Newton step
+CLOSE = 1e-6  # gap, as a share of all tokens, at which rounds end
 
 
 def _words(text: str) -> Column:
@@ -145,44 +147,61 @@ def totals(rows: DataFrame, size: int, rate: Column | None = None) -> np.ndarray
 def fit_rates(rows: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Steps that lead to the rates, and the expected tokens they give.
 
-    Targets that cannot be met leave a residual: totals near them are given.
+    The rate max(0, 1 - p . y) minimises gap^2 / damp + sum of tokens * (rate - 1)^2 where y is
+    the minimum of a smooth convex function, whose gradient is damp * y less the gap: the
+    projected gradient. Newton steps with a line search find it, first at a large damping, then at
+    smaller ones from there, until the targets are met. Those that cannot be met leave a gap at
+    the least damping: the totals nearest to them in tokens.
     """
     size = len(targets)
     pairs = [(a, b) for a in range(size) for b in range(a, size)]
 
-    def state(rate: Column):
-        """Totals at this rate, and the Gram matrix of the documents that can still fall."""
-        now = rows.select("n_tokens", *(f"p_{d}" for d in range(size)), rate.alias("rate"))
+    def state(y: np.ndarray):
+        """Totals and squares at these rates, and the Gram matrix of documents with a rate above zero."""
+        now = rows.select("n_tokens", *(f"p_{d}" for d in range(size)), _rate([y], size).alias("rate"))
         free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(F.lit(0))
         sums = now.agg(
             *(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")) for d in range(size)),
             *(F.sum(free * F.col(f"p_{a}") * F.col(f"p_{b}")) for a, b in pairs),
+            F.sum(F.col("n_tokens") * F.col("rate") * F.col("rate")),
         ).first()
         gram = np.zeros((size, size))
         for (a, b), x in zip(pairs, sums[size:]):
             gram[a, b] = gram[b, a] = x or 0.0
-        return np.array([x or 0.0 for x in sums[:size]], float), gram
+        return np.array([x or 0.0 for x in sums[:size]], float), gram, sums[-1] or 0.0
 
-    reached, full = state(F.lit(1.0))
-    whole = full.sum()
-    steps: list[np.ndarray] = []
+    y = np.zeros(size)
+    reached, gram, squares = state(y)
+    whole = gram.sum()
     if whole <= 0:
-        return steps, reached
-    gram, plain = full, True
-    for _ in range(STEPS):
-        residual = (reached - targets) / whole
-        if float(np.abs(residual).max()) <= CLOSE:
-            break
-        move = np.linalg.solve(gram / whole + DAMP * np.eye(size), residual)
-        tried, tried_gram = state(_rate([*steps, move], size))
-        after = float(np.abs(tried - targets).max()) / whole
-        if after > 0.9 * float(np.abs(residual).max()):
-            if plain:  # the full matrix cannot overshoot: the nearest totals are reached
+        return [], reached
+
+    def gap() -> float:
+        return float(np.abs(reached - targets).max()) / whole
+
+    damp = DAMP
+    while gap() > CLOSE:
+        for _ in range(STEPS):
+            slope = (targets - reached) / whole + damp * y
+            if float(np.abs(slope).max()) <= CLOSE / 10:
                 break
-            gram, plain = full, True
-            continue
-        steps, reached, gram, plain = [*steps, move], tried, tried_gram, False
-    return steps, reached
+            move = np.linalg.solve(gram / whole + damp * np.eye(size), slope)
+            value = squares / whole / 2 + y @ targets / whole + damp * (y @ y) / 2
+            part = 1.0
+            while part > LEAST_PART:
+                at = y - part * move
+                tried = state(at)
+                after = tried[2] / whole / 2 + at @ targets / whole + damp * (at @ at) / 2
+                if after <= value - 1e-4 * part * (slope @ move) + 1e-15 * abs(value):
+                    break
+                part /= 4
+            else:  # rounding hides what is left to gain
+                break
+            y, (reached, gram, squares) = at, tried
+        if damp <= LEAST_DAMP:
+            break
+        damp /= 100
+    return ([y] if y.any() else []), reached
 
 
 def mix(

@@ -3,8 +3,8 @@
 A language reference is what all documents that declare a language hold together: shares of
 character classes, and shares of the words that make up ``COMMON`` of its words or more. A
 document is compared with the reference of its own language, or with the nearest one if it
-declares none that is known, by Jensen-Shannon divergence in bits. Short texts diverge by
-chance: the comparison starts at ``MIN_WORDS`` words, and the bound widens for the number of
+declares no language, by Jensen-Shannon divergence in bits; one whose language is too rare for
+a reference is left to the other rules. Short texts diverge by chance: the comparison starts at ``MIN_WORDS`` words, and the bound widens for the number of
 bins that so few words cannot fill.
 """
 
@@ -19,7 +19,6 @@ from eventledger.llm.substrings import WordCodes
 
 COMMON = 0.002  # share of a language's words that makes a word common
 MIN_REFERENCE = 2_000  # words that a language needs for a reference
-LANGUAGES = 200  # references kept, by number of words; there are fewer known languages
 MIN_WORDS = 50
 CHAR_BOUND = 0.06
 WORD_BOUND = 0.09
@@ -129,7 +128,7 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
     A word with a share of COMMON in the whole has at least half its occurrences in blocks
     where its share is COMMON / 2 or more. So the words that such blocks report, at least
     COMMON / 2 of the whole, hold all common ones and are 2 / COMMON a language at most; these
-    few are then counted exactly. What reaches the driver is bounded by that.
+    few are then counted exactly. What reaches the driver is bounded by that for each language.
     """
     rows = documents.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("binary").alias("text")
@@ -138,7 +137,7 @@ def references(documents: DataFrame, lang_col: str = "lang", text_col: str = "te
     slot = lambda i: F.sum(F.get("classes", F.lit(i))).alias(f"c{i}")
     summed = blocks.groupBy("lang", "word").agg(F.sum("n").alias("n"), *(slot(i) for i in range(len(CLASSES))))
     summed = summed.persist()
-    totals = summed.where("word IS NULL").where(F.col("n") >= MIN_REFERENCE).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    totals = summed.where("word IS NULL").where(F.col("n") >= MIN_REFERENCE)
     known = {r["lang"]: (r["n"], [r[f"c{i}"] for i in range(len(CLASSES))]) for r in totals.collect()}
     bound = totals.select("lang", F.col("n").alias("total"))
     held = summed.where("word IS NOT NULL").join(bound, "lang").where(F.col("n") >= COMMON / 2 * F.col("total"))
@@ -239,8 +238,8 @@ def _measure(batches, refs):
         failed = n < 10 or 100 * repeats > 20 * n
         chars = by_words = None
         kept = not failed
-        if n >= MIN_WORDS and known:
-            own = [lang] if lang in known else list(known)
+        own = [lang] if lang in known else [] if lang else list(known)
+        if n >= MIN_WORDS and own:
             chars, by_words, size = min((diverges(x, words, classes) for x in own), key=lambda d: d[0] + d[1])
             kept = kept and chars <= CHAR_BOUND + CHAR_NOISE / n and by_words <= WORD_BOUND + WORD_NOISE * size / n
         return n, int(classes.sum() - classes[3]), int(classes[4]), dup, repeats, failed, chars, by_words, kept
@@ -260,9 +259,9 @@ def _measure(batches, refs):
 def measure(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
     """The given columns (all by default) and the rules' counts, divergences and verdict.
 
-    Null and empty texts have no words and fail. Without a known language the nearest
-    reference counts; without any reference, or below MIN_WORDS words, the divergences are
-    null and do not speak against a document. Each of several equal rows is judged alike.
+    Null and empty texts have no words and fail. Without a declared language the
+    nearest reference counts; where the declared one has no reference, without any reference, or
+    below MIN_WORDS words, the divergences are null and do not speak against a document. Each of several equal rows is judged alike.
     Input columns with the names of results are replaced.
     """
     refs = references(documents, lang_col, text_col)

@@ -39,6 +39,30 @@ def test_totals_meet_attainable_targets(spark, targets):
     assert np.allclose(nearest(tokens, p, wanted, 20_000), wanted, atol=2e-2 * tokens.sum())
 
 
+@pytest.mark.parametrize(
+    "held, wanted",
+    [((0.9495, 0.05, 0.0005), (0.94, 0.04, 0.02)), ((0.9492, 0.05, 0.0008), (0.94, 0.04, 0.02)),
+     ((0.90, 0.0995, 0.0005), (0.90, 0.0995 / 4, 0.0005 / 4)), ((0.9, 0.099999, 0.000001), (0.94, 0.04, 0.02))],
+)
+@pytest.mark.parametrize("soft", [0.0, 1e-7])
+def test_rare_domains_meet_their_targets(spark, held, wanted, soft):
+    tokens = np.round(np.array(held) * 1e6).astype(int)
+    p = np.eye(3) * (1 - 3 * soft) + soft
+    total = np.array(wanted) * tokens.sum()
+    rows = posterior_rows(spark, tokens, p)
+    steps, reached = mixing.fit_rates(rows, total)
+    rates = np.array([r[0] for r in rows.select(mixing._rate(steps, 3)).collect()])
+    assert np.allclose(reached, total, atol=2e-6 * tokens.sum())
+    assert np.allclose((tokens * rates) @ p, reached) and (rates >= 0).all()
+
+
+def test_targets_out_of_reach_are_approached(spark):
+    p = np.array([[0.6, 0.4], [0.5, 0.5], [0.4, 0.6]])
+    tokens, wanted = np.array([10, 10, 10]), np.array([30.0, 0.0])
+    _, reached = mixing.fit_rates(posterior_rows(spark, tokens, p), wanted)
+    assert np.allclose(reached, nearest(tokens, p, wanted, 20_000), atol=1e-3)
+
+
 def test_targets_out_of_reach_leave_rates_finite(spark):
     p = np.array([[0.6, 0.4], [0.5, 0.5], [0.4, 0.6]])
     rows = posterior_rows(spark, np.array([10, 10, 10]), p)

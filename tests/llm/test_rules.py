@@ -97,3 +97,21 @@ def test_odd_rows(spark):
 def test_divergence():
     assert rules.divergence([1, 0], [0, 1]) == pytest.approx(1.0)
     assert rules.divergence([0.3, 0.7], [0.3, 0.7]) == 0.0
+
+
+def test_a_rare_language_is_not_held_against_others(spark):
+    """Clean Spanish below MIN_REFERENCE words, beside a large English corpus."""
+    from_sf = read_table(spark, "/root/testdata/sf0.1", "documents").where("lang IN ('en', 'es')").orderBy("doc_id")
+    texts = {lang: [r.text for r in from_sf.where(f"lang = '{lang}'").limit(400).collect()] for lang in ("en", "es")}
+    few = [t for t in texts["es"] if 60 <= len(WORD.findall(t)) <= 400 and not plain_base(t)[-1]][:4]
+    assert few and sum(len(WORD.findall(t)) for t in few) < rules.MIN_REFERENCE
+    rows = [("en", t) for t in texts["en"]] + [("es", t) for t in few] + [(None, t) for t in texts["en"][:50]]
+    got = rules.measure(spark.createDataFrame(rows, "lang string, text string")).collect()
+    rare = [r for r in got if r.lang == "es"]
+    assert len(rare) == len(few) and all(r.kept and r.char_divergence is None and r.word_divergence is None for r in rare)
+    assert all(r.char_divergence is not None for r in got if r.lang != "es" and r.n_words >= rules.MIN_WORDS)
+
+
+def test_every_language_of_enough_words_has_a_reference(spark):
+    rows = spark.range(230).selectExpr("concat('l', id) AS lang", f"repeat(concat('w', id, ' '), {rules.MIN_REFERENCE} + CAST(id AS INT)) AS text")
+    assert len(rules.references(rows)) == 230
