@@ -1,9 +1,7 @@
 """The pipeline's stages against plain versions of the same decisions."""
 
-import test_pieces  # noqa: F401  skips without the library
-from test_rules import plain_base, plain_kept
-from test_simhash import plain_components, plain_fingerprint
-from test_substrings import WORD, plain
+import pytest
+from plain_versions import WORD, plain_base, plain_components, plain_fingerprint, plain_kept, plain_passages
 
 import corpus_pipeline
 from eventledger.llm import mixing, pieces, queries
@@ -26,7 +24,7 @@ def test_stages_one_after_the_other(spark, tmp_path):
     label = plain_components([(i, plain_fingerprint(rows[i].text)) for i in sorted(kept)])
     single = {i for i in kept if label[i] == i}
     assert {r.doc_id for r in seen[1].collect()} == single < kept
-    cut = {i: (n, gone, words) for i, n, gone, words in plain([(i, rows[i].text) for i in single])}
+    cut = {i: (n, gone, words) for i, n, gone, words in plain_passages([(i, rows[i].text) for i in single])}
     third = {r.doc_id: r for r in seen[2].collect()}
     assert set(third) == {i for i, (n, gone, _) in cut.items() if n > gone}
     assert all(" ".join(WORD.findall(r.text)) == cut[i][2] and r.n_chars == len(r.text) for i, r in third.items())
@@ -35,8 +33,7 @@ def test_stages_one_after_the_other(spark, tmp_path):
     fourth = seen[3].collect()
     assert sorted(r.doc_id for r in fourth) == sorted(i for i, n in times.items() for _ in range(n))
     assert all(d.columns == columns for d in seen[:4])
-    import sentencepiece
-
+    sentencepiece = pytest.importorskip("sentencepiece")
     library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
     texts = {r.doc_id: r.text for r in fourth}
     last = seen[4].collect()

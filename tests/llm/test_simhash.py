@@ -1,8 +1,7 @@
 import random
 
-import numpy as np
 import pytest
-import xxhash
+from plain_versions import plain_components, plain_fingerprint
 
 from eventledger.llm import queries, simhash
 from eventledger.llm.common import read_table
@@ -11,31 +10,6 @@ from eventledger.llm.components import components
 SF = "/root/testdata/sf0.001"
 
 
-def plain_fingerprint(text):
-    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    for c in "\t\n\v\f\r":
-        lowered = lowered.replace(c, " ")
-    words = [w for w in lowered.split(" ") if w]
-    if not words:
-        return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    codes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(c >> b & 1 for c in codes) > len(codes))
-
-
-def plain_components(rows, bits=4):
-    """rows: (id, fingerprint); the smallest id that each row reaches."""
-    ids = np.array([i for i, _ in rows])
-    codes = np.array([c for _, c in rows], np.uint64)
-    label = ids.copy()
-    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= bits
-    while True:
-        new = np.array([label[n].min() for n in near])
-        if (new == label).all():
-            return dict(zip(ids.tolist(), label.tolist()))
-        label = new
-
-
 def unsigned(x):
     return x & (1 << 64) - 1
 

@@ -1,38 +1,15 @@
 import hashlib
 import random
-import re
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from plain_versions import WORD, plain_passages
 
 from eventledger.llm import queries, substrings
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def plain(rows, window=20):
-    """rows: (id, text); kept words of each row by the definition."""
-    split = [(i, WORD.findall(t or "")) for i, t in rows]
-    first = {}
-    for i, words in split:
-        key = substrings.NO_ID if i is None else i
-        for p in range(len(words) - window + 1):
-            passage = tuple(words[p : p + window])
-            first[passage] = min(first.get(passage, (key, p)), (key, p))
-    out = []
-    for i, words in split:
-        key = substrings.NO_ID if i is None else i
-        gone = set()
-        for p in range(len(words) - window + 1):
-            if first[tuple(words[p : p + window])] < (key, p):
-                gone.update(range(p, p + window))
-        out.append((i, len(words), len(gone), " ".join(w for n, w in enumerate(words) if n not in gone)))
-    return sorted(out, key=str)
-
-
 def found(df):
     return sorted(((r.doc_id, r.n_words, r.n_removed, " ".join(WORD.findall(r.text or ""))) for r in df.collect()), key=str)
 
@@ -62,7 +39,7 @@ def test_equals_definition_on_overlapping_repeats(spark, monkeypatch, buffer, he
             parts += base[a : a + rng.randint(5, 60)] + [f"x{rng.randint(0, 9)}"] * rng.choice([1, 2, 45])
         rows.append((rng.randint(0, 30), " ".join(parts)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert found(substrings.remove_repeats(df)) == plain(rows)
+    assert found(substrings.remove_repeats(df)) == plain_passages(rows)
 
 
 def test_odd_rows(spark):
@@ -72,7 +49,7 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
     got = substrings.remove_repeats(df)
     assert got.columns == ["doc_id", "text", "n_words", "n_removed"]
-    assert found(got) == plain([r[:2] for r in rows])
+    assert found(got) == plain_passages([r[:2] for r in rows])
     texts = {r.doc_id: r.text for r in got.collect()}
     assert texts[2] == "lead in\ntail  end" and texts[3] is None and texts[4] == "" and texts[None] == ""
     assert substrings.remove_repeats(df.limit(0)).collect() == []
@@ -109,4 +86,4 @@ def test_a_phrase_that_most_suffixes_share_is_spread(spark, monkeypatch):
 
     assert max(sizes([]).values()) > 0.5 * sum(sizes([]).values())
     assert max(sizes(heavy).values()) < 0.15 * sum(sizes(heavy).values())
-    assert found(substrings.remove_repeats(df, phrase=6)) == plain(rows)
+    assert found(substrings.remove_repeats(df, phrase=6)) == plain_passages(rows)
