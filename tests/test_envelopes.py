@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import raw, utc
+from event_rows import raw, utc
 from pyspark.sql import functions as F
 
 from eventledger.functions import instants

@@ -1,15 +1,16 @@
 import pytest
 from check_oracle import differences
 
-import __spark_entry__ as entry
+from eventledger.plans import catalog, oracle
 
 SMALL = "/root/testdata/sf0.001"
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, name):
-    assert differences(spark, SMALL, name, entry.queries()[name], entry.oracle_sql()[name]) is None
+    assert differences(spark, SMALL, name, QUERIES[name], SQL[name]) is None

@@ -2,7 +2,7 @@ import time
 from datetime import timedelta
 
 import pytest
-from conftest import event, events, rows_of, utc
+from event_rows import event, events, rows_of, utc
 
 from eventledger.operators import filters, metrics, paging, patterns
 from eventledger.operators.uniqueness import duplicate_rejects, unique_by_id

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import event, events, raw, rows_of, utc
+from event_rows import event, events, raw, rows_of, utc
 
 from eventledger.operators import metrics
 from eventledger.operators.envelopes import normalize_envelope
