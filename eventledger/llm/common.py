@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventledger.session import estimated_bytes, shared_dir
+from eventledger.session import estimated_bytes, written  # noqa: F401  used by the operators from here
 
 #: Word separators, the same set as ``bytes.split()`` without an argument.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,14 +38,6 @@ def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     return max(least, math.ceil(size / bytes_each)) if known else least
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, any executor may go."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix(x):
     """Spreads numpy uint64 values over all their bits."""
     import numpy as np

@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventledger.llm import cotraining, langid, licenses, mixing, pages, pieces, rules, simhash, substrings, topk
+from eventledger.llm import (
+    cotraining,
+    langid,
+    licenses,
+    manifest,
+    mixing,
+    pages,
+    pieces,
+    rules,
+    runs,
+    simhash,
+    substrings,
+    tokenfiles,
+    topk,
+)
 from eventledger.llm.common import SPACE, read_table
-from eventledger.session import prepare
+from eventledger.session import prepare, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +138,118 @@ QUALIFY rank <= 20
 """
 
 
+#: Id that ends each document in token files.
+END_ID = 1
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str, path: str | None = None, vocabulary: str | None = None) -> DataFrame:
+    """Token files of all documents, written under ``path`` (a new shared folder), read back."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    path = path or shared_dir(spark, "token-files")
+    tokenfiles.write(read_table(prepare(spark), sf_dir, "documents"), path, tokenfiles.Encoder.load(vocabulary, END_ID))
+    return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def planted(documents: DataFrame) -> DataFrame:
+    """(doc_id, text), where every tenth document, by its id's CRC, ends periodically."""
+    rows = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = rows.withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", SPACE), lambda x: x != "")))
+    places = words.withColumn("n", F.size("w")).selectExpr("*", "IF(n > 0, h DIV 10 % n, NULL) AS a")
+    periods = places.selectExpr("*", "1 + (n - a) DIV (3 + h DIV 10 % 8) AS p")
+    base = "slice(w, CAST(a + 1 AS INT), CAST(p AS INT))"
+    whole = f"concat(slice(w, 1, CAST(a AS INT)), flatten(array_repeat({base}, CAST(1 + (n - a) DIV p AS INT))))"
+    return periods.selectExpr("doc_id", f"IF(n > 0, array_join(slice({whole}, 1, n), ' '), text) AS text")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(planted(read_table(prepare(spark), sf_dir, "documents")))
+    better = "r.length * best.period > best.length * r.period"
+    best = f"aggregate(runs, runs[0], (best, r) -> IF({better}, r, best))"
+    listed = r"array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')"
+    return found.withColumn("best", F.expr(f"IF(size(runs) > 0, {best}, NULL)")).selectExpr(
+        "doc_id",
+        "CAST(size(runs) AS BIGINT) AS n_runs",
+        "best.start AS start",
+        "best.length AS length",
+        "best.period AS period",
+        "1000 * best.length DIV best.period AS exponent_milli",
+        f"sha2({listed}, 256) AS runs_sha256",
+        "sha2(collapsed, 256) AS collapsed_sha256",
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and the root of all documents, and which rows a changed ``n_chars`` gives away."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = manifest.build(
+        read_table(prepare(spark), sf_dir, "documents"), fields, keep={"claim": F.when(hit, manifest.leaf(*changed))}
+    )
+    checked = manifest.fold(made.withColumn("claim", F.coalesce("claim", "leaf")), "claim")
+    return checked.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _sql_field(name: str) -> str:
+    return f"coalesce(strlen(({name})::VARCHAR) || ':' || ({name})::VARCHAR, '-')"
+
+
+def _sql_leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_sql_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+_SQL_CRC32 = """xor(list_reduce(list_prepend(4294967295, [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+        lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+#: Trees are named by their language, '=' before it, the tree of subroots '#'.
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, {_sql_leaf('n_chars')} AS leaf,
+           CASE WHEN {_SQL_CRC32} % 7 = 0 THEN {_sql_leaf('n_chars + 1')} ELSE {_sql_leaf('n_chars')} END AS claim
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS m FROM leaves
+), lower(tree, lvl, pos, m, h) AS (
+    SELECT tree, 0, pos, m, leaf FROM placed
+    UNION ALL
+    SELECT tree, lvl + 1, pos // 2, (any_value(m) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+    FROM lower WHERE m > 1 GROUP BY tree, lvl, pos // 2
+), subroots AS (
+    SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS m FROM lower WHERE m = 1
+), upper_(tree, lvl, pos, m, h) AS (
+    SELECT '#', 0, pos, m, subroot FROM subroots
+    UNION ALL
+    SELECT tree, lvl + 1, pos // 2, (any_value(m) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+    FROM upper_ WHERE m > 1 GROUP BY tree, lvl, pos // 2
+), nodes AS (
+    SELECT * FROM lower UNION ALL SELECT * FROM upper_
+), walk(doc_id, leaf, home, tree, lvl, pos, m, proof, h) AS (
+    SELECT doc_id, leaf, tree, tree, 0, pos, m, '', claim FROM placed
+    UNION ALL
+    SELECT w.doc_id, w.leaf, w.home,
+           CASE WHEN w.m = 1 THEN '#' ELSE w.tree END,
+           CASE WHEN w.m = 1 THEN 0 ELSE w.lvl + 1 END,
+           CASE WHEN w.m = 1 THEN s.pos ELSE w.pos // 2 END,
+           CASE WHEN w.m = 1 THEN s.m ELSE (w.m + 1) // 2 END,
+           CASE WHEN w.m = 1 THEN w.proof ELSE w.proof || coalesce(o.h, '') END,
+           CASE WHEN w.m = 1 THEN w.h WHEN w.pos % 2 = 1 THEN sha256(o.h || w.h) ELSE sha256(w.h || coalesce(o.h, '')) END
+    FROM walk w JOIN subroots s ON s.tree = w.home
+    LEFT JOIN nodes o ON o.tree = w.tree AND o.lvl = w.lvl AND o.pos = xor(w.pos, 1)
+    WHERE w.m > 1 OR w.tree <> '#'
+)
+SELECT w.doc_id, w.leaf, s.subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified
+FROM walk w JOIN subroots s ON s.tree = w.home JOIN upper_ r ON r.m = 1
+WHERE w.tree = '#' AND w.m = 1
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -136,10 +262,11 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_exact_top_k": op10_exact_top_k,
+        "op11_token_files": op11_token_files,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL,
-        "op10_exact_top_k": OP10_SQL,
-    }
+    return {"op5_substring_dedup": OP5_SQL, "op10_exact_top_k": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
