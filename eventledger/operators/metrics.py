@@ -23,6 +23,12 @@ def received_of_store(events: DataFrame, quarantine: DataFrame) -> DataFrame:
     return events_received_total(kept.union(quarantine.select("event_type", "source", "error_type")))
 
 
+def received_of_counts(counts: DataFrame) -> DataFrame:
+    """The same from a store's counts, of which each row stands for ``n`` messages."""
+    totals = received(counts).groupBy("event_type", "source").agg(F.sum("n").alias("total"))
+    return totals.where("total > 0")
+
+
 def events_stored_total(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("total"))
 

@@ -291,8 +291,12 @@ def page_info(
     events: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, **wanted: Moment | None
 ) -> DataFrame:
     """``total, limit, offset, has_more`` of the page, as one row."""
+    return info_of_total(total_count(events, **wanted), limit, offset)
+
+
+def info_of_total(total: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     validate_page_args(limit, offset)
-    return total_count(events, **wanted).select(
+    return total.select(
         "total",
         F.lit(limit).cast("bigint").alias("limit"),
         F.lit(offset).cast("bigint").alias("offset"),

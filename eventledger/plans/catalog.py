@@ -115,6 +115,15 @@ def _append_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(paging.event_projection(store.events()))
 
 
+def _events_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a store that was filled in parts and merged since."""
+    store, events = new_store(prepare(spark), "scan"), filled_store(spark, sf_dir).events()
+    for part in range(3):
+        store.append_events(events.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part))
+    store.compact("2024-02-01")
+    return _plain_times(paging.event_projection(store.events()))
+
+
 def _archive_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_store(prepare(spark), "archive")
     store.append_events(filled_store(spark, sf_dir).events())
@@ -195,7 +204,7 @@ def queries() -> dict[str, Query]:
         "raw_message_source": _raw_message_source,
         "init_store": _init_store,
         "append_events": _append_events,
-        "events_scan": _events(lambda events: events),
+        "events_scan": _events_scan,
         "quarantine_sink": _on_store(
             lambda store: store.quarantine().select(
                 "arrival_seq", "routing_key", "event_type", "error_type", "received_at"
@@ -251,7 +260,7 @@ def queries() -> dict[str, Query]:
                 e, event_type=EVENT_TYPE, source=SOURCE, target="", session_id=None, **window
             )
         ),
-        "get_event_by_id": _events(lambda e: filters.get_event_by_id(e, EVENT_ID)),
+        "get_event_by_id": _on_store(lambda store: paging.event_projection(store.get_event(EVENT_ID))),
         "validate_page_args": _on_events(lambda e: paging.query_page(e, limit=1000, offset=0)),
         # order and pages
         "newest_first": _on_events(lambda e: paging.newest_first(paging.event_projection(e))),
@@ -260,14 +269,14 @@ def queries() -> dict[str, Query]:
         "query_page": _on_events(
             lambda e: paging.query_page(e, event_type=EVENT_TYPE, limit=100, offset=20, **window)
         ),
-        "page_info": _on_events(
-            lambda e: paging.page_info(e, event_type=EVENT_TYPE, limit=100, offset=20, **window)
+        "page_info": _on_store(
+            lambda store: store.page_info(event_type=EVENT_TYPE, limit=100, offset=20, **window)
         ),
         # aggregations
-        "total_count": _on_events(lambda e: paging.total_count(e, event_type=EVENT_TYPE, **window)),
-        "events_received_total": _on_normalized(metrics.events_received_total),
-        "events_stored_total": _on_events(metrics.events_stored_total),
-        "events_failed_total": _on_store(lambda store: metrics.events_failed_total(store.quarantine())),
+        "total_count": _on_store(lambda store: store.total_count(event_type=EVENT_TYPE, **window)),
+        "events_received_total": _on_store(EventStore.received_total),
+        "events_stored_total": _on_store(EventStore.stored_total),
+        "events_failed_total": _on_store(EventStore.failed_total),
         "storage_latency_histogram": _on_events(metrics.storage_latency_histogram),
         "latest_storage_latency": _on_events(metrics.latest_storage_latency),
         # streams and state

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from eventledger.functions.fields import default_routing_key, storage_latency
 from eventledger.operators.envelopes import normalize_envelope
 from eventledger.operators.uniqueness import first_writes
+from eventledger.plans.commits import APPEND, Change
 from eventledger.plans.store import EventStore
 from eventledger.schema import FEED_ROUTING_KEY, INTEGRITY_ERROR
 
@@ -44,16 +45,17 @@ def without_feed(raw: DataFrame, routing_keys: Sequence[str] = (FEED_ROUTING_KEY
 
 
 def _held_ids(store: EventStore, firsts: DataFrame) -> DataFrame:
-    """``id, writer, batch_id`` of those first writes whose id is stored already.
+    """``id, bucket, event_date, file, writer, batch_id`` of those first writes that the key holds.
 
-    Reads three narrow columns of the store. The batch is the build side as long as it
-    is small, so the store is scanned but not shuffled.
+    Opens the key's buckets that these ids lie in. The batch is the build side as long as
+    it is small, so the key is read but not shuffled.
     """
-    batch_ids = firsts.select("id")
-    size = firsts.selectExpr(f"sum(octet_length(id) + {_ROW_OVERHEAD})").first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        batch_ids = F.broadcast(batch_ids)
-    return store.events().select("id", "writer", "batch_id").join(batch_ids, "id", "left_semi")
+    buckets = store.keys.buckets
+    ids = firsts.selectExpr("id", f"{store.keys.bucket_of(buckets)} AS bucket")
+    size, wanted = ids.selectExpr(f"sum(octet_length(id) + {_ROW_OVERHEAD})", "collect_set(bucket)").first()
+    if (size or 0) <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
+    return store.keys.held(ids, sorted(wanted), buckets)
 
 
 def ingest_batch(
@@ -72,8 +74,10 @@ def ingest_batch(
     batch has stored are left alone, not taken for duplicates, and rejects that are
     written stay. A name that comes back with other messages is an error.
 
-    One ingest at a time may run on a store: the key check sees what has been appended, and
-    two that check side by side could both append an id.
+    One ingest at a time runs on a store: from the key check to the append a batch holds the
+    store's next change, and another one waits, or gives up (see ``commits``).
+
+    The key check opens the key's buckets of the batch's ids; the events are not read.
 
     First write wins per id, by ``arrival_seq`` within the batch and by batch otherwise.
     Joins run on the row number or on ids that are unique by then, never on the raw ids,
@@ -94,37 +98,52 @@ def ingest_batch(
     writer = writer or f"batch-{uuid.uuid4().hex}"
     stage = hashlib.md5(f"{writer}/{batch_id}/{uuid.uuid4().hex}".encode()).hexdigest()
     rows = store.refresh().stage(numbered, stage)
-    count, code = rows.selectExpr("count(*)", "sum(CAST(_code AS DECIMAL(20, 0)))").first()
-    digest, known = f"{count}_{code or 0}", store.batch_state(writer, batch_id)
-    if known.get("digest", digest) != digest:
+    try:
+        count, code = rows.selectExpr("count(*)", "sum(CAST(_code AS DECIMAL(20, 0)))").first()
+        change = store.begin(APPEND, writer, batch_id)
+        change.named = True
+        try:
+            _ingest_staged(rows, store, change, f"{count}_{code or 0}", stored_at)
+        finally:
+            store.commits.cancel(change)  # nothing, once it is ready
+    finally:
         store.drop_stage(stage)
+
+
+def _ingest_staged(rows: DataFrame, store: EventStore, change: Change, digest: str, stored_at: str | None) -> None:
+    writer, batch_id = change.writer, change.batch_id
+    known = store.batch_state(writer, batch_id)
+    if known.get("digest", digest) != digest:
         raise ValueError(f"batch {batch_id} of {writer} came with other messages before")
+    if "events" in known:
+        return
     store.record_batch(writer, batch_id, digest=digest)
     # Records of several partitions of a topic are ordered by time, not by offset alone.
     position = [n for n in ("received_at", "topic", "partition") if "partition" in rows.columns and n in rows.columns]
     order = (*position, "arrival_seq", "_row")
     good = rows.where("error_type IS NULL").select("id", *order)
     firsts = first_writes(good, order=order).select("id", "_row")
-    firsts.persist(StorageLevel.MEMORY_AND_DISK)
-    held = _held_ids(store, firsts).select(
-        "id", ((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).alias("_by_us")
-    )
-    flags = firsts.join(held, "id", "left").select("_row", "_by_us")
-    flags.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [firsts.persist(StorageLevel.MEMORY_AND_DISK)]
     try:
-        # The append comes last: writing to the events path drops cached results that
-        # were read from it, and `flags` is one.
+        held = _held_ids(store, firsts).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(held)
+        by_us = ((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).alias("_by_us")
+        # The key may hold a row twice; hits are few.
+        found = store.keys.live(held).select("id", by_us).distinct()
+        flags = firsts.join(found, "id", "left").select("_row", "_by_us").persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(flags)
+        rejects = _rejects(rows, flags)
         if "rejects" not in known:
-            store.write_quarantine(_rejects(rows, flags), writer, batch_id)
+            store.write_quarantine(rejects, writer, batch_id)
             store.record_batch(writer, batch_id, rejects="written")
         fresh = flags.where("_by_us IS NULL").select("_row")
         accepted = rows.join(fresh, "_row", "left_semi")
         # The stamp comes last, so that the latency covers the work up to the append.
-        store.append_events(stamp(accepted, "_stored_at" if stored_at else None), writer, batch_id)
+        stamped = stamp(accepted, "_stored_at" if stored_at else None)
+        store.append_events(stamped, writer, batch_id, change, rejects)
     finally:
-        flags.unpersist()
-        firsts.unpersist()
-        store.drop_stage(stage)
+        for table in kept:
+            table.unpersist()
 
 
 def _rejects(rows: DataFrame, flags: DataFrame) -> DataFrame:

@@ -4,26 +4,35 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from concurrent.futures import ThreadPoolExecutor
-from datetime import date
+from datetime import date, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventledger.functions.fields import event_day
-from eventledger.operators.filters import Moment, as_utc, filter_events
+from eventledger.operators import metrics, paging
+from eventledger.operators.filters import Moment, as_utc, filter_events, get_event_by_id
+from eventledger.plans.commits import APPEND, ARCHIVE, MERGE, Change, CommitLog
+from eventledger.plans.files import Files
+from eventledger.plans.keys import KeyTable
 from eventledger.schema import (
+    COUNT_SCHEMA,
+    DEFAULT_LIMIT,
     EVENT_COLUMNS,
     QUARANTINE_COLUMNS,
     QUARANTINE_SCHEMA,
     STORED_SCHEMA,
 )
 from eventledger.session import prepare
+from eventledger.streaming.source import CommitSource
 
 COMPACT_BYTES = 128 << 20  # size that a merged file should have
+FOLD_COUNTS = 64  # batches whose counts may lie beside the folded ones
 # Columns looked up by exact value. Bloom filters let a scan skip the row groups that
 # cannot hold the value, which is what an index did for a row store.
 _LOOKUP_COLUMNS = ("id", "session_id", "correlation_id")
+# Filters that the counts can answer.
+_COUNTED = ("event_type", "source", "start_time", "end_time")
 
 
 def _bloom_options() -> dict[str, str]:
@@ -34,15 +43,19 @@ def _bloom_options() -> dict[str, str]:
 
 
 def _files_of(rows: DataFrame) -> list[str]:
-    """The files that hold ``rows``, a selection by partition. (``inputFiles`` would name
-    every file of the table.) Names only, of which the driver's listing has them all."""
-    names = rows.select(F.col("_metadata.file_path").alias("name")).distinct()
-    return [row["name"] for row in names.collect()]
+    """Names of the files that hold ``rows``, a selection by partition. (``inputFiles`` would
+    name every file of the table.) Names only, of which the driver's listing has them all."""
+    names = rows.select(F.col("_metadata.file_name").alias("name")).distinct()
+    return sorted(row["name"] for row in names.collect())
 
 
 class EventStore:
     """Events partitioned by UTC day under ``<root>/events``, rejects under
-    ``<root>/quarantine``.
+    ``<root>/quarantine``; beside them the key (``keys``), the counts by day and label
+    (``counts``) and the records of changes (``commits``, ``pending``).
+
+    Changes are done one at a time and whole, see ``commits``: a second one waits for the
+    first and gives up when that stays open.
 
     Reads go through a snapshot of the file listing that ``refresh`` renews; appends
     through this object renew it by themselves.
@@ -55,8 +68,10 @@ class EventStore:
         self.quarantine_path = f"{self.root}/quarantine"
         self.archive_path = f"{self.root}/archive"
         self.staging_path = f"{self.root}/staging"
-        self.batches_path = f"{self.root}/batches"
         self._snapshot: DataFrame | None = None
+        self.files = Files(spark, self.root)
+        self.commits = CommitLog(self.files)
+        self.keys = KeyTable(spark, self.files)
 
     def init(self, table: str | None = None) -> EventStore:
         """Create the tables where they are absent; existing data stays as it is.
@@ -70,6 +85,14 @@ class EventStore:
         ):
             empty = self.spark.createDataFrame([], schema)
             empty.write.mode("ignore").partitionBy(*partitions).parquet(path)
+        for folder in ("pending", "commits", "counts"):
+            self.files.make_folder(folder)
+        if not self.files.names("keys"):
+            self.keys.init()
+            if self.files.names("events"):  # a store from before there was a key
+                rows = self.events().withColumn("file", F.col("_metadata.file_name"))
+                self.keys.add(rows)
+                self._count(Change(0, APPEND), rows, self.quarantine())
         if table:
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STORED_SCHEMA)
             self.spark.sql(
@@ -86,30 +109,160 @@ class EventStore:
     def events(self) -> DataFrame:
         """All stored events, unfiltered."""
         if self._snapshot is None:
-            self._snapshot = self.spark.read.schema(STORED_SCHEMA).parquet(self.events_path)
+            found = self.spark.read.schema(STORED_SCHEMA).parquet(self.events_path)
+            for day, names in self.commits.not_counting().items():  # mostly none
+                other_day = F.col("event_date") != F.lit(day.removeprefix("event_date=")).cast("date")
+                found = found.where(other_day | ~F.col("_metadata.file_name").isin(names))
+            self._snapshot = found
         return self._snapshot
 
+    def get_event(self, event_id: str) -> DataFrame:
+        """The event with this id, or no row. The key names its file: one bucket of the key
+        and that file are opened, whatever the store holds."""
+        paths = [f"{self.events_path}/event_date={day}/{file}" for day, file in self.keys.find(event_id)]
+        if not paths:
+            return self.spark.createDataFrame([], STORED_SCHEMA)
+        reader = self.spark.read.schema(STORED_SCHEMA).option("basePath", self.events_path)
+        return get_event_by_id(reader.parquet(*paths), event_id)
+
+    def counts(self) -> DataFrame:
+        """Counts by day and label that all recorded changes add up to: (event_date,
+        event_type, source, error_type, n). Stored events have no ``error_type``, rejects no
+        day; archived events have been taken off."""
+        upto, columns = self._folded(), COUNT_SCHEMA.fieldNames()[:-1]
+        later = self.spark.read.schema(COUNT_SCHEMA).parquet(f"{self.root}/counts")
+        found = later.where((F.col("seq") > upto) & (F.col("seq") <= self.commits.last())).select(columns)
+        if upto >= 0:
+            found = found.union(self.spark.read.schema(COUNT_SCHEMA).parquet(f"{self.root}/folded/upto={upto}").select(columns))
+        return found
+
+    def _folded(self) -> int:
+        """The change up to which counts are folded, -1 for none."""
+        return max((int(n.removeprefix("ready-")) for n in self.files.names("folded") if n.startswith("ready-")), default=-1)
+
+    def total_count(self, **wanted: Moment | None) -> DataFrame:
+        """The number of events that match, as one row.
+
+        Types, sources and whole days come from the counts; only the days that a time bound
+        cuts are scanned. Any other filter needs a scan.
+        """
+        if any(value for name, value in wanted.items() if name not in _COUNTED):
+            return paging.total_count(self.events(), **wanted)
+        counted = self.counts().where("error_type IS NULL")
+        for name in ("event_type", "source"):
+            if wanted.get(name):
+                counted = counted.where(F.col(name) == wanted[name])
+        cut = []
+        for name, whole in (("start_time", time.min), ("end_time", time.max)):
+            bound = as_utc(wanted[name]) if wanted.get(name) else None
+            if bound:
+                day = bound.date()
+                if bound.time() != whole:
+                    cut.append(day)
+                    day += timedelta(days=1 if name == "start_time" else -1)
+                counted = counted.where(F.col("event_date") >= F.lit(day) if name == "start_time" else F.col("event_date") <= F.lit(day))
+        total = counted.select("n")
+        if cut:
+            edges = filter_events(self.events().where(F.col("event_date").isin(cut)), **wanted)
+            total = total.union(edges.agg(F.count("*").alias("n")))
+        return total.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"))
+
+    def page_info(self, limit: int = DEFAULT_LIMIT, offset: int = 0, **wanted: Moment | None) -> DataFrame:
+        """``total, limit, offset, has_more`` of a page, as one row, from the counts where they say it."""
+        return paging.info_of_total(self.total_count(**wanted), limit, offset)
+
+    def received_total(self) -> DataFrame:
+        """Messages that passed validation, by type and source; archived events are taken off."""
+        return metrics.received_of_counts(self.counts())
+
+    def stored_total(self) -> DataFrame:
+        totals = self.counts().where("error_type IS NULL").groupBy("event_type").agg(F.sum("n").alias("total"))
+        return totals.where("total > 0")
+
+    def failed_total(self) -> DataFrame:
+        failed = self.counts().where("error_type IS NOT NULL")
+        return failed.groupBy("event_type", "error_type").agg(F.sum("n").alias("total"))
+
     def quarantine(self) -> DataFrame:
         return self.spark.read.schema(QUARANTINE_SCHEMA).parquet(self.quarantine_path)
 
     def archive(self) -> DataFrame:
         return self.spark.read.schema(STORED_SCHEMA).parquet(self.archive_path)
 
-    def append_events(self, events: DataFrame, writer: str = "batch", batch_id: int = 0) -> None:
-        """Add rows that have the event columns.
+    def append_events(
+        self,
+        events: DataFrame,
+        writer: str | None = None,
+        batch_id: int = 0,
+        change: Change | None = None,
+        rejects: DataFrame | None = None,
+    ) -> None:
+        """Add rows that have the event columns, all of them or none.
+
+        The rows are staged in files of their own, entered in the key and counted; then the
+        files are moved in and the change is recorded. ``change`` is one that ``begin`` has
+        reserved; without it the call reserves its own. ``rejects`` are counted with it.
 
         The rebalance gives every day its own files of the advisory size: large days are
         split, small ones share a task. Rows are sorted within files so that row-group
         statistics narrow session and time filters.
         """
-        stamped = (
-            events.selectExpr(*EVENT_COLUMNS, f"{event_day()} AS event_date")
-            .withColumn("writer", F.lit(writer))
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        )
-        self._write_by_day(stamped, self.events_path)
+        writer = writer or f"append-{uuid.uuid4().hex}"
+        change = change or self.commits.begin(APPEND, writer, batch_id)
+        try:
+            stamped = events.selectExpr(*EVENT_COLUMNS, f"{event_day()} AS event_date").withColumns(
+                {
+                    "writer": F.lit(writer),
+                    "batch_id": F.lit(batch_id).cast("bigint"),
+                    "commit_seq": F.lit(change.seq).cast("bigint"),
+                }
+            )
+            self._write_by_day(stamped, f"{self.root}/{change.stage}")
+            rows = self._staged(change)
+            change.rows = self._count(change, rows, rejects)
+            self.keys.add(rows)
+            self.commits.ready(change)
+        except BaseException:
+            self.commits.cancel(change)
+            raise
+        self._finish(change)
+
+    def _staged(self, change: Change) -> DataFrame:
+        """The rows of a change's new files, each with the file's name; notes the names in ``change``."""
+        days = [n for n in self.files.names(change.stage) if n.startswith("event_date=")]
+        names = self.files.many(lambda day: self.files.names(f"{change.stage}/{day}"), days)
+        change.add = {day: found for day, found in zip(days, names) if found}
+        paths = [f"{self.root}/{change.stage}/{day}" for day in change.add]
+        base = f"{self.root}/{change.stage}"
+        reader = self.spark.read.schema(STORED_SCHEMA).option("basePath", base)
+        rows = reader.parquet(*paths) if paths else self.spark.createDataFrame([], STORED_SCHEMA)
+        return rows.withColumn("file", F.col("_metadata.file_name") if paths else F.lit(""))
+
+    def _count(self, change: Change, rows: DataFrame, rejects: DataFrame | None = None, sign: int = 1) -> int:
+        """Write the counts of a change by day and label; returns its number of events."""
+        stored = rows.groupBy("event_date", "event_type", "source").agg(F.count("*").alias("n"))
+        counts = stored.selectExpr("event_date", "event_type", "source", "CAST(NULL AS STRING) AS error_type", f"n * {sign} AS n")
+        if rejects is not None:
+            failed = rejects.groupBy("event_type", "source", "error_type").agg(F.count("*").alias("n"))
+            counts = counts.unionByName(failed.withColumn("event_date", F.lit(None).cast("date")))
+        path = f"{self.root}/counts/seq={change.seq}"
+        counts.select(COUNT_SCHEMA.fieldNames()[:-1]).coalesce(1).write.mode("overwrite").parquet(path)
+        written = self.spark.read.schema(COUNT_SCHEMA).parquet(path).where("error_type IS NULL").agg(F.sum("n")).first()[0]
+        return abs(written or 0)
+
+    def _finish(self, change: Change) -> None:
+        self.commits.finish(change)
+        if change.named:
+            self.record_batch(change.writer, change.batch_id, events="stored")
         self.refresh()
 
+    def begin(self, kind: str, writer: str = "", batch_id: int = 0) -> Change:
+        """Reserve the next change, after what a lost driver has made ready is finished."""
+        for done in self.commits.roll_forward():
+            if done.named:
+                self.record_batch(done.writer, done.batch_id, events="stored")
+        return self.commits.begin(kind, writer, batch_id)
+
     def write_quarantine(self, rejects: DataFrame, writer: str, batch_id: int) -> None:
         """Store a batch's rejects; writing the same batch again replaces them."""
         (
@@ -129,8 +282,7 @@ class EventStore:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def drop_stage(self, name: str) -> None:
-        path = self._path(f"{self.staging_path}/{name}")
-        self._file_system().delete(path, True)
+        self.files.delete(f"staging/{name}")
 
     def archive_before(self, cutoff: Moment) -> int:
         """Move events of days before ``cutoff`` to the archive, day by day; returns how many moved.
@@ -149,7 +301,7 @@ class EventStore:
         return moved
 
     def _archive_day(self, live: DataFrame, day: date) -> int:
-        """Copy what the archive lacks of a day, compare, delete the day's files."""
+        """Copy what the archive lacks of a day, compare, and let the day's files go."""
 
         def lacking() -> DataFrame:
             # Whole rows are compared: an id may have come back with another payload.
@@ -160,60 +312,95 @@ class EventStore:
                 same &= F.col(f"live.{name}").eqNullSafe(F.col(f"done.{name}"))
             return live.alias("live").join(done, same, "left_anti")
 
-        self._write_by_day(lacking(), self.archive_path)
-        missing = lacking().count()
-        if missing:
-            raise RuntimeError(f"{missing} events did not reach the archive; live rows kept")
-        moved = live.count()
-        self._delete(_files_of(live))
-        return moved
+        change = self.begin(ARCHIVE)
+        try:
+            self._write_by_day(lacking(), self.archive_path)
+            missing = lacking().count()
+            if missing:
+                raise RuntimeError(f"{missing} events did not reach the archive; live rows kept")
+            change.remove = {f"event_date={day}": _files_of(live)}
+            change.rows = self._count(change, live, sign=-1)
+            self.commits.ready(change)
+        except BaseException:
+            self.commits.cancel(change)
+            raise
+        self._finish(change)
+        return change.rows
 
     def compact(self, before: Moment) -> int:
         """Merge the many small files of days before ``before``; returns how many went.
 
-        The merged files are written first and take the place of the old ones by name:
-        a row is in both for the moment between, so run it while no reader counts.
+        The merged files of a day are staged and entered in the key, then they take the place
+        of the old ones in one change: at no time does a reader that asks ``events`` see a
+        row twice or not at all, wherever a run is cut short. ``tail`` goes by the record of
+        each append, so it delivers nothing again. The key and the counts are tidied as well.
         """
         old = self.refresh().events().where(F.col("event_date") < F.lit(as_utc(before).date()))
         gone = 0
         for day in sorted(row["event_date"] for row in old.select("event_date").distinct().collect()):
-            live = old.where(F.col("event_date") == F.lit(day))
-            files = _files_of(live)
-            size = sum(self._file_system().getFileStatus(self._path(self.spark._jvm.java.net.URI(f))).getLen() for f in files)
-            if len(files) <= 1 + size // COMPACT_BYTES:
-                continue
-            stage = f"compact-{uuid.uuid4().hex}"
-            merged = self.stage(live, stage)
-            if merged.count() != live.count():
-                raise RuntimeError("rows changed while a day was merged")
-            self._write_by_day(merged, self.events_path)
-            self._delete(files)
-            self.drop_stage(stage)
-            gone += len(files)
+            sizes = self.files.sizes(f"events/event_date={day}")
+            if len(sizes) > 1 + sum(sizes.values()) // COMPACT_BYTES:
+                gone += self._merge_day(day)
+        self.keys.tidy()
+        self._fold_counts()
         self.refresh()
         return gone
 
+    def _merge_day(self, day: date) -> int:
+        change = self.begin(MERGE)
+        try:
+            live = self.refresh().events().where(F.col("event_date") == F.lit(day))
+            files = _files_of(live)
+            self._write_by_day(live, f"{self.root}/{change.stage}")
+            rows = self._staged(change)
+            change.rows = rows.count()
+            if change.rows != live.count():
+                raise RuntimeError("rows changed while a day was merged")
+            self.keys.add(rows)
+            change.remove = {f"event_date={day}": files}
+            self.commits.ready(change)
+        except BaseException:
+            self.commits.cancel(change)
+            raise
+        self._finish(change)
+        return len(files)
+
+    def _fold_counts(self) -> None:
+        """Join the counts of recorded changes, of which each batch adds a small file.
+
+        The folded counts hold once they are marked; files that they stand for go after that.
+        """
+        last, before = self.commits.last(), self._folded()
+        folders = {int(n.removeprefix("seq=")): n for n in self.files.names("counts")}
+        if sum(before < seq <= last for seq in folders) > FOLD_COUNTS:
+            labels = ["event_date", "event_type", "source", "error_type"]
+            total = self.counts().groupBy(*labels).agg(F.sum("n").alias("n")).where("n <> 0")
+            total.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/folded/upto={last}")
+            self.files.create(f"folded/ready-{last}", "")
+            before = last
+        self.files.many(self.files.delete, [f"counts/{n}" for seq, n in folders.items() if seq <= before])
+
     def batch_state(self, writer: str, batch_id: int) -> dict[str, str]:
-        """What is recorded of a batch: ``digest`` of its input, ``rejects`` once written."""
-        folder = self._path(self._batch_path(writer, batch_id))
-        if not self._file_system().exists(folder):
-            return {}
-        names = [str(f.getPath().getName()) for f in self._file_system().listStatus(folder)]
+        """What is recorded of a batch: ``digest`` of its input, ``rejects`` and ``events`` once written."""
+        names = self.files.names(self._batch_path(writer, batch_id))
         return dict(name.split("=", 1) for name in names if "=" in name)
 
     def record_batch(self, writer: str, batch_id: int, **state: str) -> None:
         for name, value in state.items():
-            self._file_system().mkdirs(self._path(f"{self._batch_path(writer, batch_id)}/{name}={value}"))
+            self.files.make_folder(f"{self._batch_path(writer, batch_id)}/{name}={value}")
 
     def _batch_path(self, writer: str, batch_id: int) -> str:
-        return f"{self.batches_path}/{hashlib.md5(writer.encode()).hexdigest()}/{batch_id}"
+        return f"batches/{hashlib.md5(writer.encode()).hexdigest()}/{batch_id}"
 
-    def tail(self, max_files_per_trigger: int | None = None, **wanted: Moment | None) -> DataFrame:
-        """A stream of the stored events: what is there first, then what arrives."""
-        reader = self.spark.readStream.schema(STORED_SCHEMA)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        return filter_events(reader.parquet(self.events_path), **wanted)
+    def tail(self, **wanted: Moment | None) -> DataFrame:
+        """A stream of the stored events: what is there first, then what arrives.
+
+        It goes by the records of appends, not by files, so each event comes once, whether its
+        file has been merged since or its batch was run again.
+        """
+        self.spark.dataSource.register(CommitSource)
+        reader = self.spark.readStream.format(CommitSource.name()).option("path", self.root)
+        return filter_events(reader.load(), **wanted)
 
     def quarantine_tail(self) -> DataFrame:
         return self.spark.readStream.schema(QUARANTINE_SCHEMA).parquet(self.quarantine_path)
@@ -227,15 +414,3 @@ class EventStore:
             .partitionBy("event_date")
             .parquet(path)
         )
-
-    def _path(self, name):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
-
-    def _file_system(self):
-        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _delete(self, files: list[str]) -> None:
-        file_system = self._file_system()
-        delete = lambda name: file_system.delete(self._path(self.spark._jvm.java.net.URI(name)), False)
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(delete, files))

@@ -72,10 +72,23 @@ STORED_SCHEMA = T.StructType(
     + [
         T.StructField("writer", T.StringType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("commit_seq", T.LongType()),
         T.StructField("event_date", T.DateType()),
     ]
 )
 
+# Counts that each change adds, by day and label.
+COUNT_SCHEMA = T.StructType(
+    [
+        T.StructField("event_date", T.DateType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("error_type", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("seq", T.LongType()),
+    ]
+)
+
 QUARANTINE_SCHEMA = T.StructType(
     [
         T.StructField("body", T.StringType()),
