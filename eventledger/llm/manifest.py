@@ -12,8 +12,8 @@ subroots in the order of their groups (null first, then by bytes) give the root
 * **Ids that occur more than once** set one bit. Where a container holds more rows than
   bits, its repeated ids are counted apart and added to the ranks above them; their own
   rows stand in the order of leaf digest (equal rows: any order, they are the same).
-* **Levels.** Leaves are collected by (group, place / ``FAN``) into arrays of ``FAN`` slots
-  keyed by place; one such array reduces ten levels at once, and its roots are the next
+* **Levels.** Leaves are collected by (group, place / 1024) into arrays of 1024 slots
+  (``1 << FAN_BITS``) keyed by place; one such array reduces ten levels at once, and its roots are the next
   nodes. Paths come back down the same arrays, so what moves is a digest a leaf.
 
 A null id sorts behind all others. An empty table gives no rows. No task holds more than
@@ -34,7 +34,6 @@ from eventledger.operators.numbering import number_rows, totals_before
 SPAN_BITS = 9
 WORDS = (1 << SPAN_BITS) // 64
 FAN_BITS = 10
-FAN = 1 << FAN_BITS
 
 
 def field(column: Column) -> Column:
@@ -114,31 +113,31 @@ def _reduced(nodes: list[str], levels: int) -> list[list[str]]:
     return out
 
 
-def _slot_rows(batches):
+def _slot_rows(batches, fan_bits: int):
     """Slot arrays one by one: (row of the batch, its index, arrays of the slots, nodes by level)."""
     for batch in batches:
         slots, counts = batch.column("slots"), batch.column("n")
         for i in range(batch.num_rows):
             cells = slots.slice(i, 1).flatten()
             nodes = cells.field("node").to_pylist()
-            yield batch, i, cells, _reduced(nodes, min(FAN_BITS, _levels_of(counts[i].as_py())))
+            yield batch, i, cells, _reduced(nodes, min(fan_bits, _levels_of(counts[i].as_py())))
 
 
-def _roots(batches):
+def _roots(batches, fan_bits: int):
     import pyarrow as pa
 
-    for batch, i, _, levels in _slot_rows(batches):
+    for batch, i, _, levels in _slot_rows(batches, fan_bits):
         yield pa.RecordBatch.from_arrays(
             [batch.column("_g").slice(i, 1), batch.column("chunk").slice(i, 1), pa.array(levels[-1])], ["_g", "pos", "node"]
         )
 
 
-def _paths(batches, carried: Sequence[str], above: Sequence[str]):
+def _paths(batches, carried: Sequence[str], above: Sequence[str], fan_bits: int):
     """Slot arrays with the path above each to one row a slot, with its whole path."""
     import numpy as np
     import pyarrow as pa
 
-    for batch, i, cells, levels in _slot_rows(batches):
+    for batch, i, cells, levels in _slot_rows(batches, fan_bits):
         upper = batch.column("upper")[i].as_py()
         paths = []
         for s in range(len(cells)):
@@ -148,32 +147,32 @@ def _paths(batches, carried: Sequence[str], above: Sequence[str]):
         same = pa.array(np.full(len(cells), i))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("_g").take(same), pa.array(slot + (batch.column("chunk")[i].as_py() << FAN_BITS)),
+                batch.column("_g").take(same), pa.array(slot + (batch.column("chunk")[i].as_py() << fan_bits)),
                 cells.field("node"), pa.array(paths, pa.string()), *(cells.field(c) for c in carried), *(batch.column(c).take(same) for c in above),
             ],
             ["_g", "pos", "node", "path", *carried, *above],
         )
 
 
-def _climb(nodes: DataFrame, sizes: DataFrame, most: int, label: str) -> tuple[list[DataFrame], DataFrame]:
+def _climb(nodes: DataFrame, sizes: DataFrame, most: int, fan_bits: int, label: str) -> tuple[list[DataFrame], DataFrame]:
     """Slot arrays of all levels, and the last node of each group.
 
     ``nodes``: (_g, pos, node, …), ``sizes``: (_g, n) with the number of nodes, ``most`` the largest.
     """
-    levels = []
+    levels, fan = [], 1 << fan_bits
     while True:
         rest = [c for c in nodes.columns if c not in ("_g", "pos", "node")]
-        slot = F.struct(F.expr(f"CAST(pos & {FAN - 1} AS INT)").alias("slot"), "node", *rest)
-        arrays = nodes.groupBy("_g", F.shiftright("pos", FAN_BITS).alias("chunk")).agg(F.sort_array(F.collect_list(slot)).alias("slots"))
+        slot = F.struct(F.expr(f"CAST(pos & {fan - 1} AS INT)").alias("slot"), "node", *rest)
+        arrays = nodes.groupBy("_g", F.shiftright("pos", fan_bits).alias("chunk")).agg(F.sort_array(F.collect_list(slot)).alias("slots"))
         levels.append(written(arrays.join(sizes, "_g"), label))
-        nodes = levels[-1].mapInArrow(_roots, "_g string, pos long, node string")
-        if most <= FAN:
+        nodes = levels[-1].mapInArrow(lambda batches: _roots(batches, fan_bits), "_g string, pos long, node string")
+        if most <= fan:
             return levels, nodes
-        sizes = sizes.withColumn("n", F.shiftright(F.col("n") + (FAN - 1), FAN_BITS))
-        most = -(-most // FAN)
+        sizes = sizes.withColumn("n", F.shiftright(F.col("n") + (fan - 1), fan_bits))
+        most = -(-most // fan)
 
 
-def _descend(levels: list[DataFrame], above: DataFrame, label: str) -> DataFrame:
+def _descend(levels: list[DataFrame], above: DataFrame, fan_bits: int, label: str) -> DataFrame:
     """Paths of all nodes of the lowest level; ``above``: (_g, pos, path, …), what lies over the last node."""
     for level, arrays in reversed(list(enumerate(levels))):
         extra = [c for c in above.columns if c not in ("_g", "pos", "path")]
@@ -183,13 +182,18 @@ def _descend(levels: list[DataFrame], above: DataFrame, label: str) -> DataFrame
         carried = [f.name for f in cell if f.name not in ("slot", "node")]
         kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in [*(cell[c] for c in carried), *(above.schema[c] for c in extra)]]
         schema = ", ".join(["_g string, pos long, node string, path string", *kinds])
-        rows = joined.mapInArrow(lambda batches, c=carried, e=extra: _paths(batches, c, e), schema)
+        rows = joined.mapInArrow(lambda batches, c=carried, e=extra: _paths(batches, c, e, fan_bits), schema)
         above = written(rows.select("_g", "pos", "path", *extra), label) if level else rows
     return above
 
 
 def build(
-    documents: DataFrame, fields: Sequence[str], id_col: str = "doc_id", group_col: str = "lang", keep: dict[str, Column] | None = None
+    documents: DataFrame,
+    fields: Sequence[str],
+    id_col: str = "doc_id",
+    group_col: str = "lang",
+    keep: dict[str, Column] | None = None,
+    fan_bits: int = FAN_BITS,
 ) -> DataFrame:
     """The manifest: one row a document with its ``leaf`` over ``fields``, its ``subroot``, the
     ``root``, and ``proof``: the hex digests of all siblings up to the root, one after the
@@ -210,7 +214,7 @@ def build(
     most, n_groups = groups.agg(F.max("n"), F.count("*")).first()
 
     placed = _coordinates(rows, index).drop("_row")
-    levels, tops = _climb(placed, groups.select("_g", "n"), most or 0, "slots")
+    levels, tops = _climb(placed, groups.select("_g", "n"), most or 0, fan_bits, "slots")
     subroots = written(tops.join(groups, "_g").select("_g", "group_pos", "n", F.col("node").alias("subroot")), "subroots")
 
     # The subroots are the leaves of one more tree, whose only group is the dataset.
@@ -218,14 +222,14 @@ def build(
         F.lit("").alias("_g"), F.col("group_pos").alias("pos"), F.col("subroot").alias("node"), F.col("_g").alias("group"), "n"
     )
     size = rows.sparkSession.range(1).select(F.lit("").alias("_g"), F.lit(n_groups).cast("long").alias("n"))
-    top_levels, top = _climb(over, size, n_groups, "top-slots")
+    top_levels, top = _climb(over, size, n_groups, fan_bits, "top-slots")
     summit = top.select("_g", "pos", F.lit("").alias("path"), F.col("node").alias("root"))
-    group_paths = _descend(top_levels, summit, "top-paths")
+    group_paths = _descend(top_levels, summit, fan_bits, "top-paths")
     above = group_paths.select(
         F.col("group").alias("_g"), F.lit(0).cast("long").alias("pos"), "path", F.col("node").alias("subroot"), "root",
         F.col("n").alias("n_leaves"), F.col("pos").alias("group_pos"), F.lit(n_groups).cast("long").alias("n_groups"),
     )
-    paths = _descend(levels, written(above, "group-paths"), "paths")
+    paths = _descend(levels, written(above, "group-paths"), fan_bits, "paths")
     return paths.select(
         F.when(F.col("_key") != NO_ID, F.col("_key")).alias(id_col), F.col("node").alias("leaf"), "subroot", "root",
         F.col("path").alias("proof"), "pos", "n_leaves", "group_pos", "n_groups", *keep,
