@@ -3,7 +3,12 @@
 Every container element of a page gets a hash of its whole subtree. Spark counts, for each
 host, on how many different pages a subtree occurs; those on many pages of the host are its
 template and go. What is left of the page's article loses the parts that its own markup
-names as something else: menus, forms, adverts, comments and the like.
+names as something else: menus, forms, adverts, comments and the like. A name counts when all
+its parts are such words (``cookie-notice``, ``siteHeader``, not ``share-price``), and not
+on an element that holds most of the text, links aside, of a page without article or main.
+
+A ``<`` that begins no whole tag is text. A page that ends inside a tag, or inside a script
+or another element whose content is no markup, ends there.
 """
 
 from __future__ import annotations
@@ -18,17 +23,18 @@ from pyspark.sql import functions as F
 from eventledger.llm.common import long_id, text_tag, written
 
 MIN_PAGES = 5  # a template is on this many different pages of a host
-MIN_SHARE = 0.05  # and on this share of them
+MIN_SHARE = 0.05  # and on this share of them,
+MANY_PAGES = 200  # or on so many, however large the host
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)(?:>|\Z)",
     re.S,
 )
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HOST = re.compile(r"^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 RAW = frozenset({"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +50,17 @@ DROPPED = frozenset(
     "head nav header footer aside form menu search dialog noscript template svg math canvas audio video object "
     "button select datalist fieldset map".split()
 )
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big blink cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp "
+    "slot small span strike strong sub sup time tt u var".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that, beside a mark, name no content of their own.
+FURNITURE = frozenset(
+    "area bar block bottom box button buttons container content feed float footer global group holder icon icons inner item "
+    "items js left link links list main message module outer page panel posts primary region right row section secondary site "
+    "slot small sticky stories text thread tools top unit wrap wrapper".split()
+)
 #: Words in class, id or role that mark something other than the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs combobox comment commentlist "
@@ -52,6 +69,7 @@ MARKS = frozenset(
     "popup promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget widgets".split()
 )
+_NEAR = 16  # open elements among which an inline element of the same kind is looked for
 _SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -69,11 +87,36 @@ class Element:
     main: bool  # its role or item property says that it is
     parent: int
     first: int  # chunks [first, last) lie in it
+    link: bool = False
     last: int = -1
     code: int = 0
     digest: object = field(default=None, repr=False)
 
 
+def _is_mark(token: str) -> bool:
+    """Whether a name says that its element is not the article."""
+    parts = [p.lower() for p in _PARTS.findall(token)]
+    return not MARKS.isdisjoint(parts) and all(p in MARKS or p in FURNITURE for p in parts)
+
+
+def _names(attributes: str) -> tuple[bool, bool]:
+    """(marked, main) of an element by its attributes."""
+    marked = main = False
+    for found in _ATTRIBUTE.finditer(attributes):
+        key, value = found[1].lower(), (found[2] or "").strip("\"'")
+        if key == "hidden":
+            marked = True
+        elif key == "itemprop":
+            main |= value.lower() == "articlebody"
+        elif key == "role" and value.lower() in ("main", "article"):
+            main = True
+        elif key in ("class", "id", "role"):
+            marked |= any(map(_is_mark, value.split()))
+        elif key == "aria-label":
+            marked |= _is_mark(value)
+    return marked, main
+
+
 def parse(page: str):
     """(chunks, elements): a chunk is text or None for a break between blocks."""
     import xxhash
@@ -121,7 +164,10 @@ def parse(page: str):
             continue
         closing, tag, attributes = token[1] or token[4], name.lower(), token[3] or token[6] or ""
         if not raw.endswith(">"):
-            break  # the page ends inside a tag
+            if tag in BLOCK or tag in DROPPED or tag in VOID or tag in RAW or tag in INLINE:
+                break  # the page ends inside a tag
+            text(raw)
+            continue
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if elements[stack[depth]].tag == tag:
@@ -137,18 +183,8 @@ def parse(page: str):
                 break
             at = page.find(">", end.end()) + 1 or len(page)
             continue
-        marked = main = False
-        if attributes:
-            for found in _NAMED.finditer(attributes):
-                key, value = found[1].lower(), (found[2] or "").strip("\"'").lower()
-                if key == "hidden":
-                    marked = True
-                elif key == "itemprop":
-                    main |= value == "articlebody"
-                elif key == "role" and value in ("main", "article"):
-                    main = True
-                elif not MARKS.isdisjoint(_WORDS.findall(value)):
-                    marked = True
+        marked, main = _names(attributes) if attributes else (False, False)
+        marked &= tag not in HEADINGS
         if tag in BLOCK:
             for depth in range(len(stack) - 1, -1, -1):
                 above = elements[stack[depth]].tag
@@ -172,8 +208,10 @@ def parse(page: str):
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
             note(raw)
             continue
-        if tag in BLOCK or tag in DROPPED or marked:
-            element = Element(tag, marked, main, stack[-1] if stack else -1, len(chunks))
+        # Inside a marked inline element those of its kind are kept too, to find its own end.
+        nested = tag not in BLOCK and any(elements[i].tag == tag for i in stack[-_NEAR:])
+        if tag in BLOCK or tag in DROPPED or marked or nested or tag == "a":
+            element = Element(tag, marked, main, stack[-1] if stack else -1, len(chunks), tag == "a")
             if tag in CONTAINER:
                 element.digest = xxhash.xxh64()
                 hashers.append(len(elements))
@@ -195,12 +233,14 @@ def _mains(elements: list[Element]) -> set[int]:
 
 
 def subtrees(page: str) -> tuple[int, list[int]]:
-    """The hash of all containers of a page, and the hashes of those that may be template."""
-    _, elements = parse(page)
+    """The hash of a page's whole text, and the hashes of the containers that may be template."""
+    import xxhash
+
+    chunks, elements = parse(page)
     kept = _mains(elements)
     codes = {e.code for i, e in enumerate(elements) if e.tag in CONTAINER and i not in kept and e.last > e.first}
-    whole = hash(tuple(e.code for e in elements if e.tag in CONTAINER)) if elements else 0
-    return whole, sorted(codes)
+    text = "\n".join(c for c in chunks if c)
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))), sorted(codes)
 
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -209,10 +249,11 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
     kept = _mains(elements)
     gone = bytearray(len(chunks))
     inside = [False] * len(elements)  # of something that goes
+    heavy = _heaviest(chunks, elements)
     for i, e in enumerate(elements):
         above = e.parent >= 0 and inside[e.parent]
         own = e.tag in DROPPED or e.code in template and e.tag in CONTAINER
-        own |= e.marked and e.tag not in ("html", "body")
+        own |= e.marked and e.tag not in ("html", "body") and i not in heavy
         if i in kept and e.tag not in ("article", "main"):
             own = e.tag == "head"  # what the article lies in stays, whatever its names
         elif e.tag in ("article", "main") and i in kept:
@@ -234,11 +275,36 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
                 block.append(chunk)
         return out
 
-    for wanted in (lambda e: e.tag == "article", lambda e: e.main, lambda e: e.tag == "main"):
-        roots = [i for i, e in enumerate(elements) if wanted(e) and not inside[i] and not any(wanted(elements[j]) for j in _above(elements, i))]
-        if roots:
-            return "\n".join(max((blocks(elements[i].first, elements[i].last) for i in roots), key=lambda b: sum(map(len, b))))
-    return "\n".join(blocks(0, len(chunks)))
+    def of_roots(wanted) -> list[str]:
+        """Blocks of the topmost elements that are wanted, in page order."""
+        out, end = [], -1
+        for i, e in enumerate(elements):
+            if wanted(e) and not inside[i] and e.first >= end:
+                out += blocks(e.first, e.last)
+                end = e.last
+        return out
+
+    size = lambda found: sum(map(len, found))
+    articles = of_roots(lambda e: e.tag == "article")
+    mains = of_roots(lambda e: e.main) or of_roots(lambda e: e.tag == "main")
+    if articles and 2 * size(articles) >= size(mains):
+        return "\n".join(articles)
+    return "\n".join(mains or articles or blocks(0, len(chunks)))
+
+
+def _heaviest(chunks: list[str | None], elements: list[Element]) -> set[int]:
+    """Marked elements that hold more than half of the page's text outside of links and of
+    elements that go by their tag, on a page that does not say where its article is."""
+    if not any(e.marked for e in elements) or any(e.main or e.tag in ("article", "main") for e in elements):
+        return set()
+    weight = [len(c.strip()) if c else 0 for c in chunks]
+    for e in elements:
+        if e.link or e.tag in DROPPED:
+            weight[e.first : e.last] = [0] * (e.last - e.first)
+    upto = [0]
+    for w in weight:
+        upto.append(upto[-1] + w)
+    return {i for i, e in enumerate(elements) if e.marked and 2 * (upto[e.last] - upto[e.first]) > upto[-1]}
 
 
 def _above(elements: list[Element], i: int):
@@ -260,12 +326,12 @@ def _subtree_rows(batches):
     import xxhash
 
     for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(5)]  # every page has a row without a code: it counts
         for key, tag, url, page in zip(*(batch.column(i).to_pylist() for i in range(4))):
             whole, codes = subtrees(page)
             host = _signed(xxhash.xxh64_intdigest(host_of(url)))
-            for code in codes:
-                for column, value in zip(out, (key, tag, host, whole, _signed(code))):
+            for code in (None, *map(_signed, codes)):
+                for column, value in zip(out, (key, tag, host, whole, code)):
                     column.append(value)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -293,12 +359,12 @@ def _texts(batches):
 def template_subtrees(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, code) of the subtrees on many different pages of a host.
 
-    ``rows`` holds a row per page and subtree. Copies of one page count once, so that an
+    ``rows`` holds a row per page and subtree, and one without a code for each page. Copies of one page count once, so that an
     article that a site shows at many addresses is not taken for template.
     """
     pages = rows.select("host", "whole").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = rows.select("host", "code", "whole").distinct().groupBy("host", "code").agg(F.count("*").alias("n"))
-    return seen.where(F.col("n") >= min_pages).join(pages, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "code")
+    seen = rows.where("code IS NOT NULL").select("host", "code", "whole").distinct().groupBy("host", "code").agg(F.count("*").alias("n"))
+    return seen.where(F.col("n") >= min_pages).join(pages, "host").where((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= MANY_PAGES)).select("host", "code")
 
 
 def extract(
