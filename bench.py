@@ -63,10 +63,11 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
 
     runs = {
-        "query_page": lambda: paging.query_page(stored, event_type="click", **window).collect(),
-        "page_info": lambda: paging.page_info(stored, event_type="click", **window).collect(),
-        "get_event_by_id": lambda: filters.get_event_by_id(stored, catalog.EVENT_ID).collect(),
-        "total_count": lambda: paging.total_count(stored).collect(),
+        "query_page": lambda: store.query_page(event_type="click", **window).collect(),
+        "page_info": lambda: store.page_info(event_type="click", **window).collect(),
+        "fetch_page": lambda: store.fetch_page(event_type="click", **window),
+        "get_event_by_id": lambda: store.get_event(catalog.EVENT_ID).collect(),
+        "total_count": lambda: store.total_count().collect(),
         "filter_combined": lambda: drain(
             filters.filter_events(stored, event_type="click", source="svc1", **window)
         ),
@@ -78,13 +79,11 @@ def main() -> None:
         "event_replay": lambda: drain(patterns.event_replay(stored, **window)),
         "storage_latency_histogram": lambda: metrics.storage_latency_histogram(stored).collect(),
         "latest_storage_latency": lambda: metrics.latest_storage_latency(stored).collect(),
-        "events_stored_total": lambda: metrics.events_stored_total(stored).collect(),
-        "events_failed_total": lambda: metrics.events_failed_total(quarantine).collect(),
+        "events_stored_total": lambda: store.stored_total().collect(),
+        "events_failed_total": lambda: store.failed_total().collect(),
         "recent_failures": lambda: patterns.recent_failures(quarantine).collect(),
         "normalize_envelope": lambda: drain(envelopes.normalize_envelope(raw)),
-        "events_received_total": lambda: metrics.events_received_total(
-            envelopes.normalize_envelope(raw)
-        ).collect(),
+        "events_received_total": lambda: store.received_total().collect(),
         "unique_by_id": lambda: drain(uniqueness.unique_by_id(good())),
         "duplicate_rejects": lambda: drain(uniqueness.duplicate_rejects(good())),
     }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventledger.operators.filters import Moment, filter_correlation, filter_events
+from eventledger.operators.numbering import number_rows
 from eventledger.operators.paging import event_projection, newest_first, oldest_first, query_page
 
 RECENT_EVENTS = 50
@@ -67,8 +68,17 @@ def event_replay(events: DataFrame, **wanted: Moment | None) -> DataFrame:
     return event_projection(oldest_first(filter_events(events, **wanted)))
 
 
+def replay_messages(events: DataFrame, **wanted: Moment | None) -> DataFrame:
+    """Stored events as raw messages in their old order: ``arrival_seq`` is 0, 1, 2 … from the
+    oldest event on, without gaps, so a store that takes them in any batches has the same
+    first writes. No task sees more than its stretch of time."""
+    kept = event_projection(filter_events(events, **wanted))
+    return to_messages(number_rows(kept, ["timestamp", "id"], name="arrival_seq"))
+
+
 def to_messages(events: DataFrame) -> DataFrame:
-    """Events as raw messages with legacy envelopes, ready for a folder or a topic.
+    """Events as raw messages with legacy envelopes, ready for a folder or a topic. An
+    ``arrival_seq`` that they have stays.
 
     The envelope is the one of the two that keeps target and session. The payload text
     is put in as it is; only the other members pass through ``to_json``.
@@ -82,5 +92,5 @@ def to_messages(events: DataFrame) -> DataFrame:
         """concat(left(members, length(members) - 1), ',"data":', payload, '}') AS body""",
         "routing_key",
         "stored_at AS received_at",
-        "CAST(NULL AS BIGINT) AS arrival_seq",
+        "arrival_seq" if "arrival_seq" in events.columns else "CAST(NULL AS BIGINT) AS arrival_seq",
     )

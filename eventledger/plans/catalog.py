@@ -156,6 +156,11 @@ def _dedup_stream_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(rows.select("id"))
 
 
+def _dedup_stream_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streaming.dedup_stream_settled(message_stream(prepare(spark), sf_dir), "10 minutes")
+    return _drained(rows.select("id", "arrival_seq"))
+
+
 def _live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = filled_store(spark, sf_dir)
     counters = {
@@ -183,11 +188,11 @@ def _live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replayed as messages and read back: the events must come out unchanged."""
     store = filled_store(spark, sf_dir)
-    again = patterns.to_messages(patterns.event_replay(store.events(), start_time=START, end_time=END))
+    again = patterns.replay_messages(store.events(), start_time=START, end_time=END)
     return _plain_times(
         envelopes.normalize_envelope(again)
         .where("error_type IS NULL")
-        .select(*NORMALIZED_COLUMNS, "routing_key")
+        .select("arrival_seq", *NORMALIZED_COLUMNS, "routing_key")
     )
 
 
@@ -266,8 +271,8 @@ def queries() -> dict[str, Query]:
         "newest_first": _on_events(lambda e: paging.newest_first(paging.event_projection(e))),
         "limit_events": _events(lambda e: paging.limit_events(e, 75)),
         "offset_events": _events(lambda e: paging.offset_events(e, 250, 120)),
-        "query_page": _on_events(
-            lambda e: paging.query_page(e, event_type=EVENT_TYPE, limit=100, offset=20, **window)
+        "query_page": _on_store(
+            lambda store: store.query_page(event_type=EVENT_TYPE, limit=100, offset=20, **window)
         ),
         "page_info": _on_store(
             lambda store: store.page_info(event_type=EVENT_TYPE, limit=100, offset=20, **window)
@@ -288,6 +293,7 @@ def queries() -> dict[str, Query]:
             lambda rows: uniqueness.duplicate_rejects(rows).select("arrival_seq", "id", "event_type")
         ),
         "dedup_stream_bounded": _dedup_stream_bounded,
+        "dedup_stream_settled": _dedup_stream_settled,
         "replay_idempotent": _replay_idempotent,
         "ingest_rate_limit": _ingest_rate_limit,
         "live_counters": _live_counters,

@@ -188,6 +188,9 @@ def oracle_sql() -> dict[str, str]:
             tail="QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY arrival_seq) > 1",
         ),
         "dedup_stream_bounded": _from("good", "DISTINCT event_id AS id"),
+        "dedup_stream_settled": f"""{_WITH}
+            SELECT event_id AS id, min(arrival_seq) AS arrival_seq FROM good GROUP BY event_id
+            HAVING max(received_at) + INTERVAL 20 MINUTE <= (SELECT max(received_at) FROM good)""",
         "replay_idempotent": _events(),
         "ingest_rate_limit": _events(),
         "live_counters": f"""{_WITH}
@@ -206,6 +209,7 @@ def oracle_sql() -> dict[str, str]:
         "recent_events": _events(tail=f"{newest} LIMIT 50"),
         "event_replay": _from(
             "se",
+            'row_number() OVER (ORDER BY "timestamp", id) - 1 AS arrival_seq, '
             'id AS event_id, event_type, "timestamp", source, target, correlation_id, '
             "session_id, payload, routing_key",
             window,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventledger.functions.fields import event_day
 from eventledger.operators import metrics, paging
+from eventledger.operators.clustering import clustered
 from eventledger.operators.filters import Moment, as_utc, filter_events, get_event_by_id
 from eventledger.plans.commits import APPEND, ARCHIVE, MERGE, Change, CommitLog
 from eventledger.plans.files import Files
@@ -31,6 +33,8 @@ FOLD_COUNTS = 64  # batches whose counts may lie beside the folded ones
 # Columns looked up by exact value. Bloom filters let a scan skip the row groups that
 # cannot hold the value, which is what an index did for a row store.
 _LOOKUP_COLUMNS = ("id", "session_id", "correlation_id")
+# Columns by which the files of a merged day are cut.
+CLUSTERED = ("session_id", "event_type", "timestamp")
 # Filters that the counts can answer.
 _COUNTED = ("event_type", "source", "start_time", "end_time")
 
@@ -167,6 +171,47 @@ class EventStore:
             total = total.union(edges.agg(F.count("*").alias("n")))
         return total.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"))
 
+    def query_page(self, limit: int = DEFAULT_LIMIT, offset: int = 0, **wanted: Moment | None) -> DataFrame:
+        """One page of the matching events, newest first.
+
+        On a large store the counts say which of the newest days hold the page, when they know
+        the filters: only these days are opened, and nothing is counted by a scan.
+        """
+        events = self.events()
+        asked = {name for name, value in wanted.items() if value}
+        if not asked <= set(_COUNTED) or not paging.is_large(events) or offset + limit > paging.TOP_K_ROWS:
+            return paging.query_page(events, limit, offset, **wanted)
+        paging.validate_page_args(limit, offset)
+        found = filter_events(events, **wanted)
+        oldest = self._oldest_day_of_page(offset + limit, **wanted)
+        if oldest:
+            found = found.where(F.col("event_date") >= F.lit(oldest))
+        return paging.page(found, limit, offset, prune=False)
+
+    def _oldest_day_of_page(self, rows: int, **wanted: Moment | None) -> date | None:
+        """The newest day from which on ``rows`` matches are sure to be there; None for all days."""
+        counted = self.counts().where("error_type IS NULL")
+        for name in ("event_type", "source"):
+            if wanted.get(name):
+                counted = counted.where(F.col(name) == wanted[name])
+        cut = {as_utc(wanted[name]).date() for name in ("start_time", "end_time") if wanted.get(name)}
+        if wanted.get("end_time"):
+            counted = counted.where(F.col("event_date") <= F.lit(max(cut)))
+        days = counted.groupBy("event_date").agg(F.sum("n").alias("n")).where("n > 0").collect()  # a row a day
+        there = 0
+        for row in sorted(days, key=lambda r: r["event_date"], reverse=True):
+            there += 0 if row["event_date"] in cut else row["n"]  # a day that a bound cuts may hold none
+            if there >= rows:
+                return row["event_date"]
+        return None
+
+    def fetch_page(self, limit: int = DEFAULT_LIMIT, offset: int = 0, **wanted: Moment | None) -> paging.Page:
+        """A page's rows and the total of all matches, as one call; the two jobs run side by side."""
+        with ThreadPoolExecutor(2) as pool:
+            total = pool.submit(lambda: self.total_count(**wanted).first()["total"])
+            rows = pool.submit(lambda: self.query_page(limit, offset, **wanted).collect())
+            return paging.Page(rows.result(), total.result(), limit, offset)
+
     def page_info(self, limit: int = DEFAULT_LIMIT, offset: int = 0, **wanted: Moment | None) -> DataFrame:
         """``total, limit, offset, has_more`` of a page, as one row, from the counts where they say it."""
         return paging.info_of_total(self.total_count(**wanted), limit, offset)
@@ -351,7 +396,10 @@ class EventStore:
         try:
             live = self.refresh().events().where(F.col("event_date") == F.lit(day))
             files = _files_of(live)
-            self._write_by_day(live, f"{self.root}/{change.stage}")
+            sizes = self.files.sizes(f"events/event_date={day}")
+            count = 1 + sum(sizes.get(name, 0) for name in files) // COMPACT_BYTES
+            # One file needs no order of files; several are cut so that each filter finds few.
+            self._write_by_day(clustered(live, CLUSTERED, count) if count > 1 else live, f"{self.root}/{change.stage}", ordered=count > 1)
             rows = self._staged(change)
             change.rows = rows.count()
             if change.rows != live.count():
@@ -405,11 +453,11 @@ class EventStore:
     def quarantine_tail(self) -> DataFrame:
         return self.spark.readStream.schema(QUARANTINE_SCHEMA).parquet(self.quarantine_path)
 
-    def _write_by_day(self, rows: DataFrame, path: str) -> None:
+    def _write_by_day(self, rows: DataFrame, path: str, ordered: bool = False) -> None:
+        if not ordered:
+            rows = rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "session_id", "timestamp")
         (
-            rows.hint("rebalance", "event_date")
-            .sortWithinPartitions("event_date", "session_id", "timestamp")
-            .write.options(**_bloom_options())
+            rows.write.options(**_bloom_options())
             .mode("append")
             .partitionBy("event_date")
             .parquet(path)

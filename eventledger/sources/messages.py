@@ -15,6 +15,7 @@ def raw_message_source(
     fmt: str = "json",
     streaming: bool = True,
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int | str | None = None,
     extra: T.StructType | None = None,
 ) -> DataFrame:
     """Every message in a landing folder; no routing-key predicate is applied.
@@ -22,9 +23,15 @@ def raw_message_source(
     ``json`` and ``parquet`` files hold ``RAW_SCHEMA`` (plus ``extra`` fields); ``text``
     files hold one body per line and take their receipt time from the file. ``arrival_seq``
     may be NULL; ingest then orders by position. ``max_files_per_trigger`` bounds a
-    micro-batch the way a prefetch count bounds a consumer.
+    micro-batch the way a prefetch count bounds a consumer; ``max_bytes_per_trigger`` bounds
+    it by size instead: files are taken until the next one would exceed it, so a file that
+    is larger by itself makes a batch of its own.
     """
+    if max_files_per_trigger and max_bytes_per_trigger:
+        raise ValueError("a micro-batch is bounded by files or by bytes")
     reader = spark.readStream if streaming else spark.read
+    if streaming and max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     if streaming and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "text":

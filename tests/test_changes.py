@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 from event_rows import event, events, raw, rows_of, utc
+from pyspark.sql import functions as F
 
 from eventledger.operators import metrics, paging
 from eventledger.operators.envelopes import normalize_envelope
@@ -312,3 +313,58 @@ def test_plans_of_totals_leave_events_alone(spark, store):
         assert f"{store.root}/events" not in plan(df) and "counts" in plan(df)
     assert normalize_envelope(raw(spark, body("a"))).count() == 1
     assert rows_of(store.events())
+
+
+# --- pages and file order ---
+
+
+def test_pages_of_a_large_store(spark, store, monkeypatch):
+    monkeypatch.setattr(paging, "PRUNE_BYTES", 0)
+    stamp = lambda n: DAY + timedelta(hours=5 * n)
+    store.append_events(events(spark, *(event(id=f"e{n:03}", timestamp=stamp(n), event_type="tu"[n % 2]) for n in range(120))))
+    scanned = paging.query_page
+    asked = [{}, {"event_type": "u"}, {"event_type": "none"}, {"end_time": stamp(50)}, {"start_time": stamp(100), "source": "shop"}]
+    for wanted in [*asked, {"start_time": stamp(3), "end_time": stamp(9)}, {"session_id": "x"}]:
+        for limit, offset in ((1, 0), (10, 0), (10, 7), (100, 30)):
+            want = [tuple(r) for r in scanned(store.events(), limit, offset, **wanted).collect()]
+            page = store.fetch_page(limit, offset, **wanted)
+            assert [tuple(r) for r in page.rows] == want
+            assert page.total == paging.total_count(store.events(), **wanted).first().total
+    monkeypatch.setattr(paging, "newest_days", lambda *a: 1 / 0)
+    assert [r.id for r in store.query_page(3, 1).collect()] == ["e118", "e117", "e116"]
+    days = store.query_page(3, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in days and store._oldest_day_of_page(4) == stamp(116).date()
+
+
+def test_merged_days_are_cut_by_several_columns(spark, store, monkeypatch):
+    """Files that a filter's value can lie in by their minima and maxima, before and after."""
+    rows = spark.range(0, 40_000, 1, 8).selectExpr(
+        "uuid() AS id", "concat('type', pmod(hash(id), 20)) AS event_type", "'s' AS source", "CAST(NULL AS STRING) AS target", "'t' AS routing_key",
+        "timestamp_micros(1714521600000000 + pmod(xxhash64(id), 86400000) * 1000) AS timestamp", "current_timestamp() AS stored_at", "'{}' AS payload",
+        "IF(id % 10 = 0, NULL, substring(md5(string(id % 500)), 1, 8)) AS session_id", "CAST(NULL AS STRING) AS correlation_id", "1D AS storage_latency_ms",
+    )
+    for _ in range(3):
+        store.append_events(rows)
+    before = store.events().count()
+    monkeypatch.setattr(stores, "COMPACT_BYTES", 250_000)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "250KB")
+    try:
+        store.append_events(rows.limit(0).union(rows))  # many files, each sorted by session
+        opened = {}
+        for step in ("before", "after"):
+            found = store.refresh().events()
+            files = found.groupBy("_metadata.file_name").agg(
+                *(f(c).alias(f"{n}_{c}") for c in ("session_id", "event_type", "timestamp") for n, f in (("lo", F.min), ("hi", F.max)))
+            ).collect()
+            probe = found.where("session_id IS NOT NULL").orderBy(F.xxhash64("id")).limit(20).collect()
+            share = lambda c: sum(f[f"lo_{c}"] is not None and f[f"lo_{c}"] <= r[c] <= f[f"hi_{c}"] for f in files for r in probe) / len(files) / len(probe)
+            opened[step] = {c: round(share(c), 2) for c in ("session_id", "event_type", "timestamp")}
+            if step == "before":
+                store.compact("2024-06-01")
+                assert len(files) > 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert store.events().count() > before
+    print(opened)
+    assert opened["after"]["event_type"] < 0.6 * opened["before"]["event_type"]
+    assert opened["after"]["timestamp"] < 0.8 * opened["before"]["timestamp"] and opened["after"]["session_id"] < 0.7

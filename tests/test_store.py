@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import timedelta
 from pathlib import Path
 
@@ -9,15 +10,15 @@ from event_rows import event, events, raw, rows_of, utc
 from eventledger.operators import metrics
 from eventledger.operators.envelopes import normalize_envelope
 from eventledger.operators.filters import filter_start_time
-from eventledger.operators.patterns import persisted_feed, to_messages
+from eventledger.operators.patterns import persisted_feed, replay_messages, to_messages
 from eventledger.plans.files import Files
 from eventledger.plans.ingest import ingest_batch
 from eventledger.plans.store import EventStore
-from eventledger.schema import FEED_ROUTING_KEY
+from eventledger.schema import FEED_ROUTING_KEY, RAW_SCHEMA
 from eventledger.session import shared_dir
 from eventledger.sources.messages import raw_message_source
 from eventledger.streaming import live
-from eventledger.streaming.ingest import append_stream, dedup_stream_bounded, ingest_stream
+from eventledger.streaming.ingest import append_stream, dedup_stream_bounded, dedup_stream_settled, ingest_stream
 
 DAY = utc(2024, 5, 1)
 
@@ -313,6 +314,62 @@ def test_bounded_dedup_of_a_hot_id(spark, tmp_path):
     assert found == sorted(["hot", *map(str, range(20))])
 
 
+def settled(spark, tmp_path, name, batches):
+    landing, out = str(tmp_path / f"in-{name}"), str(tmp_path / f"out-{name}")
+    for n, batch in enumerate(batches):
+        write_landing(spark, landing, batch)
+        rows = dedup_stream_settled(raw_message_source(spark, landing), "10 minutes")
+        append_stream(rows.select("id", "arrival_seq", "payload"), out, str(tmp_path / f"c-{name}")).awaitTermination()
+    return sorted(map(tuple, spark.read.parquet(out).collect()))
+
+
+def test_settled_dedup_is_the_same_however_the_stream_is_cut(spark, tmp_path):
+    """Copies within ten minutes are one, the first by position counts, whatever comes first."""
+    at = [("a", 0, 7), ("b", 1, 3), ("a", 4, 2), ("a", 9, 9), ("c", 9, 1), ("a", 30, 4), ("b", 31, 5), ("x", 90, 0), ("y", 120, 0)]
+    rows = [(body(i, data={"n": seq}), "k", DAY + timedelta(minutes=minute), seq) for i, minute, seq in at]
+    frame = lambda part: spark.createDataFrame(part, RAW_SCHEMA)
+    whole = settled(spark, tmp_path, "whole", [frame(rows)])
+    cut = settled(spark, tmp_path, "cut", [frame(rows[a:b]) for a, b in ((0, 2), (2, 3), (3, 6), (6, 9))])
+    first = lambda i, seq: (i, seq, json.dumps({"n": seq}, separators=(",", ":")))
+    assert whole == cut == sorted([first("a", 7), first("b", 3), first("c", 1), first("a", 4), first("b", 5), first("x", 0)])
+
+
+def test_a_micro_batch_is_bounded_by_bytes(spark, store, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    sizes = [3, 400, 2, 4, 3]
+    for n, size in enumerate(sizes):
+        lines = [json.dumps({"body": body(f"{n}-{i}"), "routing_key": "k", "arrival_seq": 1000 * n + i}) for i in range(size)]
+        path = landing / f"{n}.json"
+        path.write_text("\n".join(lines) + "\n")
+        stamp = 1_700_000_000 + n
+        os.utime(path, (stamp, stamp))
+    bound = 2 * (landing / "3.json").stat().st_size
+    messages = raw_message_source(spark, str(landing), max_bytes_per_trigger=bound)
+    query = ingest_stream(messages, store, str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    taken = [p["numInputRows"] for p in (json.loads(q.json) for q in query.recentProgress) if p["numInputRows"]]
+    assert sum(taken) >= sum(sizes) and len(taken) >= 3
+    small = (landing / "3.json").stat().st_size // 4
+    assert all(rows == 400 or rows * small <= bound + small for rows in taken)
+    assert store.refresh().events().count() == sum(sizes)
+    with pytest.raises(ValueError):
+        raw_message_source(spark, str(landing), max_files_per_trigger=1, max_bytes_per_trigger=1)
+
+
+def test_replayed_messages_are_numbered(spark, store, tmp_path):
+    rows = [event(id=f"{n % 7}-{n}", timestamp=DAY + timedelta(minutes=n // 3)) for n in range(50)]
+    store.append_events(events(spark, *rows))
+    sent = replay_messages(store.events()).collect()
+    order = [json.loads(r.body)["id"] for r in sorted(sent, key=lambda r: r.arrival_seq)]
+    assert sorted(r.arrival_seq for r in sent) == list(range(50))
+    assert order == [r[0] for r in sorted(rows, key=lambda r: (r[5], r[0]))]
+    twice = spark.createDataFrame(sent, RAW_SCHEMA).union(replay_messages(store.events()).selectExpr("replace(body, '\"paid\":false', '\"paid\":true')", "routing_key", "received_at", "arrival_seq + 1000"))
+    other = EventStore(spark, str(tmp_path / "other")).init()
+    ingest_batch(twice.repartition(5), other, stored_at="received_at")
+    assert [row[:8] for row in rows_of(other.events())] == [row[:8] for row in rows_of(store.events())]
+
+
 def test_work_folder_comes_from_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
