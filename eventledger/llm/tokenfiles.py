@@ -27,17 +27,19 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventledger.llm.common import NO_ID, long_id, partitions_for, written
+from eventledger.llm.common import NO_ID, long_id, partitions_for
+from eventledger.session import shared_dir
 
 BLOCK_IDS = 1 << 16
 PIECE_BYTES = 1 << 20  # texts are encoded in pieces of this size, cut at white space
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000  # of two generations each; a worker keeps them from task to task
 
 BLOCK = (
     "part int, block int, first long, n_ids int, doc_ids array<long>, sizes array<int>, control binary, data binary, crc long"
@@ -45,6 +47,13 @@ BLOCK = (
 
 _BORDER = re.compile(rb"[\x20\x09-\x0D]")
 
+# The steps of a tokenizer that ``_PART`` stands for. Words that, lowered, are
+# nothing but its matches are split by it as by the tokenizer; others go through the tokenizer.
+_KNOWN_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# UTF-8 of ASCII without the apostrophe and of the letters that U+00C0 … U+00FF lower to.
+_PART = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
 
 @dataclass
 class Encoder:
@@ -77,6 +86,18 @@ class Encoder:
         if not drops or prefix or strips or not same:
             raise ValueError("this tokenizer looks across white space; its words cannot be encoded apart")
 
+    @property
+    def splits_plainly(self) -> bool:
+        """Whether ``_PART`` splits plain words as this tokenizer does."""
+        spec = json.loads(self.spec)
+        normalizer = [s["type"] for s in _steps(spec.get("normalizer"), "normalizers")]
+        steps = _steps(spec.get("pre_tokenizer"), "pretokenizers")
+        pattern = [s["pattern"].get("Regex") for s in steps if s["type"] == "Split"]
+        kinds, model = [s["type"] for s in steps], spec["model"]
+        bytewise = kinds == ["Split", "ByteLevel"] and not steps[1].get("use_regex", True)
+        marks = all(t["content"].startswith("<|") and not t.get("normalized") for t in spec.get("added_tokens", []))
+        return normalizer == _KNOWN_NORMALIZER and pattern == [_KNOWN_PATTERN] and bytewise and marks and model["type"] == "BPE"
+
     def tokenizer(self):
         from tokenizers import Tokenizer
 
@@ -98,7 +119,48 @@ def _steps(spec, inner: str):
     return spec[inner] if spec["type"] == "Sequence" else [spec]
 
 
-_loaded: dict[int, tuple] = {}
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: its own where it prints, else the next from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+class _Words(dict):
+    """Ids, as bytes, of words, and of the parts that the tokenizer's first steps split plain words into."""
+
+    def __init__(self, encoder: Encoder):
+        self.tokenizer, self.code = encoder.tokenizer(), {"<u2": "H", "<u4": "I"}[encoder.width]
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.plainly = encoder.splits_plainly
+        self.before: dict[bytes, bytes] = {}  # the generation before, of which words in use come back
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(word)
+        if found is None:
+            found = self._encoded(word)
+        self[word] = found
+        return found
+
+    def _encoded(self, word: bytes) -> bytes:
+        parts = ()
+        if self.plainly:
+            lower = word.lower() if word.isascii() else word.decode().lower().encode()
+            parts = _PART.findall(lower)
+        if not parts or sum(map(len, parts)) < len(lower) or b"<|" in word:
+            return array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(parts) > 1:
+            return b"".join([self[p] for p in parts])
+        if lower != word:
+            return self[lower]
+        text = word.decode() if word.isascii() else "".join([self.letters[b] for b in word])
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+
+
+_loaded: dict[int, _Words] = {}
 
 
 def _pieces(text: bytes):
@@ -125,19 +187,10 @@ def _encode(batches, shared, width: str):
     code = zlib.crc32(encoder.spec.encode())
     if code not in _loaded:
         _loaded.clear()
-        _loaded[code] = (encoder.tokenizer(), {})
-    tokenizer, cache = _loaded[code]
+        _loaded[code] = _Words(encoder)
+    words = _loaded[code]
     end = b"" if encoder.end_id is None else np.array([encoder.end_id], width).tobytes()
 
-    def learn(words):
-        new = list(set(words).difference(cache))
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-            new = list(set(words))
-        found = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        for word, encoding in zip(new, found):
-            cache[word] = np.array(encoding.ids, width).tobytes()
-
     def batch_of(rows):
         keys, tags, ids = zip(*rows)
         sizes = pa.array([len(i) // np.dtype(width).itemsize for i in ids], pa.int32())
@@ -148,14 +201,7 @@ def _encode(batches, shared, width: str):
     for batch in batches:
         held, size = [], 0
         for key, tag, text in zip(*(batch.column(i) for i in range(3))):
-            parts = []
-            for piece in _pieces((text.as_py() or "").encode()):
-                words = piece.split()
-                try:
-                    parts.append(b"".join(map(cache.__getitem__, words)))
-                except KeyError:
-                    learn(words)
-                    parts.append(b"".join(map(cache.__getitem__, words)))
+            parts = [b"".join(map(words.__getitem__, piece.split())) for piece in _pieces((text.as_py() or "").encode())]
             parts.append(end)
             held.append((key.as_py(), tag.as_py(), b"".join(parts)))
             size += len(held[-1][2])
@@ -192,7 +238,8 @@ def pack(values):
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = lengths - 1
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    widest = int(lengths.max()) if len(lengths) else 1
+    data = values.view(np.uint8).reshape(-1, 4)[:, :widest][np.arange(widest) < lengths[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -214,9 +261,11 @@ def unpack(control: bytes, data: bytes, n: int):
     ends = np.cumsum(lengths)
     if (ends[-1] if n else 0) != len(data) or len(control) != -(-n // 4):
         raise ValueError("a block's control bytes do not fit its data")
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(padded, 4)[ends - lengths] if n else padded[:0].reshape(0, 4)
-    return words.copy().view("<u4").ravel() & masks[lengths]
+    padded, starts = np.frombuffer(data + b"\0\0\0", np.uint8), ends - lengths
+    values = padded[starts].astype(np.uint32)
+    for byte in range(1, int(lengths.max()) if n else 1):
+        values |= padded[starts + byte].astype(np.uint32) << np.uint32(8 * byte)
+    return values & masks[lengths]
 
 
 def _blocks(batches, shared, width: str, block_ids: int):
@@ -273,7 +322,9 @@ def write(
     shared = spark.sparkContext.broadcast(encoder)
     rows = documents.select(long_id(id_col).alias("_key"), F.xxhash64(text_col).alias("_tag"), F.col(text_col).alias("text"))
     coded = rows.mapInArrow(lambda batches: _encode(batches, shared, width), "_key long, _tag long, n_ids int, ids binary")
-    staged = written(coded.withColumn("_row", F.monotonically_increasing_id()), "token-ids")
+    stage = shared_dir(spark, "token-ids")
+    coded.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(stage)
+    staged = spark.read.parquet(stage)
 
     counted = staged.select("ids").mapInArrow(lambda batches: _histogram(batches, width), "id long, n long")
     counts = counted.groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
