@@ -1,7 +1,9 @@
 """Licence scans, language identification and the quality classifier."""
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventledger.llm import cotraining, langid, licenses, queries
@@ -44,6 +46,54 @@ def test_changed_and_repeated_texts(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+GNU = (
+    "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as "
+    "published by the Free Software Foundation{b} either version {v} of the License, or (at your option) any later version."
+)
+
+
+def found_in(text):
+    index = licenses.Index(licenses.TEMPLATES)
+    return [(index.names[t], matched, len(index.words[t])) for t, matched, *_ in licenses.scan_text(text.encode(), index)]
+
+
+def test_versions_of_a_family_are_told_apart():
+    heads = {
+        "GPL-2.0 header": GNU.format(what="program", a=";", name="", b=";", v="2"),
+        "GPL-3.0 header": GNU.format(what="program", a=":", name="", b=",", v="3"),
+        "LGPL-2.1 header": GNU.format(what="library", a=";", name="Lesser ", b=";", v="2.1"),
+        "LGPL-3.0 header": GNU.format(what="library", a=":", name="Lesser ", b=",", v="3"),
+        "AGPL-3.0 header": GNU.format(what="program", a=":", name="Affero ", b=",", v="3"),
+    }
+    for name, text in heads.items():
+        assert [n for n, matched, size in found_in(f"// {text}\n// more") if matched == size] == [name]
+        assert len(found_in(text)) == 1
+    assert found_in(GNU.format(what="library", a=";", name="Library ", b=";", v="2")) == []
+    assert found_in(GNU.format(what="program", a=";", name="", b=";", v="1")) == []
+    both = found_in(" and ".join(heads.values()))
+    assert [n for n, _, _ in both] == list(heads)
+
+
+def test_whole_texts_and_their_parts():
+    for name in ("MIT", "MIT permission", "ISC", "ISC permission", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause conditions", "Unlicense"):
+        words = licenses.TEMPLATES[name].split()
+        assert [n for n, _, _ in found_in("Copyright (c) 2020 me\n" + "\n".join(words) + " end")] == [name]
+        words[len(words) // 3] = "other"
+        assert [n for n, _, _ in found_in(" ".join(words))] == [name]
+
+
+def test_equal_matches_go_by_coverage_and_many_take_little_time():
+    assert [n for n, _, _ in found_in(licenses.TEMPLATES["GPL-3.0 header"])] == ["GPL-3.0 header"]
+    start = time.perf_counter()
+    assert len(found_in(" ; ".join([licenses.TEMPLATES["MIT notice"], "text between"] * 20_000))) == 20_000
+    assert time.perf_counter() - start < 30
+
+
+def test_templates_without_a_shingle_raise(spark):
+    with pytest.raises(ValueError, match="fewer than"):
+        licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), {"two": "two words"})
+
+
 def test_alignment_equals_longest_common_sequence():
     rng = random.Random(8)
     for _ in range(60):
