@@ -1,7 +1,8 @@
 """Mixing a corpus to target weights, with documents that belong to domains by degrees.
 
-Labels name domains for some documents. A naive Bayes classifier over the hashed words
-that a text holds, counted in Spark, gives every document a posterior over the domains. Rates, the numbers of times
+Labels name domains for some documents. A naive Bayes classifier over the words that a text
+holds, counted in Spark into a table of telling words and joined to the words of all
+documents, gives every document a posterior over the domains. Rates, the numbers of times
 that documents should be read, then solve a least squares problem: expected tokens of each
 domain, the sum of rate * tokens * posterior, shall equal the targets, with no rate below
 zero and the rates as near to one as that allows. Such rates are max(0, 1 - posterior . y), a projected
@@ -21,16 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventledger.llm.common import SPACE, long_id, text_tag, written
+from eventledger.operators.numbering import totals_before
+from eventledger.session import estimated_bytes
 
-SLOTS = 16384
 FIT_ROWS = 20_000  # labelled documents that the classifier is fitted on, at most
 FULL_WORDS = 400  # evidence of longer texts counts as that of so many different words
-#: A word's log odds count from so many standard errors and so great an effect on, if this
-#: share of a domain's documents hold it: less is what a few documents and their copies, or a
-#: domain's share of a language, bring about by chance.
+SMOOTH = 1.0  # documents added to what a word is seen in, shared out as the domains are
+#: A word's log odds count from so sure (the root of the likelihood ratio statistic) and so great an
+#: effect on. Less is what chance, or a domain's share of a language, brings about. A word of
+#: a domain that is one in twenty counts when three documents of it, and no others, hold it.
 SURE = 4.0
 EFFECT = 1.0
-SUPPORT = 0.05
+BROADCAST_BYTES = 64 << 20  # up to which the telling words are sent to each executor
+NEAR_ONE = 0.1  # rates so close to one leave a document as it is
 STEPS = 30  # for each damping; a handful is usual
 DAMP = 0.01  # weight of rates that differ from one, at first; a hundredth of it in each round
 LEAST_DAMP = 1e-12  # the last: domains down to about this share of tokens meet their targets
@@ -49,19 +53,34 @@ def _codes(text: str) -> Column:
 
 @dataclass
 class Classifier:
-    """Domains, their log priors, and a hash table of telling words: a code and weights a slot."""
+    """Domains, their log priors, and the telling words: (code, w_0, …), log odds for each domain."""
 
     domains: list[str]
     prior: np.ndarray
-    codes: np.ndarray
-    weights: np.ndarray  # domains by slots
+    words: DataFrame | None
+
+
+def _odds(seen: Column, own: float, rest: Column, others: float) -> Column:
+    """Log odds of a word for a domain, 0 where they may be chance or are small."""
+    both, every = seen + rest, own + others
+
+    def part(found: Column, expected: Column) -> Column:
+        return F.when(found > 0, found * F.log(found / expected)).otherwise(F.lit(0.0))
+
+    unsure = 2 * (
+        part(seen, both * (own / every)) + part(rest, both * (others / every))
+        + part(own - seen, (every - both) * (own / every)) + part(others - rest, (every - both) * (others / every))
+    )
+    odds = F.log((seen + SMOOTH * own / every) / (own + SMOOTH)) - F.log((rest + SMOOTH * others / every) / (others + SMOOTH))
+    return F.when((unsure >= SURE**2) & (F.abs(odds) >= EFFECT), odds).otherwise(F.lit(0.0))
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = FIT_ROWS):
     """A classifier from ``labels(id, domain)``.
 
     Ids that several domains claim go to the first by name; of more than ``rows`` labelled
-    ids, those with the smallest hashes are used. Equal texts of a domain count once.
+    ids, those with the smallest hashes are used. Equal texts of a domain count once. All words of
+    these documents are counted; the telling ones are kept in a table.
     """
     once = labels.where(f"`{id_col}` IS NOT NULL AND domain IS NOT NULL").groupBy(id_col).agg(F.min("domain").alias("domain"))
     chosen = once.orderBy(F.xxhash64(id_col), id_col).limit(rows).select(F.col(id_col).cast("long").alias("_key"), "domain")
@@ -72,54 +91,38 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, row
     )
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     domains = sorted(sizes)
-    if not domains:
-        return Classifier([""], np.zeros(1), np.zeros(SLOTS, np.int64), np.zeros((1, SLOTS)))
-    own = np.array([[sizes[d]] for d in domains], float)
-    others = own.sum() - own
+    own = [float(sizes[d]) for d in domains]
+    if len(domains) < 2:
+        return Classifier(domains or [""], np.zeros(1), None)
     held = [F.count_if(F.col("domain") == d).alias(f"n_{i}") for i, d in enumerate(domains)]
-    words = known.select("domain", F.explode(_codes("_text")).alias("code")).groupBy("code").agg(*held)
-    # Words with this support are few: a document's different words over SUPPORT, on average.
-    often = F.greatest(F.lit(0.0), *(F.col(f"n_{i}") / float(own[i, 0]) for i in range(len(domains))))
-    found = words.where(often >= SUPPORT).orderBy("code").collect()
-    codes = np.array([r["code"] for r in found], np.int64)
-    seen = np.array([[r[f"n_{i}"] for r in found] for i in range(len(domains))], float).reshape(len(domains), -1)
-    rest = seen.sum(axis=0) - seen
-    odds = np.log((seen + 0.5) / (own + 1)) - np.log((rest + 0.5) / (others + 1))
-    error = np.sqrt(1 / (seen + 0.5) + 1 / (rest + 0.5))
-    odds[np.abs(odds) < np.maximum(SURE * error, EFFECT)] = 0.0
-    slots, weights = np.zeros(SLOTS, np.int64), np.zeros((len(domains), SLOTS))
-    for i in np.argsort(np.abs(odds).max(axis=0, initial=0), kind="stable"):  # the strongest word keeps a slot
-        slot = int(codes[i]) % SLOTS
-        slots[slot], weights[:, slot] = codes[i], odds[:, i]
-    return Classifier(domains, np.log(own.ravel() / own.sum()), slots, weights)
-
-
-def _slot(code: Column) -> Column:
-    return F.pmod(code, F.lit(SLOTS)).cast("int")
+    counted = known.select("domain", F.explode(_codes("_text")).alias("code")).groupBy("code").agg(*held)
+    every = sum((F.col(f"n_{i}") for i in range(1, len(domains))), F.col("n_0"))
+    odds = [_odds(F.col(f"n_{i}"), n, every - F.col(f"n_{i}"), sum(own) - n).alias(f"w_{i}") for i, n in enumerate(own)]
+    telling = counted.select("code", *odds).where(F.greatest(*(F.abs(f"w_{i}") for i in range(len(domains)))) > 0)
+    return Classifier(domains, np.log(np.array(own) / sum(own)), written(telling, "telling-words"))
 
 
 def posteriors(documents: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_key, _tag, n_tokens, p_<number> for each domain) of every row."""
-    domains, prior, weights = model.domains, model.prior, model.weights
+    """(_key, _tag, n_tokens, p_<number> for each domain) of every row.
+
+    The different words of each text are joined to the telling words and summed again within
+    the task that read the text; one narrow row a document is shuffled.
+    """
+    domains, prior = model.domains, model.prior
     rows = documents.select(
         long_id(id_col).alias("_key"), text_tag(text_col).alias("_tag"),
         F.size(_words(text_col)).cast("long").alias("n_tokens"), _codes(text_col).alias("codes"),
     )
-
-    def evidence(d: int) -> Column:
-        if not d:
-            return F.lit(0.0)
-        table = F.lit(weights[d] - weights[0])
-        return F.aggregate("telling", F.lit(0.0), lambda total, c: total + F.get(table, _slot(c)))
-
-    known = F.lit(model.codes)
-    telling = F.filter("codes", lambda c: F.get(known, _slot(c)) == c)
-    rows = rows.select("_key", "_tag", "n_tokens", F.size("codes").alias("size"), telling.alias("telling"))
-    n = F.col("size")
-    rows = rows.select("_key", "_tag", "n_tokens", n.alias("n"), *(evidence(d).alias(f"e_{d}") for d in range(len(domains))))
+    if model.words is None:
+        return rows.select("_key", "_tag", "n_tokens", F.lit(1.0).alias("p_0"))
+    words = F.broadcast(model.words) if (estimated_bytes(model.words) or 0) <= BROADCAST_BYTES else model.words
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    each = rows.select("_row", "_key", "_tag", "n_tokens", F.size("codes").alias("n"), F.explode_outer("codes").alias("code"))
+    evidence = [F.coalesce(F.sum(f"w_{d}"), F.lit(0.0)).alias(f"e_{d}") for d in range(len(domains))]
+    rows = each.join(words, "code", "left").groupBy("_row", "_key", "_tag", "n_tokens", "n").agg(*evidence)
     part = F.least(F.lit(1.0), F.lit(float(FULL_WORDS)) / F.greatest("n", F.lit(1)))
     rows = rows.select("_key", "_tag", "n_tokens", *((F.col(f"e_{d}") * part + float(prior[d])).alias(f"s_{d}") for d in range(len(domains))))
-    top = F.greatest(*(F.col(f"s_{d}") for d in range(len(domains)))) if len(domains) > 1 else F.col("s_0")
+    top = F.greatest(*(F.col(f"s_{d}") for d in range(len(domains))))
     rows = rows.select("_key", "_tag", "n_tokens", *(F.exp(F.col(f"s_{d}") - top).alias(f"x_{d}") for d in range(len(domains))))
     total = sum((F.col(f"x_{d}") for d in range(1, len(domains))), F.col("x_0"))
     return rows.select("_key", "_tag", "n_tokens", *((F.col(f"x_{d}") / total).alias(f"p_{d}") for d in range(len(domains))))
@@ -241,6 +244,31 @@ def copies(rate: Column, key: Column, seed: int = 7) -> Column:
     return F.floor(rate + chance).cast("int")
 
 
+def as_it_is(rate: Column) -> Column:
+    """Whether a rate is so near one that a document is read once."""
+    return F.abs(rate - 1) <= NEAR_ONE
+
+
+def whole_copies(rated: DataFrame, size: int) -> DataFrame:
+    """Rows of ``mix`` with ``copies``, how often to read each document.
+
+    A rate within ``NEAR_ONE`` of one leaves a document as it is. The others are rounded together:
+    laid one after the other, by domain and number of tokens, a document is read once for each
+    whole number that its rate passes. Each number of copies has the rate as its mean, and
+    documents like one another make up for each other, so totals are close to those of the rates.
+    """
+    staged = written(rated.withColumn("_row", F.monotonically_increasing_id()), "rates")
+    most = F.greatest(*(F.col(f"p_{d}") for d in range(size))) if size > 1 else F.col("p_0")
+    domain = F.coalesce(*(F.when(F.col(f"p_{d}") == most, d) for d in range(size)))
+    as_is = as_it_is(F.col("rate"))
+    order = ["_domain", "n_tokens", "_mixed", "_row"]
+    others = staged.where(~as_is).select("_row", "n_tokens", "rate", domain.alias("_domain"), F.xxhash64("_key", "_tag").alias("_mixed"))
+    places = totals_before(others, order, "rate").select("_row", F.col("before").cast("double").alias("before"))
+    rows = staged.join(places, "_row", "left")
+    passed = F.floor(F.col("before") + F.col("rate") + 0.5) - F.floor(F.col("before") + 0.5)
+    return rows.select(*rated.columns, F.when(as_is, 1).otherwise(passed).cast("int").alias("copies"))
+
+
 def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, domain): toxic, else low or good by quality; rows without a quality go."""
     return labels.where("quality IS NOT NULL").select(
