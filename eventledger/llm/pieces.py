@@ -111,6 +111,9 @@ class Model:
         return not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p, t in zip(self.pieces, self.types) if t == _NORMAL)
 
 
+LONG_WORD = 24  # characters from which a word is looked at for places to cut
+
+
 def merged(symbols: list[str], rank: dict[str, int]) -> list[tuple]:
     """Symbols merged by rank, the leftmost of equals first; each as (text, left, right)."""
     parts: list[tuple] = [(s, None, None) for s in symbols]
@@ -178,6 +181,8 @@ class Encoder:
         self.power = np.array([pow(BASE, n, 1 << 64) for n in range(self.longest + 1)], np.uint64)
         worst = min(model.scores[i] for i in chosen)
         self.score = np.array([*model.scores, worst - 10.0])
+        inner = {a << 32 | b for i in usable for a, b in zip(map(ord, model.pieces[i]), map(ord, model.pieces[i][1:]))}
+        self.inner = np.array(sorted(inner), np.uint64)  # neighbouring characters that some piece holds
 
     @staticmethod
     def _hash_of(text: str) -> int:
@@ -242,9 +247,31 @@ class Encoder:
         return good
 
     def solve(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, as little-endian 32-bit numbers."""
+        """Ids of each word, as little-endian 32-bit numbers.
+
+        Long words are cut between characters that no piece holds side by side: nothing is
+        ever merged across. Scripts without spaces come as short words that way.
+        """
+        # Neighbouring unknown characters are one id where they are not spelled as bytes.
+        cut = {w: self._cut(w) for w in words if len(w) > LONG_WORD} if self.model.byte_ids else {}
+        if not cut:
+            return self._solve(words)
+        parts = {p for found in cut.values() for p in found}
+        distinct = list(parts.union(w for w in words if w not in cut))
+        ids = dict(zip(distinct, self._solve(distinct)))
+        return [b"".join([ids[p] for p in cut[w]]) if w in cut else ids[w] for w in words]
+
+    def _cut(self, word: str) -> list[str]:
         import numpy as np
 
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        pairs = codes[:-1] << np.uint64(32) | codes[1:]
+        at = np.minimum(np.searchsorted(self.inner, pairs), max(0, len(self.inner) - 1))
+        joined = self.inner[at] == pairs if len(self.inner) else np.zeros(len(pairs), bool)
+        ends = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _solve(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
         by_length: dict[int, list[int]] = {}
         for i, word in enumerate(words):

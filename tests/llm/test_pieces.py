@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from eventledger.llm import pieces, queries
@@ -71,3 +73,20 @@ def test_clashing_columns_and_empty_tables(spark, model):
     got = pieces.decode(pieces.encode(rows, model), model).collect()
     assert got[0].asDict() == {"text": "hello", "_text": 1, "ids": got[0].ids, "decoded": "hello"}
     assert pieces.encode(rows.limit(0), model).collect() == []
+
+
+def test_texts_without_spaces(model):
+    """A megabyte of Han and other text in words of many hundred characters, in seconds."""
+    rng = random.Random(2)
+    han = [chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3000)]
+    common = [p for p, t in zip(model.pieces, model.types) if t == 1 and any(ord(c) > 0x3000 for c in p)]
+    texts = ["".join(rng.choices(han + common * 2, k=rng.randint(400, 1200))) for _ in range(420)]
+    texts += ["ひらがなカタカナ漢字テスト" * 50, "สวัสดีชาวโลก" * 60, "abc漢字def" * 80, "https://example.org/" + "x1y2" * 20]
+    encoder = pieces.Encoder(model)
+    start = time.process_time()
+    got = encoder.solve(["▁" + t for t in texts])
+    spent = time.process_time() - start
+    size = sum(len(t.encode()) for t in texts)
+    assert size > 950_000 and spent / size * 1e9 < 2000
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    assert [np.frombuffer(g, "<i4").tolist() for g in got] == [library.encode(t) for t in texts]
