@@ -18,12 +18,13 @@ SCALE = {"low": 0.25, "toxic": 0.25}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. Null and empty texts go; repeated rows are judged alike."""
     return rules.measure(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group."""
+    """The document with the smallest id of each group; documents without a word are one group,
+    a null id sorts behind all others, and of rows with one id and text one stays."""
     return simhash.one_of_each(docs, simhash.near_duplicates(docs))
 
 
@@ -34,19 +35,23 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say, to the nearest whole number.
+    """Documents as often as their rates say, in whole numbers whose totals are those of the rates.
 
-    Nearest, so that a document with a rate about one is neither lost nor doubled; a rate
-    below a half drops it. ``mixing.copies`` rounds without bias where doubles do no harm.
+    A rate near one leaves a document as it is, so clean documents are neither lost nor
+    doubled. Rows that share id and text are rounded each by itself, by a hash.
     """
-    rated, _ = mixing.mix(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), scale=SCALE)
-    times = rated.select("_key", "_tag", F.floor(F.col("rate") + 0.5).cast("int").alias("_times")).where("_times > 0").distinct()
-    rows = docs.select("*", long_id("doc_id").alias("_key"), text_tag().alias("_tag")).join(times, ["_key", "_tag"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    rated, domains = mixing.mix(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), scale=SCALE)
+    times = mixing.whole_copies(rated, len(domains)).groupBy("_key", "_tag").agg(
+        F.count("*").alias("_alike"), F.first("rate").alias("_rate"), F.first("copies").alias("_copies")
+    )
+    rows = docs.select("*", long_id("doc_id").alias("_key"), text_tag().alias("_tag"), F.monotonically_increasing_id().alias("_row"))
+    sure = (F.col("_alike") == 1) | mixing.as_it_is(F.col("_rate"))
+    dealt = rows.join(times, ["_key", "_tag"]).withColumn("_n", F.when(sure, F.col("_copies")).otherwise(mixing.copies(F.col("_rate"), F.col("_row"))))
+    return dealt.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) of each document."""
+    """(doc_id, lang, source, n_tokens, ids) of each row; a null text has no ids."""
     coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.Model.load(queries.PIECES))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
