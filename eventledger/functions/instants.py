@@ -24,18 +24,21 @@ def _written_out(text: str) -> str:
 def text_to_utc(text: str) -> str:
     """Text to an instant, whatever the session time zone; bad text gives NULL.
 
-    ISO-8601 is the usual form. Only texts that fail it pay for the others: lower-case ``t``
+    ISO-8601 is the usual form. Only texts that fail it pay for the others, which stand in a
+    lambda: that keeps them out of the compiled code, whose size slows down every row. They are lower-case ``t``
     and ``z``, ``_`` as separator, a decimal comma, a minus sign proper, times without
     seconds, fractions beyond the microsecond, which are cut, offsets up to 23:59 and
     numbers, which are epochs.
     """
-    unusual = (
+    tidied = (
         f"regexp_replace(regexp_replace(translate({text}, 'tz_,\u2212', 'TZ .-'), '([.][0-9]{{6}})[0-9]+', '$1'), "
         f"'^({DATE_TEXT}.[0-9]{{2}}:[0-9]{{2}}){ZONE_TEXT}?$', '$1:00$2')"
     )
+    unusual = f"coalesce(try_cast({_written_out('t')} AS TIMESTAMP), {_far_from_utc('t')})"
     return (
-        f"coalesce(try_cast({_written_out(text)} AS TIMESTAMP), "
-        f"try_cast({_written_out(unusual)} AS TIMESTAMP), {_far_from_utc(unusual)}, {_number_text(text)})"
+        f"CASE WHEN {text} IS NOT NULL THEN coalesce(try_cast({_written_out(text)} AS TIMESTAMP), "
+        f"element_at(transform(array({tidied}), t -> {unusual}), 1), "
+        f"element_at(transform(array({text}), t -> {_number_text('t')}), 1)) END"
     )
 
 
