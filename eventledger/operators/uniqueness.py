@@ -44,13 +44,10 @@ def duplicate_rejects(
     there; the join uses the position as well as the id, so the copies of a hot id spread
     over all partitions. Among rows that are equal in all columns the first is the winner.
     """
-    position = [*order, "_tie"]
-    tied = rows.withColumn("_tie", _tie(rows))
-    firsts = first_writes(tied, key, tuple(position))
-    firsts = firsts.select(F.col(key).alias("_key"), *[F.col(n).alias(f"_first{i}") for i, n in enumerate(position)])
-    same = Window.partitionBy(key, *position).orderBy(key)
-    numbered = tied.withColumn("_n", F.row_number().over(same))
-    wins = (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_n") == 1)
-    for i, name in enumerate(position):
-        wins &= F.col(name).eqNullSafe(F.col(f"_first{i}"))
-    return numbered.join(firsts, wins, "left_anti").drop("_tie", "_n")
+    # One struct holds id and position: it is never null itself, nulls within it are equal, and
+    # the numbering and the join partition by the same column, so rows are shuffled once.
+    placed = rows.withColumn("_at", F.struct(key, *order, _tie(rows).alias("_tie")))
+    firsts = placed.groupBy(key).agg(F.min("_at").alias("_first")).select("_first")
+    numbered = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_at").orderBy("_at")))
+    wins = (F.col("_at") == F.col("_first")) & (F.col("_n") == 1)
+    return numbered.join(firsts, wins, "left_anti").drop("_at", "_n")

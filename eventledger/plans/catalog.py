@@ -120,7 +120,7 @@ def _events_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, events = new_store(prepare(spark), "scan"), filled_store(spark, sf_dir).events()
     for part in range(3):
         store.append_events(events.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part))
-    store.compact("2024-02-01")
+    store.compact("2024-01-06")
     return _plain_times(paging.event_projection(store.events()))
 
 
