@@ -34,6 +34,7 @@ SMOOTH = 1.0  # documents added to what a word is seen in, shared out as the dom
 SURE = 4.0
 EFFECT = 1.0
 BROADCAST_BYTES = 64 << 20  # up to which the telling words are sent to each executor
+STARTS = 64  # places at which the rounding of a domain may start
 NEAR_ONE = 0.1  # rates so close to one leave a document as it is
 STEPS = 30  # for each damping; a handful is usual
 DAMP = 0.01  # weight of rates that differ from one, at first; a hundredth of it in each round
@@ -254,8 +255,9 @@ def whole_copies(rated: DataFrame, size: int) -> DataFrame:
 
     A rate within ``NEAR_ONE`` of one leaves a document as it is. The others are rounded together:
     laid one after the other, by domain and number of tokens, a document is read once for each
-    whole number that its rate passes. Each number of copies has the rate as its mean, and
-    documents like one another make up for each other, so totals are close to those of the rates.
+    whole number that its rate passes, so documents like one another make up for each other.
+    Where the count starts is free: of ``STARTS`` places each domain takes the one whose tokens
+    come nearest to those of the rates.
     """
     staged = written(rated.withColumn("_row", F.monotonically_increasing_id()), "rates")
     most = F.greatest(*(F.col(f"p_{d}") for d in range(size))) if size > 1 else F.col("p_0")
@@ -263,10 +265,21 @@ def whole_copies(rated: DataFrame, size: int) -> DataFrame:
     as_is = as_it_is(F.col("rate"))
     order = ["_domain", "n_tokens", "_mixed", "_row"]
     others = staged.where(~as_is).select("_row", "n_tokens", "rate", domain.alias("_domain"), F.xxhash64("_key", "_tag").alias("_mixed"))
-    places = totals_before(others, order, "rate").select("_row", F.col("before").cast("double").alias("before"))
-    rows = staged.join(places, "_row", "left")
-    passed = F.floor(F.col("before") + F.col("rate") + 0.5) - F.floor(F.col("before") + 0.5)
-    return rows.select(*rated.columns, F.when(as_is, 1).otherwise(passed).cast("int").alias("copies"))
+    before = totals_before(others, order, "rate").withColumn("before", F.col("before").cast("double"))
+    places = written(before.select("_row", "_domain", "before", "rate", "n_tokens"), "places")
+
+    def passed(start: Column | float) -> Column:
+        return F.floor(F.col("before") + F.col("rate") + start) - F.floor(F.col("before") + start)
+
+    starts = [j / STARTS for j in range(STARTS)]
+    tokens = [F.sum(F.col("n_tokens") * passed(start)).alias(f"t{j}") for j, start in enumerate(starts)]
+    best = {}
+    for r in places.groupBy("_domain").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("wanted"), *tokens).collect():  # a row a domain
+        best[r["_domain"]] = min(starts, key=lambda start: abs(r[f"t{starts.index(start)}"] - r["wanted"]))
+    start = F.coalesce(*(F.when(F.col("_domain") == d, u) for d, u in best.items()), F.lit(0.0))
+    dealt = places.select("_row", passed(start).alias("_passed"))
+    rows = staged.join(dealt, "_row", "left")
+    return rows.select(*rated.columns, F.when(as_is, 1).otherwise(F.col("_passed")).cast("int").alias("copies"))
 
 
 def quality_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
