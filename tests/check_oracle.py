@@ -58,7 +58,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracle = entry.queries(), entry.oracle_sql()
-    for name in sys.argv[2:] or queries:
+    for name in sys.argv[2:] or oracle:
         start = time.perf_counter()
         result = differences(spark, sf_dir, name, queries[name], oracle[name])
         print(f"{'ok  ' if result is None else 'DIFF'} {name} {time.perf_counter() - start:.1f}s {result or ''}", flush=True)
