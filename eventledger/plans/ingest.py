@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +17,8 @@ from eventledger.plans.commits import APPEND, Change
 from eventledger.plans.store import EventStore
 from eventledger.schema import FEED_ROUTING_KEY, INTEGRITY_ERROR
 
-# Ids of a batch are broadcast to the key check up to this size; beyond it the check is
-# a shuffled join.
+# Ids of a batch are broadcast to the key check up to this size, and so are the row numbers
+# that split it; beyond it these are shuffled joins.
 BROADCAST_BYTES = 64 << 20
 _ROW_OVERHEAD = 32
 
@@ -85,7 +84,9 @@ def ingest_batch(
 
     The decoded batch is written to the store's staging folder first. That decodes every
     body once and fixes the row numbers: a partition that is lost later on is read
-    again, not numbered anew. Each step after it reads only the columns it needs.
+    again, not numbered anew. Each step after it reads only the columns it needs. What the
+    checks find is staged beside it as row numbers, and the fewer of stored and rejected
+    ones split the batch, so whole rows mostly meet no shuffle before the write by day.
     """
     normalized = normalize_envelope(without_feed(raw, skip_routing_keys), max_lengths)
     given = [f"{stored_at} AS _stored_at"] if stored_at else []
@@ -97,20 +98,24 @@ def ingest_batch(
     )
     writer = writer or f"batch-{uuid.uuid4().hex}"
     stage = hashlib.md5(f"{writer}/{batch_id}/{uuid.uuid4().hex}".encode()).hexdigest()
-    rows = store.refresh().stage(numbered, stage)
+    rows = store.refresh().stage(numbered, f"{stage}/rows")
     try:
-        count, code = rows.selectExpr("count(*)", "sum(CAST(_code AS DECIMAL(20, 0)))").first()
+        count, code, good = rows.selectExpr(
+            "count(*)", "sum(CAST(_code AS DECIMAL(20, 0)))", "count_if(error_type IS NULL)"
+        ).first()
         change = store.begin(APPEND, writer, batch_id)
         change.named = True
         try:
-            _ingest_staged(rows, store, change, f"{count}_{code or 0}", stored_at)
+            _ingest_staged(rows, store, change, f"{count}_{code or 0}", stage, good, stored_at)
         finally:
             store.commits.cancel(change)  # nothing, once it is ready
     finally:
         store.drop_stage(stage)
 
 
-def _ingest_staged(rows: DataFrame, store: EventStore, change: Change, digest: str, stored_at: str | None) -> None:
+def _ingest_staged(
+    rows: DataFrame, store: EventStore, change: Change, digest: str, stage: str, good_count: int, stored_at: str | None
+) -> None:
     writer, batch_id = change.writer, change.batch_id
     known = store.batch_state(writer, batch_id)
     if known.get("digest", digest) != digest:
@@ -121,35 +126,64 @@ def _ingest_staged(rows: DataFrame, store: EventStore, change: Change, digest: s
     # Records of several partitions of a topic are ordered by time, not by offset alone.
     position = [n for n in ("received_at", "topic", "partition") if "partition" in rows.columns and n in rows.columns]
     order = (*position, "arrival_seq", "_row")
-    good = rows.where("error_type IS NULL").select("id", *order)
-    firsts = first_writes(good, order=order).select("id", "_row")
-    kept = [firsts.persist(StorageLevel.MEMORY_AND_DISK)]
-    try:
-        held = _held_ids(store, firsts).persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(held)
-        by_us = ((F.col("writer") == writer) & (F.col("batch_id") == batch_id)).alias("_by_us")
-        # The key may hold a row twice; hits are few.
-        found = store.keys.live(held).select("id", by_us).distinct()
-        flags = firsts.join(found, "id", "left").select("_row", "_by_us").persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(flags)
-        rejects = _rejects(rows, flags)
-        if "rejects" not in known:
-            store.write_quarantine(rejects, writer, batch_id)
-            store.record_batch(writer, batch_id, rejects="written")
-        fresh = flags.where("_by_us IS NULL").select("_row")
-        accepted = rows.join(fresh, "_row", "left_semi")
-        # The stamp comes last, so that the latency covers the work up to the append.
-        stamped = stamp(accepted, "_stored_at" if stored_at else None)
-        store.append_events(stamped, writer, batch_id, change, rejects)
-    finally:
-        for table in kept:
-            table.unpersist()
-
-
-def _rejects(rows: DataFrame, flags: DataFrame) -> DataFrame:
+    good = rows.where("error_type IS NULL")
+    firsts = first_writes(good.select("id", *order), order=order).select("id", "_row")
+    flags = _flagged(store, store.stage(firsts, f"{stage}/firsts"), change, stage)
+    accepted, late = _split(store, good, flags, good_count, stage)
+    rejects = _rejects(rows, late)
+    if "rejects" not in known:
+        store.write_quarantine(rejects, writer, batch_id)
+        store.record_batch(writer, batch_id, rejects="written")
+    # The stamp comes last, so that the latency covers the work up to the append.
+    stamped = stamp(accepted, "_stored_at" if stored_at else None)
+    store.append_events(stamped, writer, batch_id, change, rejects)
+
+
+def _flagged(store: EventStore, firsts: DataFrame, change: Change, stage: str) -> DataFrame:
+    """``_row`` of the first writes, with ``_by_us``: NULL for a new id, TRUE for one that this
+    batch has stored already, FALSE for one that is taken."""
+    held = store.stage(_held_ids(store, firsts), f"{stage}/held")
+    if held.isEmpty():
+        return firsts.selectExpr("_row", "CAST(NULL AS BOOLEAN) AS _by_us")
+    by_us = ((F.col("writer") == change.writer) & (F.col("batch_id") == change.batch_id)).alias("_by_us")
+    # The key may hold a row twice; hits are few.
+    found = store.keys.live(held).select("id", by_us).distinct()
+    return store.stage(firsts.join(found, "id", "left").select("_row", "_by_us"), f"{stage}/flags")
+
+
+def _split(
+    store: EventStore, good: DataFrame, flags: DataFrame, good_count: int, stage: str
+) -> tuple[DataFrame, DataFrame]:
+    """The good rows to store, and those that come second to their id.
+
+    Mostly one of the two is a small part. Only its row numbers then go to the tasks, which
+    read the batch as it lies; when both are large the joins shuffle it.
+    """
+    fresh, ours = flags.where("_by_us IS NULL").select("_row"), flags.where("_by_us").select("_row")
+    fresh_count, ours_count = flags.selectExpr("count_if(_by_us IS NULL)", "count_if(_by_us)").first()
+    stored, stored_count = fresh.union(ours) if ours_count else fresh, fresh_count + ours_count
+    late_count = good_count - stored_count
+    if late_count > stored_count:
+        late = good.join(_small(stored, stored_count), "_row", "left_anti")
+        return good.join(_small(fresh, fresh_count), "_row", "left_semi"), late
+    accepted, late = good, good.limit(0)
+    if late_count:
+        numbers = store.stage(good.select("_row").join(stored, "_row", "left_anti"), f"{stage}/late")
+        numbers = _small(numbers, late_count)
+        accepted, late = good.join(numbers, "_row", "left_anti"), good.join(numbers, "_row", "left_semi")
+    if ours_count:
+        accepted = accepted.join(_small(ours, ours_count), "_row", "left_anti")
+    return accepted, late
+
+
+def _small(numbers: DataFrame, count: int) -> DataFrame:
+    """Row numbers, broadcast up to ``BROADCAST_BYTES``."""
+    return F.broadcast(numbers) if count * _ROW_OVERHEAD <= BROADCAST_BYTES else numbers
+
+
+def _rejects(rows: DataFrame, late: DataFrame) -> DataFrame:
     """Rows that failed before storing, and good rows that came second to their id."""
-    stored = flags.where("coalesce(_by_us, TRUE)").select("_row")
-    return rows.join(stored, "_row", "left_anti").selectExpr(
+    return rows.where("error_type IS NOT NULL").unionByName(late.select(rows.columns)).selectExpr(
         "* EXCEPT (error_type, error)",
         f"coalesce(error_type, '{INTEGRITY_ERROR}') AS error_type",
         f"coalesce(error, '{_DUPLICATE}') AS error",

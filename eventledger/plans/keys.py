@@ -70,7 +70,8 @@ class KeyTable:
             return reader.parquet(base).where(F.col("bucket").isin([int(b) for b in wanted]))
         there = self.files.many(lambda b: self.files.exists(f"keys/b{buckets}/bucket={b}"), wanted)
         paths = [f"{base}/bucket={b}" for b, found in zip(wanted, there) if found]
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], KEY_SCHEMA)
+        # The optimizer sees that a limit of 0 is empty: whatever is joined with it is not run.
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], KEY_SCHEMA).limit(0)
 
     def add(self, rows: DataFrame) -> None:
         """Add rows (id, event_date, file, writer, batch_id)."""

@@ -149,6 +149,47 @@ def test_a_large_batch_checks_keys_without_a_broadcast(spark, store, monkeypatch
     assert set(stored(store)) == {"a", "b"} and failures(store) == [("IntegrityError", 0)]
 
 
+@pytest.mark.parametrize("limit", [None, -1])
+def test_any_share_of_rejects_splits_a_batch_alike(spark, store, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr("eventledger.plans.ingest.BROADCAST_BYTES", limit)
+    shares = [
+        [body("a"), "{oops", body("b"), body("c")],  # no row is late
+        [body("d"), body("e"), body("d"), body("f"), body("a")],  # few are
+        [body("a"), body("g"), body("b"), body("a"), "[1]"],  # most are
+        [body("a"), body("b")],  # all are
+        ["{oops"],  # none is good
+    ]
+    want = [["JSONDecodeError"], ["IntegrityError"] * 2, ["IntegrityError"] * 3 + ["validation_error"], ["IntegrityError"] * 2, ["JSONDecodeError"]]
+    for again in (False, True):
+        for n, bodies in enumerate(shares):
+            if again:  # the record that the batch is stored was lost, its events were not
+                store.files.delete(f"{store._batch_path('w', n)}/events=stored")
+            ingest_batch(raw(spark, *bodies), store, n, writer="w")
+            rejects = store.quarantine().where(f"batch_id = {n}")
+            assert sorted(r.error_type for r in rejects.collect()) == want[n]
+        assert rows_of(store.refresh().events().select("id").distinct().join(store.events(), "id")) == rows_of(store.events())
+        assert sorted(r.id for r in store.events().collect()) == list("abcdefg")
+    assert not list(Path(store.root, "staging").glob("*"))
+
+
+def test_a_split_batch_is_not_shuffled_whole(spark, store, monkeypatch):
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    append, quarantine = EventStore.append_events, EventStore.write_quarantine
+    monkeypatch.setattr(EventStore, "append_events", lambda self, rows, *rest: plan(rows) or append(self, rows, *rest))
+    monkeypatch.setattr(EventStore, "write_quarantine", lambda self, rows, *rest: plan(rows) or quarantine(self, rows, *rest))
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables beyond it
+    try:
+        for n, bodies in enumerate(([body("a"), body("b"), body("a"), "{"], [body("a"), body("b"), body("c")])):
+            ingest_batch(raw(spark, *bodies), store, n, writer="w")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert len(plans) == 4 and not any("hashpartitioning" in text for text in plans)
+    assert set(stored(store)) == {"a", "b", "c"} and len(failures(store)) == 4
+
+
 def test_the_feed_is_not_stored(spark, store):
     ingest_batch(raw(spark, body("a"), key=FEED_ROUTING_KEY), store)
     assert store.events().count() == 0 and store.quarantine().count() == 0
