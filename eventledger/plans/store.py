@@ -29,6 +29,7 @@ from eventledger.session import prepare
 from eventledger.streaming.source import CommitSource
 
 COMPACT_BYTES = 128 << 20  # size that a merged file should have
+ARCHIVE_BYTES = 256 << 20  # live files that one move to the archive takes; a day is moved whole
 FOLD_COUNTS = 64  # batches whose counts may lie beside the folded ones
 # Columns looked up by exact value. Bloom filters let a scan skip the row groups that
 # cannot hold the value, which is what an index did for a row store.
@@ -53,6 +54,15 @@ def _files_of(rows: DataFrame) -> list[str]:
     return sorted(row["name"] for row in names.collect())
 
 
+def _files_by_day(rows: DataFrame) -> dict[str, list[str]]:
+    """Names of the files that hold ``rows``, a selection by partition, by day folder."""
+    names = rows.select("event_date", F.col("_metadata.file_name").alias("name")).distinct()
+    found: dict[str, list[str]] = {}
+    for row in sorted(names.collect()):
+        found.setdefault(f"event_date={row['event_date']}", []).append(row["name"])
+    return found
+
+
 class EventStore:
     """Events partitioned by UTC day under ``<root>/events``, rejects under
     ``<root>/quarantine``; beside them the key (``keys``), the counts by day and label
@@ -330,7 +340,10 @@ class EventStore:
         self.files.delete(f"staging/{name}")
 
     def archive_before(self, cutoff: Moment) -> int:
-        """Move events of days before ``cutoff`` to the archive, day by day; returns how many moved.
+        """Move events of days before ``cutoff`` to the archive; returns how many moved.
+
+        A move takes days up to ``ARCHIVE_BYTES``, so that small days do not cost some jobs each
+        and other changes to the store wait for no more than that.
 
         A run that is cut short can be repeated: rows already in the archive are not
         copied again, and live files go only once all their rows are there. Files that an
@@ -341,16 +354,31 @@ class EventStore:
         ).parquet(self.archive_path)
         old = self.refresh().events().where(F.col("event_date") < F.lit(as_utc(cutoff).date()))
         days = sorted(row["event_date"] for row in old.select("event_date").distinct().collect())
-        moved = sum(self._archive_day(old.where(F.col("event_date") == F.lit(day)), day) for day in days)
+        moved = sum(self._archive_days(old.where(F.col("event_date").isin(some)), some) for some in self._moves(days))
         self.refresh()
         return moved
 
-    def _archive_day(self, live: DataFrame, day: date) -> int:
-        """Copy what the archive lacks of a day, compare, and let the day's files go."""
+    def _moves(self, days: list[date]) -> list[list[date]]:
+        """``days`` in runs whose files stay within ``ARCHIVE_BYTES``, a day at least."""
+        sizes = self.files.many(lambda day: sum(self.files.sizes(f"events/event_date={day}").values()), days)
+        moves: list[list[date]] = []
+        room = 0
+        for day, size in zip(days, sizes):
+            if not moves or size > room:
+                moves.append([])
+                room = ARCHIVE_BYTES
+            moves[-1].append(day)
+            room -= size
+        return moves
+
+    def _archive_days(self, live: DataFrame, days: list[date]) -> int:
+        """Copy what the archive lacks of some days, compare, and let the days' files go."""
 
         def lacking() -> DataFrame:
+            if not any(self.files.many(lambda day: self.files.names(f"archive/event_date={day}"), days)):
+                return live
             # Whole rows are compared: an id may have come back with another payload.
-            done = self.archive().where(F.col("event_date") == F.lit(day)).alias("done")
+            done = self.archive().where(F.col("event_date").isin(days)).alias("done")
             names = STORED_SCHEMA.fieldNames()
             same = F.col("live.id") == F.col("done.id")
             for name in names:
@@ -363,7 +391,7 @@ class EventStore:
             missing = lacking().count()
             if missing:
                 raise RuntimeError(f"{missing} events did not reach the archive; live rows kept")
-            change.remove = {f"event_date={day}": _files_of(live)}
+            change.remove = _files_by_day(live)
             change.rows = self._count(change, live, sign=-1)
             self.commits.ready(change)
         except BaseException:

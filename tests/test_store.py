@@ -292,6 +292,22 @@ def test_archive_moves_old_days_only(spark, store):
     assert store.archive().count() == moved + 1
 
 
+def test_small_days_move_together(spark, store, monkeypatch):
+    spread(spark, store)
+    before, last = rows_of(store.events()), store.commits.last()
+    with monkeypatch.context() as patch:
+        patch.setattr("eventledger.plans.store.ARCHIVE_BYTES", 1)
+        assert [len(days) for days in store._moves([DAY.date(), (DAY + timedelta(days=1)).date()])] == [1, 1]
+    assert store.archive_before("2024-05-04") == sum(row[5] < DAY.replace(day=4, tzinfo=None) for row in before)
+    assert store.commits.last() == last + 1
+    assert rows_of(store.events().union(store.archive())) == before
+    # some days of a move are in the archive, others are not
+    late = [event(id=f"late{n}", timestamp=DAY + timedelta(days=n)) for n in range(3)]
+    store.append_events(events(spark, *late))
+    assert store.archive_before("2024-05-04") == 3
+    assert store.archive().count() == len([r for r in before if r[5] < DAY.replace(day=4, tzinfo=None)]) + 3
+
+
 def test_archive_survives_an_interruption(spark, store, monkeypatch):
     spread(spark, store)
     before = rows_of(store.events())
