@@ -27,6 +27,13 @@ def _offsets(spans: DataFrame, group: Sequence[str]) -> DataFrame:
     return spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
 
 
+def _placed(spans: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``_offsets``, broadcast without groups: it is a row for each partition then, which the
+    planner cannot know, and a shuffled join would move all rows again."""
+    offsets = _offsets(spans, group)
+    return offsets if group else F.broadcast(offsets)
+
+
 def number_rows(
     rows: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "position", parts: int | None = None
 ) -> DataFrame:
@@ -40,7 +47,7 @@ def number_rows(
     numbered = _ordered(rows, [*group, *order], parts).selectExpr("*", "monotonically_increasing_id() AS _place")
     staged = written(numbered, "numbering").selectExpr("*", f"shiftright(_place, {_ROW_BITS}) AS _part")
     spans = staged.groupBy("_part", *group).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    placed = staged.join(_offsets(spans, group), ["_part", *group])
+    placed = staged.join(_placed(spans, group), ["_part", *group])
     return placed.select(*(c for c in rows.columns), (F.col("_place") - F.col("_first") + F.col("_before")).alias(name))
 
 
@@ -56,5 +63,5 @@ def totals_before(
     spans = staged.groupBy("_part", *group).agg(F.sum(value).alias("_n"))
     within = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = staged.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0).cast("bigint")))
-    placed = local.join(_offsets(spans, group).select("_part", *group, "_before"), ["_part", *group])
+    placed = local.join(_placed(spans, group).select("_part", *group, "_before"), ["_part", *group])
     return placed.select(*rows.columns, (F.col("_within") + F.col("_before")).alias(name))

@@ -5,6 +5,7 @@ import pytest
 from event_rows import event, events, rows_of, utc
 
 from eventledger.operators import filters, metrics, paging, patterns
+from eventledger.operators.numbering import number_rows, totals_before
 from eventledger.operators.uniqueness import duplicate_rejects, unique_by_id
 
 NOW = utc(2024, 5, 1, 0, 30)
@@ -226,3 +227,16 @@ def test_page_and_total_in_one_call(spark):
     found = paging.fetch_page(df, 4, 8, event_type="a")
     assert (len(found.rows), found.total, found.has_more) == (4, 15, True)
     assert not paging.fetch_page(df, 10, 5, event_type="a").has_more
+
+
+def test_numbering_shuffles_rows_once(spark):
+    rows = spark.range(0, 500, 1, 4).selectExpr("id * 7 % 500 AS n", "id AS m")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables beyond it
+    try:
+        for found in (number_rows(rows, ["n"], parts=3), totals_before(rows, ["n"], "n", name="position", parts=3)):
+            assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+            places = [r.position for r in found.orderBy("n").collect()]
+            assert places in (list(range(500)), [n * (n - 1) // 2 for n in range(500)])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
